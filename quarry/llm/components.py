@@ -11,8 +11,9 @@ from quarry.llm.common import cut
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Rows (node, label): one for each node of ``edges``, label the smallest node it reaches.
 
-    Null ends and loops are ignored, repeated edges count once; an empty input gives an empty result. Each round at
-    least halves the nodes that still have edges; pointers are followed by doubling. Only counts reach the driver.
+    Null ends and loops are ignored, repeated edges count once; an empty input gives an empty result. Pointers are
+    followed by doubling, so a round merges whole trees. Both sides of every join grow with the edges, so none is
+    broadcast. Nothing but whether rows are left reaches the driver.
     """
     live = cut(
         edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("a") != F.col("b"))).distinct()
@@ -23,7 +24,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         up = cut(ends.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("label")))
         while True:
             to = up.select(F.col("node").alias("label"), F.col("label").alias("next"))
-            jumped = cut(up.join(to, "label", "left").select("node", F.col("next").alias("label"), (F.col("next") != F.col("label")).alias("moved")))
+            jumped = cut(up.join(to.hint("merge"), "label", "left").select("node", F.col("next").alias("label"), (F.col("next") != F.col("label")).alias("moved")))
             up = jumped.select("node", "label")
             if jumped.where("moved").isEmpty():
                 break
@@ -31,12 +32,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             label = up
         else:
             step = up.select(F.col("node").alias("label"), F.col("label").alias("next"))
-            label = label.join(step, "label", "left").select("node", F.coalesce("next", "label").alias("label"))
+            label = label.join(step.hint("merge"), "label", "left").select("node", F.coalesce("next", "label").alias("label"))
         label = cut(label)
         of = up.select(F.col("node"), F.col("label"))
         live = cut(
-            live.join(of.select(F.col("node").alias("a"), F.col("label").alias("la")), "a")
-            .join(of.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
+            live.join(of.select(F.col("node").alias("a"), F.col("label").alias("la")).hint("merge"), "a")
+            .join(of.select(F.col("node").alias("b"), F.col("label").alias("lb")).hint("merge"), "b")
             .where("la != lb")
             .select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b"))
             .distinct()

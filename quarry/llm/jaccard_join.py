@@ -64,7 +64,8 @@ def signatures(tokens: np.ndarray, df: np.ndarray, t: Fraction, rare: int) -> li
     out = []
     first = _prefix(size, need, 0)
     rares = int(np.searchsorted(df, rare, side="right"))
-    for k in range(min(first, rares)):
+    tiny = math.ceil(t * need) < 2  # a partner may share one shingle only, so frequent ones are indexed alone too
+    for k in range(first if tiny else min(first, rares)):
         if df[k] > 1:
             out.append((int(tokens[k]), 0, k))
     if rares >= size:
@@ -96,7 +97,7 @@ def _blob_schema() -> str:
     return "dg int, bucket int, low binary, high binary"
 
 
-def similar_texts(docs: DataFrame, n: int = 4, threshold: Fraction | float | str = "0.85", key: str = "doc_id", text: str = "text", rare: int = 8, rounds: int = 2) -> DataFrame:
+def similar_texts(docs: DataFrame, n: int = 4, threshold: Fraction | float | str = "0.85", key: str = "doc_id", text: str = "text", rare: int = 8, rounds: int = 1) -> DataFrame:
     """One row per input row: key, n_shingles, component_id.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a set is the distinct n-word shingles, or the whole
@@ -208,8 +209,8 @@ def _possible(t: Fraction) -> F.Column:
 def _verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
     """Of pairs (a, b) those whose whole sets are similar. Tokens that occur in one set alone are not in the blobs."""
     p, q = t.numerator, t.denominator
-    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("size").alias("size2"), F.col("tokens").alias("tokens2")), "b").join(
-        sets.select(F.col("node").alias("a"), "size", "tokens"), "a"
+    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("size").alias("size2"), F.col("tokens").alias("tokens2")).hint("merge"), "b").join(
+        sets.select(F.col("node").alias("a"), "size", "tokens").hint("merge"), "a"
     )
 
     def keep(batches):
@@ -232,7 +233,7 @@ def _link(sigs: DataFrame, sets: DataFrame, t: Fraction, rounds: int) -> DataFra
     label = None
     tested = None
     for turn in range(rounds + 1):
-        now = sigs if label is None else sigs.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        now = sigs if label is None else sigs.join(label.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
         if label is None:
             now = now.withColumn("label", F.col("node"))
         # signatures whose sets are all connected already can't tell anything new
@@ -241,7 +242,7 @@ def _link(sigs: DataFrame, sets: DataFrame, t: Fraction, rounds: int) -> DataFra
         mixed = cut(mixed.select("sig", "kind", "main", "hub"))
         if mixed.isEmpty():
             break
-        here = now.join(mixed, ["sig", "kind"])
+        here = now.join(mixed.hint("merge"), ["sig", "kind"])
         if turn < rounds:
             pairs = here.select("node", "size", "place", "kind", F.col("hub.node").alias("node2"), F.col("hub.size").alias("size2"), F.col("hub.place").alias("place2"), "label", F.col("main").alias("label2"))
             pairs = pairs.where((F.col("label") != F.col("label2")) & (F.col("node") != F.col("node2"))).where(_possible(t))
@@ -252,10 +253,10 @@ def _link(sigs: DataFrame, sets: DataFrame, t: Fraction, rounds: int) -> DataFra
         else:
             other = now.select("sig", "kind", F.col("node").alias("node2"), F.col("size").alias("size2"), F.col("place").alias("place2"), F.col("label").alias("label2"))
             outside = here.where("label != main").select("sig", "kind", "node", "size", "place", "label", "main")
-            pairs = outside.join(other, ["sig", "kind"]).where((F.col("label") < F.col("label2")) | ((F.col("label") > F.col("label2")) & (F.col("label2") == F.col("main"))))
+            pairs = outside.join(other.hint("merge"), ["sig", "kind"]).where((F.col("label") < F.col("label2")) | ((F.col("label") > F.col("label2")) & (F.col("label2") == F.col("main"))))
             pairs = pairs.where(_possible(t)).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
         if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            pairs = pairs.join(tested.hint("merge"), ["a", "b"], "left_anti")
         pairs = cut(pairs)
         found = cut(_verified(pairs, sets, t))
         tested = pairs if tested is None else tested.unionByName(pairs)

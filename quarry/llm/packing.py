@@ -23,16 +23,18 @@ Segment = tuple[int, int, int, int, int, int]  # length, first rank, count, firs
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
     """Martello and Toth's bound: items over half a bin need bins of their own, the rest fills what they leave."""
-    total = sum(n * c for n, c in counts.items())
-    best = -(-total // capacity)
-    sizes = sorted(counts)
-    for k in [0, *(s for s in sizes if s <= capacity // 2)]:
-        alone = sum(counts[s] for s in sizes if s > capacity - k)
-        half = [(s, counts[s]) for s in sizes if capacity // 2 < s <= capacity - k]
-        room = sum((capacity - s) * c for s, c in half)
-        small = sum(s * counts[s] for s in sizes if k <= s <= capacity // 2)
-        best = max(best, alone + sum(c for _, c in half) + max(0, -(-(small - room) // capacity)))
-    return best
+    c = np.zeros(capacity + 1, np.int64)
+    for size, n in counts.items():
+        c[size] = n
+    below = np.concatenate([[0], np.cumsum(c)])  # of [0, s)
+    weight = np.concatenate([[0], np.cumsum(c * np.arange(capacity + 1))])
+    half = capacity // 2
+    k = np.arange(half + 1)
+    alone = below[capacity + 1] - below[capacity - k + 1]
+    paired = below[capacity - k + 1] - below[half + 1]
+    room = capacity * paired - (weight[capacity - k + 1] - weight[half + 1])
+    small = weight[half + 1] - weight[k]
+    return int(max(-(-weight[-1] // capacity), (alone + paired + np.maximum(0, -(-(small - room) // capacity))).max()))
 
 
 class _Bins:
@@ -128,7 +130,7 @@ def fillings(counts: dict[int, int], room: int, most: int, examine: int) -> list
     return (kept or whole or [()])[:most]
 
 
-def plan(counts: dict[int, int], capacity: int, nodes: int = 200, branch: int = 4, examine: int = 500) -> tuple[int, list[Segment]]:
+def plan(counts: dict[int, int], capacity: int, nodes: int = 40, branch: int = 4, examine: int = 200) -> tuple[int, list[Segment]]:
     """Sequences used and segments for a histogram of lengths from 1 to ``capacity``.
 
     Best-fit decreasing is the first incumbent; if it meets the lower bound it is optimal. Otherwise bin completion
@@ -210,7 +212,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int =
     return rows.mapInArrow(split, schema)
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, nodes: int = 200) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 2048, nodes: int = 40) -> DataFrame:
     """``pieces`` (with a column ``length`` from 1 to ``capacity``) with sequence_id and offset.
 
     Sequences are gapless from offset 0 and number from 0. The pieces are checkpointed first, as ranks rest on their
