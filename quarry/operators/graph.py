@@ -22,7 +22,7 @@ def descend(edges: DataFrame, roots: DataFrame, parent: str = "parent", child: s
 
 def pagerank(edges: DataFrame, alpha: float = 0.85, steps: int = 20, source: str = "source", target: str = "target", weight: str = "weight") -> DataFrame:
     """node and rank of an undirected weighted graph by power iteration; ranks sum to 1."""
-    both = edges.select(F.col(source).alias("a"), F.col(target).alias("b"), F.col(weight).cast("double").alias("w"))
+    both = edges.select(F.col(source).alias("a"), F.col(target).alias("b"), F.col(weight).cast("double").alias("w")).persist()
     both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
     out = both.groupBy("a").agg(F.sum("w").alias("total"))
     share = both.join(out, "a").select("a", "b", (F.col("w") / F.col("total")).alias("p")).persist()

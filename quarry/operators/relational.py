@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 def sessions(df: DataFrame, by: str, ts: str, tie: str, hours: float) -> DataFrame:
     """df with sprint: a number that grows where the gap to the row before exceeds ``hours``."""
     w = Window.partitionBy(by).orderBy(ts, tie)
-    gap = F.col(ts).cast("double") - F.lag(F.col(ts).cast("double")).over(w)
+    gap = F.col(ts).cast("timestamp").cast("double") - F.lag(F.col(ts).cast("timestamp").cast("double")).over(w)
     new = df.withColumn("_new", F.when(gap > hours * 3600, 1).otherwise(0))
     return new.withColumn("sprint", F.sum("_new").over(w)).drop("_new")
 
@@ -78,7 +78,7 @@ def history(events: DataFrame, key: str, seq: str, value: str) -> DataFrame:
 def debounce(events: DataFrame, by: Sequence[str], ts: str, quiet: float, tie: str) -> DataFrame:
     """Replay of coalescing: one row for each burst, which a quiet time of more than ``quiet`` seconds ends."""
     w = Window.partitionBy(*by).orderBy(ts, tie)
-    gap = F.col(ts).cast("double") - F.lag(F.col(ts).cast("double")).over(w)
+    gap = F.col(ts).cast("timestamp").cast("double") - F.lag(F.col(ts).cast("timestamp").cast("double")).over(w)
     burst = events.withColumn("_new", F.when(gap > quiet, 1).otherwise(0)).withColumn("burst", F.sum("_new").over(w))
     return burst.groupBy(*by, "burst").agg(F.count("*").alias("n"), F.min(ts).alias("first"), F.max(ts).alias("last"))
 
@@ -86,8 +86,8 @@ def debounce(events: DataFrame, by: Sequence[str], ts: str, quiet: float, tie: s
 def refresh_state(registry: DataFrame, as_of: str, stale_hours: float = 6) -> DataFrame:
     """Registry with state: running, stale-running, never-run, overdue, due or fresh."""
     now = F.lit(as_of).cast("timestamp").cast("double")
-    age = now - F.col("last_refresh_at").cast("double")
+    age = now - F.col("last_refresh_at").cast("timestamp").cast("double")
     running = F.col("refresh_status") == "running"
-    late = now - F.col("refresh_started_at").cast("double") > stale_hours * 3600
+    late = now - F.col("refresh_started_at").cast("timestamp").cast("double") > stale_hours * 3600
     state = F.when(running & late, "stale-running").when(running, "running").when(F.col("last_refresh_at").isNull(), "never-run").when(age > 2 * F.col("refresh_interval"), "overdue").when(age > F.col("refresh_interval"), "due").otherwise("fresh")
     return registry.withColumn("state", state)

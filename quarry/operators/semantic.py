@@ -68,7 +68,7 @@ def vec_ops(vectors: DataFrame, m: Modulation, scope: Column | None = None, key:
         a, b = (known[i] for i in m.toward)
         score = 0.5 * score + 0.5 * dot(F.col("_v"), _normal(b - a))
     if m.half_life and ts:
-        days = F.greatest((F.lit(m.as_of).cast("timestamp").cast("double") - F.coalesce(F.col(ts).cast("double"), F.lit(0.0))) / 86400, F.lit(0.0))
+        days = F.greatest((F.lit(m.as_of).cast("timestamp").cast("double") - F.coalesce(F.col(ts).cast("timestamp").cast("double"), F.lit(0.0))) / 86400, F.lit(0.0))
         score = score * F.pow(F.lit(2.0), -days / m.half_life)
     for i in m.suppress:
         score = score - 0.5 * dot(F.col("_v"), known[i])

@@ -75,11 +75,6 @@ def kw_dropped_tokens(spark, folder):
     return lexical.keyword(table(spark, folder, "documents"), "the zzqx", limit=20)
 
 
-@query(f"WITH a AS (SELECT doc_id, unnest({_TERMS}) AS term, len({_TERMS}) AS dl FROM documents) SELECT term, doc_id, dl, count(*) AS tf FROM a GROUP BY ALL")
-def kw_postings(spark, folder):
-    return lexical.postings(table(spark, folder, "documents"))
-
-
 # ---- semantic ------------------------------------------------------------------------------------------------------
 
 _V = "list_transform(embedding, lambda x: CAST(x AS DOUBLE))"
@@ -286,7 +281,7 @@ def tree_subtree(spark, folder):
 def hubs_top10pct(spark, folder):
     from pyspark.sql import Window
 
-    r = graph.pagerank(graph.similar(table(spark, folder, "embeddings"), 0.2, block="label"))
+    r = graph.pagerank(graph.similar(table(spark, folder, "embeddings"), 0.2, block="label"), steps=8).persist()
     n = r.count()
     return r.select("node", F.round("rank", 8).alias("rank")).orderBy(F.desc("rank"), "node").limit(max(1, n // 10))
 
