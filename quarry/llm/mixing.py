@@ -224,5 +224,6 @@ def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float], doma
     rows = cut(posteriors(plain.select("_text"), model, "_text").select("_tokens", "_p"))
     mix = solve(rows, _weights(model, targets), hold=model.names.index(hold) if hold in model.names else None, margin=margin)
     df = posteriors(plain, model, "_text").withColumn("_rate", _rate(mix.steps, mix.start))
-    df = df.withColumn("_copies", _copies(F.col("_rate"), F.coalesce(F.col("_id"), F.lit(-1)))).where("_copies > 0")
+    df = df.withColumn("_copies", _copies(F.col("_rate"), F.coalesce(F.col("_id"), F.lit(-1))))
+    df = cut(df.select("_row", "_copies")).where("_copies > 0")  # else the filter is pushed down and repeats the posterior
     return df.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_n")).select("_row.*")
