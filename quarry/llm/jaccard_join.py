@@ -6,10 +6,11 @@ by g places holds g + 1 of them; frequent shingles are dealt into g subclasses,
 and the pair shares that 2-combination. Sets are banded by size so that both sides use the same g. Candidates are
 verified on whole sets.
 
-Copies of a text collapse into one representative before anything is paired. Candidates are taken in rounds: first
-each set against one hub among the sets it shares signatures with, then, until none is left, the pairs whose ends are
-not connected yet. No link that could join two components is lost, while a group of near copies costs about a row for
-each member instead of one for each pair.
+Copies of a text collapse into one representative before anything is paired. Candidates aren't listed pair by pair:
+each set goes to the block of its most common signature, blocks are split into tiles of bounded count and bytes, and
+two tiles meet once if any signature occurs in both. A meeting compares all its sets by products of 0/1 matrices and
+returns a spanning forest of the links it found. So a group of m sets ships about m * m / TILE_SETS rows and returns no
+pairs, and every candidate pair is still compared on whole sets.
 """
 
 from __future__ import annotations
@@ -26,6 +27,11 @@ from quarry.llm.common import cut, mix, partitions, shingle_sets, squeeze, strin
 from quarry.llm.components import connected_components
 
 GROUP_BYTES = 8 << 20
+#: A tile holds about this many sets and this many bytes of tokens, or one longer set.
+TILE_SETS = 256
+TILE_BYTES = 2 << 20
+#: Columns of a 0/1 matrix that are multiplied at once.
+COLUMNS = 4096
 _U = np.uint64
 
 
@@ -97,7 +103,7 @@ def _blob_schema() -> str:
     return "dg int, bucket int, low binary, high binary"
 
 
-def similar_texts(docs: DataFrame, n: int = 4, threshold: Fraction | float | str = "0.85", key: str = "doc_id", text: str = "text", rare: int = 8, rounds: int = 1) -> DataFrame:
+def similar_texts(docs: DataFrame, n: int = 4, threshold: Fraction | float | str = "0.85", key: str = "doc_id", text: str = "text", rare: int = 8) -> DataFrame:
     """One row per input row: key, n_shingles, component_id.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a set is the distinct n-word shingles, or the whole
@@ -184,7 +190,7 @@ def similar_texts(docs: DataFrame, n: int = 4, threshold: Fraction | float | str
     sets = signed.where("kind = 1").select("node", "size", "tokens")
     sigs = signed.where("kind <= 0").select("node", "size", "sig", "place", "kind")
 
-    label = _link(sigs, sets, t, rounds)
+    label = _link(sigs, sets, t)
     smallest = kept.select("node", F.col("doc_id"))
     named = smallest.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     component = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
@@ -197,71 +203,82 @@ def similar_texts(docs: DataFrame, n: int = 4, threshold: Fraction | float | str
     )
 
 
-def _possible(t: Fraction) -> F.Column:
-    """What sizes and places in the order allow of a pair (size, place) and (size2, place2)."""
-    p, q = t.numerator, t.denominator
-    small, large = F.least("size", "size2"), F.greatest("size", "size2")
-    left = F.least(F.col("size") - F.col("place"), F.col("size2") - F.col("place2"))
-    enough = (p + q) * left >= p * (F.col("size") + F.col("size2"))
-    return (q * small >= p * large) & ((F.col("kind") != 0) | enough)
+def _common(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set of ``one`` with each of ``two``."""
+    out = np.zeros((len(one), len(two)), np.float32)
+    x, y = np.concatenate(one), np.concatenate(two)
+    shared = np.intersect1d(np.unique(x), np.unique(y), assume_unique=True)
+    if not len(shared):
+        return out.astype(np.int64)
+
+    def places(tokens, sets):
+        col = np.searchsorted(shared, tokens)
+        hit = shared[np.minimum(col, len(shared) - 1)] == tokens
+        return np.repeat(np.arange(len(sets)), [len(s) for s in sets])[hit], col[hit]
+
+    (rx, cx), (ry, cy) = places(x, one), places(y, two)
+    for low in range(0, len(shared), COLUMNS):
+        width = min(COLUMNS, len(shared) - low)
+        left, right = np.zeros((len(one), width), np.float32), np.zeros((len(two), width), np.float32)
+        for m, r, c in ((left, rx, cx), (right, ry, cy)):
+            use = (c >= low) & (c < low + width)
+            m[r[use], c[use] - low] = 1
+        out += left @ right.T
+    return np.rint(out).astype(np.int64)
+
+
+def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Edges (root, node) that connect what the symmetric matrix connects."""
+    free, out = np.ones(len(linked), bool), []
+    for root in range(len(linked)):
+        if free[root]:
+            free[root] = False
+            front = np.array([root])
+            while len(front):
+                front = np.flatnonzero(linked[front].any(axis=0) & free)
+                free[front] = False
+                out.extend((root, int(k)) for k in front)
+    return out
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
-    """Of pairs (a, b) those whose whole sets are similar. Tokens that occur in one set alone are not in the blobs."""
+def _meeting(t: Fraction):
+    """Compares the sets of two tiles, or of one with itself. Tokens that occur in one set alone are not in the blobs."""
     p, q = t.numerator, t.denominator
-    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("size").alias("size2"), F.col("tokens").alias("tokens2")).hint("merge"), "b").join(
-        sets.select(F.col("node").alias("a"), "size", "tokens").hint("merge"), "a"
-    )
 
-    def keep(batches):
-        for batch in batches:
-            a, b, x, y, s, z = (batch.column(c).to_pylist() for c in ("a", "b", "tokens", "tokens2", "size", "size2"))
-            good = []
-            for k in range(len(a)):
-                one, two = np.frombuffer(x[k], _U), np.frombuffer(y[k], _U)
-                common = len(np.intersect1d(one, two, assume_unique=True))
-                good.append(q * common >= p * (s[k] + z[k] - common))
-            mask = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"]).filter(mask)
+    def meet(table: pa.Table) -> pa.Table:
+        side, size, nodes = table["side"].to_numpy(), table["size"].to_numpy(), table["node"].to_pylist()
+        sets = [np.frombuffer(x, _U) for x in table["tokens"].to_pylist()]
+        one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if not len(two):
+            two = one
+        common = _common([sets[k] for k in one], [sets[k] for k in two])
+        good = q * common >= p * (size[one][:, None] + size[two][None, :] - common)
+        linked = np.zeros((len(nodes), len(nodes)), bool)
+        linked[np.ix_(one, two)] = good
+        edges = _forest(linked | linked.T)
+        return pa.table({"a": pa.array([nodes[x] for x, _ in edges], pa.binary()), "b": pa.array([nodes[y] for _, y in edges], pa.binary())})
 
-    return both.select("a", "b", "tokens", "tokens2", "size", "size2").mapInArrow(keep, "a binary, b binary")
+    return meet
 
 
-def _link(sigs: DataFrame, sets: DataFrame, t: Fraction, rounds: int) -> DataFrame:
+def _link(sigs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
     """Rows (node, label) of the nodes that link with another."""
-    edges = None
-    label = None
-    tested = None
-    for turn in range(rounds + 1):
-        now = sigs if label is None else sigs.join(label.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        if label is None:
-            now = now.withColumn("label", F.col("node"))
-        # signatures whose sets are all connected already can't tell anything new
-        by_label = now.groupBy("sig", "kind", "label").agg(F.count("*").alias("n"), F.min(F.struct("node", "size", "place")).alias("hub"))
-        mixed = by_label.groupBy("sig", "kind").agg(F.count("*").alias("labels"), F.max_by("label", "n").alias("main"), F.max_by("hub", "n").alias("hub")).where("labels > 1")
-        mixed = cut(mixed.select("sig", "kind", "main", "hub"))
-        if mixed.isEmpty():
-            break
-        here = now.join(mixed.hint("merge"), ["sig", "kind"])
-        if turn < rounds:
-            pairs = here.select("node", "size", "place", "kind", F.col("hub.node").alias("node2"), F.col("hub.size").alias("size2"), F.col("hub.place").alias("place2"), "label", F.col("main").alias("label2"))
-            pairs = pairs.where((F.col("label") != F.col("label2")) & (F.col("node") != F.col("node2"))).where(_possible(t))
-            pairs = pairs.groupBy(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"), F.col("node").alias("of")).agg(F.count("*").alias("n"))
-            if turn == 0:  # one hub for each set is enough to begin with: the one it shares most with
-                pairs = pairs.groupBy("of").agg(F.max_by(F.struct("a", "b"), "n").alias("p")).select("p.a", "p.b")
-            pairs = pairs.select("a", "b").distinct()
-        else:
-            other = now.select("sig", "kind", F.col("node").alias("node2"), F.col("size").alias("size2"), F.col("place").alias("place2"), F.col("label").alias("label2"))
-            outside = here.where("label != main").select("sig", "kind", "node", "size", "place", "label", "main")
-            pairs = outside.join(other.hint("merge"), ["sig", "kind"]).where((F.col("label") < F.col("label2")) | ((F.col("label") > F.col("label2")) & (F.col("label2") == F.col("main"))))
-            pairs = pairs.where(_possible(t)).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested.hint("merge"), ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        found = cut(_verified(pairs, sets, t))
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        edges = found if edges is None else edges.unionByName(found)
-        label = connected_components(edges)
-    if label is None:
-        return sigs.select("node", F.col("node").alias("label"))
-    return label
+    p, q = t.numerator, t.denominator
+    common = sigs.groupBy("sig", "kind").agg(F.count("*").alias("m")).where("m > 1")
+    live = cut(sigs.join(common.hint("merge"), ["sig", "kind"]).select("sig", "kind", "m", "node", "size"))
+    block = live.groupBy("node").agg(F.max(F.struct("m", "sig", "kind")).alias("b"), F.first("size").alias("size"))
+    block = block.select("node", "size", F.col("b.sig").alias("bsig"), F.col("b.kind").alias("bkind"))
+    extent = block.groupBy("bsig", "bkind").agg(F.count("*").alias("n"), F.sum(F.col("size") * 8).alias("bytes"))
+    extent = extent.select("bsig", "bkind", F.ceil(F.greatest(F.col("n") / TILE_SETS, F.col("bytes") / TILE_BYTES)).alias("parts"))
+    tile = block.join(extent.hint("merge"), ["bsig", "bkind"]).select("node", F.xxhash64("bsig", "bkind", F.pmod(F.xxhash64("node"), "parts")).alias("tile"))
+    tile = cut(tile)
+    seen = live.join(tile.hint("merge"), "node").groupBy("sig", "kind", "tile").agg(F.count("*").alias("n"), F.min("size").alias("low"), F.max("size").alias("high"))
+    other = seen.select("sig", "kind", F.col("tile").alias("b"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    pairs = seen.withColumnRenamed("tile", "a").join(other.hint("merge"), ["sig", "kind"])
+    pairs = pairs.where((F.col("a") < F.col("b")) | ((F.col("a") == F.col("b")) & (F.col("n") > 1)))
+    pairs = pairs.where((q * F.col("high") >= p * F.col("low2")) & (q * F.col("high2") >= p * F.col("low"))).select("a", "b").distinct()
+    sides = pairs.select("a", "b", F.explode(F.when(F.col("a") == F.col("b"), F.array(F.struct(F.col("a").alias("tile"), F.lit(0).alias("side")))).otherwise(
+        F.array(F.struct(F.col("a").alias("tile"), F.lit(0).alias("side")), F.struct(F.col("b").alias("tile"), F.lit(1).alias("side"))))).alias("x"))
+    members = tile.join(sets.hint("merge"), "node").select("tile", "node", "size", "tokens")
+    sent = sides.select("a", "b", "x.tile", "x.side").join(members.hint("merge"), "tile").select("a", "b", "side", "node", "size", "tokens")
+    return connected_components(sent.groupBy("a", "b").applyInArrow(_meeting(t), "a binary, b binary"))

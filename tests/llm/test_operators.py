@@ -83,7 +83,9 @@ def test_plan_is_as_small_as_brute_force():
         assert packing.plan(dict(collections.Counter(items)), 20, nodes=2000)[0] == least(items, 20)
 
 
-def test_jaccard(docs, texts):
+@pytest.mark.parametrize("tile", [256, 3])
+def test_jaccard(docs, texts, tile, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "TILE_SETS", tile)
     sets = {}
     for i, text, *_ in texts:
         w = words(text)
