@@ -1,9 +1,10 @@
 """Mixing to target weights by soft membership, in DataFrame expressions only.
 
-A softmax classifier learnt from a labelled table gives each document a posterior over domains. Document rates r >= 0
-minimise the weighted squares of (expected domain tokens - target) by projected gradient: one aggregate a step makes
-the residual of all documents, and a document's rate is a fold over the few residuals so far, so rates are never
-stored, joined or collected.
+A softmax classifier learnt from a labelled table gives each document a posterior over domains, to a fixed resolution.
+Document rates r >= 0 minimise the weighted squares of (expected domain tokens - target) by accelerated projected
+gradient: one aggregate a step makes the residual of all documents, and a document's rate is a fold over the few
+residuals so far, so rates are never stored, joined or collected. Documents of equal posteriors have equal rates, so
+the steps run on the tokens summed by posterior.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from quarry.llm.common import cut
 
 _SYMBOLS = "[#$%&*|!<>{}=~^]"
 _NUMERIC = 4
+#: Posteriors are whole parts of about this number.
+RESOLUTION = 256
 
 
 def _measured(docs: DataFrame, text: str) -> DataFrame:
@@ -118,65 +121,76 @@ def posteriors(docs: DataFrame, model: Domains, text: str = "text") -> DataFrame
 
     df = df.withColumn("_z", F.array(*(logit(j) for j in range(d))))
     df = df.withColumn("_e", F.transform("_z", lambda z: F.exp(z - F.array_max("_z"))))
-    df = df.withColumn("_p", F.transform("_e", lambda e: e / F.aggregate("_e", F.lit(0.0), lambda a, b: a + b)))
+    share = F.transform("_e", lambda e: e / F.aggregate("_e", F.lit(0.0), lambda a, b: a + b))
+    df = df.withColumn("_k", F.transform(share, lambda p: F.floor(p * max(RESOLUTION, 4 * d) + 0.5).cast("double")))
+    df = df.withColumn("_p", F.transform("_k", lambda k: k / F.aggregate("_k", F.lit(0.0), lambda a, b: a + b)))
     return df.select(*own, "_tokens", "_p")
 
 
-def _rate(steps: list[np.ndarray], start: float, p: Column = None) -> Column:
-    """The rate after projected steps: r <- max(0, r - p . step)."""
-    p = F.col("_p") if p is None else p
-    rate = F.lit(float(start))
-    if not steps:
-        return rate
-    moves = F.array(*(F.struct(*(F.lit(float(v)).alias(f"s{j}") for j, v in enumerate(s))) for s in steps))
-
-    def move(r, s):
-        change = F.lit(0.0)
-        for j in range(len(steps[0])):
-            change = change + F.element_at(p, j + 1) * s[f"s{j}"]
-        return F.greatest(F.lit(0.0), r - change)
+def _walk(steps: list[np.ndarray], floor: str) -> Column:
+    """The rate r after the projected steps, and y, from which the next step starts.
 
-    return F.aggregate(moves, rate, move)
+    A step holds the change of each domain and, last, its momentum: r' = max(floor, y - p . step), y' = r' + m (r' - r).
+    """
+    start = "named_struct('r', 1D, 'y', 1D)"
+    if not steps:
+        return F.expr(start)
+    moves = ", ".join("array(" + ", ".join(f"{float(v)!r}D" for v in s) + ")" for s in steps)
+    d = len(steps[0]) - 1
+    new = f"greatest({floor}, a.y - (" + " + ".join(f"_p[{j}] * s[{j}]" for j in range(d)) + "))"
+    return F.expr(f"aggregate(array({moves}), {start}, (a, s) -> named_struct('r', {new}, 'y', {new} + s[{d}] * ({new} - a.r)))")
 
 
 @dataclass
 class Mix:
-    """What the fit found: a start, the steps, and expected against wanted tokens of each domain."""
+    """What the fit found: the steps, the least rate, and expected against wanted tokens of each domain."""
 
-    start: float
     steps: list[np.ndarray]
+    floor: str
     tokens: np.ndarray
     target: np.ndarray
     expected: np.ndarray
 
+    def rate(self) -> Column:
+        return _walk(self.steps, self.floor)["r"]
 
-def solve(rows: DataFrame, weights: np.ndarray, total: float | None = None, hold: int | None = None, margin: float = 1.0, most: int = 25, tolerance: float = 1e-4) -> Mix:
-    """Fit rates for checkpointed ``rows`` (_tokens, _p) to ``weights`` (non-negative, sum 1) of ``total`` tokens.
+
+def solve(rows: DataFrame, weights: np.ndarray, total: float | None = None, hold: int | None = None, margin: float = 1.0, keep: float | None = None, most: int = 60, tolerance: float = 1e-4) -> Mix:
+    """Fit rates for ``rows`` (_tokens, _p) to ``weights`` (non-negative, sum 1) of ``total`` tokens.
 
     ``total`` defaults to all tokens; ``hold`` instead sets it so that this domain keeps ``margin`` times its tokens.
-    Domains are scaled by their own second moments, which leaves the gradient well-conditioned.
+    With ``keep``, rows whose posterior of the held domain is at least that have rates of 1 or more; then targets may
+    be out of reach, and the fit comes as near as it can. Domains are scaled by their own second moments; momentum is
+    dropped where the squares grow.
     """
     d = len(weights)
+    groups = cut(rows.groupBy("_p").agg(F.sum("_tokens").alias("_tokens")).coalesce(8))
     p = [F.element_at("_p", j + 1) for j in range(d)]
-    sums = rows.agg(*(F.sum(F.col("_tokens") * p[i]).alias(f"a{i}") for i in range(d)), *(F.sum(F.col("_tokens") * p[i] * p[j]).alias(f"m{i}_{j}") for i in range(d) for j in range(i, d))).first()
+    sums = groups.agg(*(F.sum(F.col("_tokens") * p[i]).alias(f"a{i}") for i in range(d)), *(F.sum(F.col("_tokens") * p[i] * p[j]).alias(f"m{i}_{j}") for i in range(d) for j in range(i, d))).first()
     tokens = np.array([sums[f"a{i}"] or 0.0 for i in range(d)])
     gram = np.array([[sums[f"m{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(d)] for i in range(d)])
     if total is None:
         total = tokens.sum() if hold is None or not weights[hold] else margin * tokens[hold] / weights[hold]
     target = weights * total
+    floor = "0D" if hold is None or keep is None else f"if(_p[{hold}] >= {float(keep)!r}D, 1D, 0D)"
     if not tokens.sum():
-        return Mix(1.0, [], tokens, target, tokens)
+        return Mix([], floor, tokens, target, tokens)
     scale = np.maximum(np.diag(gram), 1e-9 * tokens.sum())
     top = np.linalg.eigvalsh(gram / np.sqrt(np.outer(scale, scale)))[-1]
-    start, steps, expected = 1.0, [], tokens
+    steps, expected, ahead, speed, before = [], tokens, tokens, 1.0, np.inf
     for _ in range(most):
         if np.abs(expected - target).max() <= tolerance * total:
             break
-        steps.append((expected - target) / scale / top)
-        rate = rows.select("_tokens", "_p", _rate(steps, start).alias("r"))
-        got = rate.agg(*(F.sum(F.col("_tokens") * F.col("r") * p[i]).alias(f"a{i}") for i in range(d))).first()
-        expected = np.array([got[f"a{i}"] or 0.0 for i in range(d)])
-    return Mix(start, steps, tokens, target, expected)
+        error = ((expected - target) ** 2 / scale).sum()
+        if error > before:
+            speed = 1.0
+        before, faster = error, (1 + np.sqrt(1 + 4 * speed**2)) / 2
+        steps.append(np.append((ahead - target) / scale / top, (speed - 1) / faster))
+        speed = faster
+        walked = groups.select("_tokens", "_p", _walk(steps, floor).alias("w"))
+        got = walked.agg(*(F.sum(F.col("_tokens") * F.col(f"w.{x}") * p[i]).alias(f"{x}{i}") for x in "ry" for i in range(d))).first()
+        expected, ahead = (np.array([got[f"{x}{i}"] or 0.0 for i in range(d)]) for x in "ry")
+    return Mix(steps, floor, tokens, target, expected)
 
 
 def _copies(rate: Column, *identity: Column) -> Column:
@@ -210,20 +224,22 @@ def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain:
     rows = cut(posteriors(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("_text")), model, "_text").select("doc_id", "_tokens", "_p"))
     weights = _weights(model, targets)
     mix = solve(rows, weights, hold=model.names.index(hold) if hold in model.names else None, margin=margin)
-    rate = _rate(mix.steps, mix.start)
+    rate = mix.rate()
     named = F.map_from_arrays(F.array(*(F.lit(n) for n in model.names)), F.col("_p"))
     out = rows.select("doc_id", F.col("_tokens").alias("tokens"), named.alias("domain_p"), rate.alias("rate"))
     return out.withColumn("copies", _copies(F.col("rate"), F.coalesce(F.col("doc_id"), F.lit(-1))))
 
 
-def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain: str = "domain", key: str = "doc_id", text: str = "text", hold: str | None = None, margin: float = 1.0) -> DataFrame:
-    """``docs`` with each row repeated by its copies (none: the row goes). Columns stay as they are."""
+def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain: str = "domain", key: str = "doc_id", text: str = "text", hold: str | None = None, margin: float = 1.0, keep: float | None = None) -> DataFrame:
+    """``docs`` with each row repeated by its copies (none: the row goes). Columns stay as they are.
+
+    Rows whose posterior of ``hold`` is at least ``keep`` all stay.
+    """
     model = learn(docs, labels, domain, key, text)
     names = docs.columns
     plain = docs.select(F.struct(*names).alias("_row"), F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"))
-    rows = cut(posteriors(plain.select("_text"), model, "_text").select("_tokens", "_p"))
-    mix = solve(rows, _weights(model, targets), hold=model.names.index(hold) if hold in model.names else None, margin=margin)
-    df = posteriors(plain, model, "_text").withColumn("_rate", _rate(mix.steps, mix.start))
-    df = df.withColumn("_copies", _copies(F.col("_rate"), F.coalesce(F.col("_id"), F.lit(-1))))
-    df = cut(df.select("_row", "_copies")).where("_copies > 0")  # else the filter is pushed down and repeats the posterior
+    scored = posteriors(plain, model, "_text").select("_row", "_id", "_tokens", "_p")
+    mix = solve(posteriors(plain.select("_text"), model, "_text"), _weights(model, targets), hold=model.names.index(hold) if hold in model.names else None, margin=margin, keep=keep)
+    copies = _copies(mix.rate(), F.coalesce(F.col("_id"), F.lit(-1)))
+    df = cut(scored.select("_row", copies.alias("_copies"))).where("_copies > 0")  # else the filter is pushed down and repeats the posterior
     return df.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_n")).select("_row.*")
