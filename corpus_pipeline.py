@@ -33,9 +33,9 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated or left out so that domains meet their target weights; those likely good all stay."""
+    """Documents repeated or left out so that domains meet their target weights; those likely good all stay, others only go."""
     labels = mixing.quality_domains(read(spark, sf_dir, "labels"))
-    return mixing.resample(docs, labels, mixing.TARGETS, hold="good", margin=MARGIN, keep=0.5)
+    return mixing.resample(docs, labels, mixing.TARGETS, hold="good", margin=MARGIN, keep=0.5, fill=False)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

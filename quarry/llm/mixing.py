@@ -155,12 +155,13 @@ class Mix:
         return _walk(self.steps, self.floor)["r"]
 
 
-def solve(rows: DataFrame, weights: np.ndarray, total: float | None = None, hold: int | None = None, margin: float = 1.0, keep: float | None = None, most: int = 60, tolerance: float = 1e-4) -> Mix:
+def solve(rows: DataFrame, weights: np.ndarray, total: float | None = None, hold: int | None = None, margin: float = 1.0, keep: float | None = None, fill: bool = True, most: int = 60, tolerance: float = 1e-4) -> Mix:
     """Fit rates for ``rows`` (_tokens, _p) to ``weights`` (non-negative, sum 1) of ``total`` tokens.
 
     ``total`` defaults to all tokens; ``hold`` instead sets it so that this domain keeps ``margin`` times its tokens.
     With ``keep``, rows whose posterior of the held domain is at least that have rates of 1 or more; then targets may
-    be out of reach, and the fit comes as near as it can. Domains are scaled by their own second moments; momentum is
+    be out of reach, and the fit comes as near as it can. Without ``fill`` the targets of other domains than the held
+    one are limits: a domain that has fewer tokens is not repeated to reach its share. Domains are scaled by their own second moments; momentum is
     dropped where the squares grow.
     """
     d = len(weights)
@@ -172,6 +173,8 @@ def solve(rows: DataFrame, weights: np.ndarray, total: float | None = None, hold
     if total is None:
         total = tokens.sum() if hold is None or not weights[hold] else margin * tokens[hold] / weights[hold]
     target = weights * total
+    if not fill:
+        target = np.where(np.arange(d) == hold, target, np.minimum(target, tokens))
     floor = "0D" if hold is None or keep is None else f"if(_p[{hold}] >= {float(keep)!r}D, 1D, 0D)"
     if not tokens.sum():
         return Mix([], floor, tokens, target, tokens)
@@ -230,16 +233,17 @@ def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain:
     return out.withColumn("copies", _copies(F.col("rate"), F.coalesce(F.col("doc_id"), F.lit(-1))))
 
 
-def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain: str = "domain", key: str = "doc_id", text: str = "text", hold: str | None = None, margin: float = 1.0, keep: float | None = None) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain: str = "domain", key: str = "doc_id", text: str = "text", hold: str | None = None, margin: float = 1.0, keep: float | None = None, fill: bool = True) -> DataFrame:
     """``docs`` with each row repeated by its copies (none: the row goes). Columns stay as they are.
 
-    Rows whose posterior of ``hold`` is at least ``keep`` all stay.
+    Rows whose posterior of ``hold`` is at least ``keep`` all stay; for ``fill`` see ``solve``. Null and empty texts
+    have no tokens; repeated rows count each; extra columns may have any names; an empty table stays empty.
     """
     model = learn(docs, labels, domain, key, text)
     names = docs.columns
     plain = docs.select(F.struct(*names).alias("_row"), F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"))
     scored = posteriors(plain, model, "_text").select("_row", "_id", "_tokens", "_p")
-    mix = solve(posteriors(plain.select("_text"), model, "_text"), _weights(model, targets), hold=model.names.index(hold) if hold in model.names else None, margin=margin, keep=keep)
+    mix = solve(posteriors(plain.select("_text"), model, "_text"), _weights(model, targets), hold=model.names.index(hold) if hold in model.names else None, margin=margin, keep=keep, fill=fill)
     copies = _copies(mix.rate(), F.coalesce(F.col("_id"), F.lit(-1)))
     df = cut(scored.select("_row", copies.alias("_copies"))).where("_copies > 0")  # else the filter is pushed down and repeats the posterior
     return df.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_n")).select("_row.*")
