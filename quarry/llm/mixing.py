@@ -70,9 +70,9 @@ def fit_softmax(x: np.ndarray, y: np.ndarray, domains: int, steps: int = 1500, p
 def learn(docs: DataFrame, labels: DataFrame, domain: str, key: str = "doc_id", text: str = "text", words: int = 32, most: int = 20_000) -> Domains:
     """Fit the posterior from ``labels`` (key, ``domain``) on at most ``most`` rows, those whose keys hash lowest.
 
-    The words are those whose presence differs most between a domain and the rest. Null keys, domains and texts of no
-    label are left out; a key labelled more than once counts with its smallest label. Without labels there is one
-    domain named 'all'.
+    The words are those whose presence differs most between a domain and the rest, in standard errors. Null keys,
+    domains and texts of no label are left out; a key labelled more than once counts with its smallest label. Without
+    labels there is one domain named 'all'.
     """
     known = labels.where(F.col(key).isNotNull() & F.col(domain).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.min(F.col(domain).cast("string")).alias("_domain"))
     sample = known.orderBy(F.xxhash64("_key"), "_key").limit(most)
@@ -86,7 +86,8 @@ def learn(docs: DataFrame, labels: DataFrame, domain: str, key: str = "doc_id",
     if total:
         all_ = sum((F.col(f"`{n}`") for n in names), F.lit(0))
         inside, outside = [F.col(f"`{n}`") / sizes[n] for n in names], [(all_ - F.col(f"`{n}`")) / max(total - sizes[n], 1) for n in names]
-        gaps = [F.abs(a - b) / F.sqrt(a + b + 1e-9) for a, b in zip(inside, outside)]
+        spread = all_ / total * (1 - all_ / total) + 1e-9
+        gaps = [F.abs(a - b) / F.sqrt(spread * (1 / sizes[n] + 1 / max(total - sizes[n], 1))) for a, b, n in zip(inside, outside, names)]
         ranked = seen.where(all_ >= 5).withColumn("gap", F.greatest(*gaps, F.lit(0.0))).orderBy(F.desc("gap"), "w").limit(words)
         chosen = sorted(r["w"] for r in ranked.select("w").collect())
     inputs = [F.array_contains("_bare", w).cast("double") for w in chosen] + [F.col(f"_n{k}") for k in range(_NUMERIC)]
