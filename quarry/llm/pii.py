@@ -1,9 +1,11 @@
 """Personal data by candidate gradient boosting, in DataFrame expressions only.
 
-Four exact generators find base spans, which always stay. Looser generators propose more spans, overlapping ones too.
-Boosted trees over binned format and context features are fitted on the driver from a histogram of the candidates of
-all documents (at most ``_CODES`` rows) and come back as CASE expressions; a threshold for each kind, calibrated for
-precision on that histogram, selects what is added.
+Four exact generators find base spans, which always stay. Looser generators propose more spans, overlapping ones too:
+runs of digits, what base spans leave of them, and parts of base runs that fail their check (every window of 13 to 19
+digits, every phone number that a run starts with). Boosted trees over binned format and context features are fitted
+on the driver from a histogram of the base candidates and those parts of all documents (at most ``2 * _CODES`` rows)
+and come back as CASE expressions; a threshold for each kind, calibrated for precision on that histogram, selects what
+is added.
 
 Spans are found by putting two private-use characters around each match and adding up lengths, so places are code
 points. Patterns have no repeated groups and start only where a run starts: they take linear time and no recursion.
@@ -11,8 +13,6 @@ points. Patterns have no repeated groups and start only where a run starts: they
 
 from __future__ import annotations
 
-from functools import partial
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +23,9 @@ KINDS = ("email", "ip", "card", "phone")
 _OPEN, _CLOSE, _JOINT = "", "", ""
 _SPAN = "array<struct<start:int,end:int,text:string>>"
 #: Bins of each feature; a feature's code is below its number.
-BINS = {"kind": 4, "digits": 8, "seps": 3, "dots": 3, "before": 4, "after": 4, "luhn": 2, "plus": 2}
+BINS = {"kind": 4, "digits": 8, "seps": 3, "dots": 3, "before": 4, "after": 4, "luhn": 2, "plus": 2, "form": 4}
+#: Forms of a card: a window that cuts a group of digits, one group, groups of four, other whole groups. Others are "one".
+_CUT, _ONE, _FOURS, _MIXED = range(4)
 _CODES = int(np.prod(list(BINS.values())))
 
 
@@ -101,6 +103,69 @@ def proposals(text: Column) -> dict[str, Column]:
     return {"spelt": loose, "numbers": numbers}
 
 
+def _digits_at(runs: Column) -> Column:
+    """Spans with their characters and, for each digit, its place in the span."""
+    chars = F.transform(runs, lambda s: F.struct(s["start"].alias("start"), F.split(s["text"], "").alias("chars")))
+    at = lambda x: F.filter(F.transform(x["chars"], lambda c, i: F.when(c.rlike("^[0-9]$"), i)), lambda i: i.isNotNull())
+    return F.transform(chars, lambda x: F.struct(x["start"].alias("start"), x["chars"].alias("chars"), at(x).alias("at")))
+
+
+def _part(x: Column, first: Column, last: Column, whole: Column) -> Column:
+    """The span from the digit numbered ``first`` to the one numbered ``last``, with the characters beside it."""
+    a, b = F.get(x["at"], first), F.get(x["at"], last)
+    return F.struct(
+        (x["start"] + a).cast("int").alias("start"),
+        (x["start"] + b + 1).cast("int").alias("end"),
+        F.array_join(F.slice(x["chars"], a + 1, b - a + 1), "").alias("text"),
+        whole.alias("whole"),
+        F.get(x["chars"], a - 1).alias("before"),
+        F.get(x["chars"], b + 1).alias("after"),
+    )
+
+
+def _ends_group(x: Column, k: Column) -> Column:
+    return F.coalesce(F.get(x["at"], k + 1) != F.get(x["at"], k) + 1, F.lit(True))
+
+
+def windows(failed: Column) -> Column:
+    """All windows of 13 to 19 digits of card runs that fail."""
+
+    def each(x, first):
+        fits = F.filter(F.array(*(F.lit(n) for n in range(13, 20))), lambda n: first + n <= F.size(x["at"]))
+        starts = (first == 0) | _ends_group(x, first - 1)
+        return F.transform(fits, lambda n: _part(x, first, first + n - 1, starts & _ends_group(x, first + n - 1)))
+
+    firsts = lambda x: F.when(F.size(x["at"]) >= 13, F.sequence(F.lit(0), F.size(x["at"]) - 13)).otherwise(F.array().cast("array<int>"))
+    return F.flatten(F.flatten(F.transform(_digits_at(failed), lambda x: F.transform(firsts(x), lambda k: each(x, k)))))
+
+
+def prefixes(failed: Column) -> Column:
+    """What phone runs that fail start with: their first groups of digits, 8 to 15 digits together."""
+
+    def each(x):
+        ends = F.filter(F.array(*(F.lit(n) for n in range(8, 16))), lambda n: (n <= F.size(x["at"])) & _ends_group(x, n - 1))
+        parts = F.transform(ends, lambda n: _part(x, F.lit(0), n - 1, F.lit(True)))
+        # the plus sign stands before the first digit
+        return F.transform(parts, lambda s: F.struct((s["start"] - 1).alias("start"), s["end"].alias("end"), F.concat(F.lit("+"), s["text"]).alias("text"), s["whole"].alias("whole"), F.lit(None).cast("string").alias("before"), s["after"].alias("after")))
+
+    return F.flatten(F.transform(_digits_at(failed), each))
+
+
+def pieces(numbers: Column, base: Column) -> Column:
+    """What is left of spans that base spans overlap, from its first digit or bracket to its last digit."""
+
+    def each(s):
+        inner = F.array_sort(F.transform(F.filter(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])), lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"))))
+        zero = F.struct(s["start"].alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+        step = lambda acc, b: F.struct(F.greatest(acc["at"], b["end"]).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), b["start"].alias("end")))).alias("out"))
+        gaps = F.aggregate(inner, zero, step, lambda acc: F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), s["end"].alias("end")))))
+        raw = F.transform(F.when(F.size(inner) > 0, F.filter(gaps, lambda g: g["start"] < g["end"])).otherwise(F.array().cast("array<struct<start:int,end:int>>")), lambda g: F.struct(g["end"].alias("end"), F.substring(s["text"], g["start"] - s["start"] + 1, g["end"] - g["start"]).alias("text")))
+        head = F.transform(raw, lambda g: F.struct((g["end"] - F.length(F.regexp_replace(g["text"], "^[^0-9(]+", ""))).alias("start"), F.regexp_replace(F.regexp_replace(g["text"], "^[^0-9(]+", ""), "[^0-9]+$", "").alias("text")))
+        return F.transform(head, lambda g: F.struct(g["start"].cast("int").alias("start"), (g["start"] + F.length(g["text"])).cast("int").alias("end"), g["text"].alias("text")))
+
+    return F.flatten(F.transform(numbers, each))
+
+
 def _shapes(numbers: Column) -> dict[int, Column]:
     """Runs of digits by the kind that their shape suggests."""
     shape = lambda s: F.length(_digits(s["text"]))
@@ -112,12 +177,22 @@ def _side(char: Column) -> Column:
     return F.when(F.coalesce(char, F.lit("")).rlike(r"^\s?$"), 0).when(char.rlike(r"\p{L}"), 1).when(char.rlike("[0-9]"), 2).otherwise(3)
 
 
-def _features(kind: int, text: Column, s: Column) -> Column:
+def _form(s: Column, whole: Column) -> Column:
+    fours = s["text"].rlike(r"^[0-9]{4}[\x20-][0-9]{4}[\x20-][0-9]{4}[\x20-][0-9]{1,4}([\x20-][0-9]{1,3})?$")
+    return F.when(~whole, _CUT).when(s["text"].rlike("^[0-9]+$"), _ONE).when(fours, _FOURS).otherwise(_MIXED)
+
+
+def _features(kind: int, text: Column, s: Column, part: bool = False) -> Column:
+    """``part``: ``s`` is part of a run, and has the characters beside it that are in the run."""
     digits = F.length(_digits(s["text"]))
     bins = F.when(digits == 0, 0).when(digits < 7, 1).when(digits < 8, 2).when(digits < 11, 3).when(digits < 13, 4).when(digits < 16, 5).when(digits < 20, 6).otherwise(7)
     dots = F.length(s["text"]) - F.length(F.replace(s["text"], F.lit("."), F.lit("")))
     seps = F.length(F.regexp_replace(s["text"], "[^\\x20()/-]", ""))
     before = F.when(s["start"] > 0, F.substring(text, s["start"], F.lit(1))).otherwise("")
+    after = F.substring(text, s["end"] + 1, F.lit(1))
+    if part:
+        inside = lambda c: F.when(F.length(c) > 0, c)
+        before, after = F.coalesce(inside(s["before"]), before), F.coalesce(inside(s["after"]), after)
     return F.struct(
         s["start"].alias("start"),
         s["end"].alias("end"),
@@ -126,15 +201,16 @@ def _features(kind: int, text: Column, s: Column) -> Column:
         F.least(seps, F.lit(2)).alias("seps"),
         F.when(dots == 0, 0).when(dots == 3, 2).otherwise(1).alias("dots"),
         _side(before).alias("before"),
-        _side(F.substring(text, s["end"] + 1, F.lit(1))).alias("after"),
+        _side(after).alias("after"),
         luhn(_digits(s["text"])).cast("int").alias("luhn"),
         s["text"].startswith("+").cast("int").alias("plus"),
+        (_form(s, s["whole"] if part else F.lit(True)) if kind == 2 else F.lit(_ONE)).alias("form"),
         F.coalesce(valid(KINDS[kind], s["text"]), F.lit(False)).alias("valid"),
     )
 
 
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with _text, _base and _loose: arrays of spans with features; only base spans that pass are marked valid."""
+    """``docs`` with _text, _base, _parts and _loose: arrays of spans with features; base spans and parts that pass are valid."""
     df = docs.withColumn("_text", clean(F.col(text)))
     t = F.col("_text")
     parts = {f"_{k}": c for k, c in (matches(t) | proposals(t)).items()}
@@ -142,10 +218,14 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumns({k: _spans(F.col(k)) for k in parts})
     dots = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.translate(s["text"], _JOINT, ".").alias("text"))
     df = df.withColumn("_email", F.transform("_email", dots))
-    of = lambda kind, spans: F.transform(spans, partial(_features, kind, t))
+    of = lambda kind, spans: F.transform(spans, lambda s: _features(kind, t, s))
     base = F.concat(*(of(i, F.col(f"_{k}")) for i, k in enumerate(KINDS)))
+    df = df.withColumn("_base", base)
+    failing = lambda k: F.filter(f"_{KINDS[k]}", lambda s: (F.length(_digits(s["text"])) >= (13, 16)[k == 3]) & ~valid(KINDS[k], s["text"]))
+    df = df.withColumn("_numbers", F.concat("_numbers", pieces(F.col("_numbers"), F.filter("_base", lambda s: s["valid"]))))
     loose = F.concat(of(0, F.col("_spelt")), *(of(i, c) for i, c in _shapes(F.col("_numbers")).items()))
-    return df.withColumns({"_base": base, "_loose": loose}).drop(*parts)
+    cuts = F.concat(F.transform(windows(failing(2)), lambda s: _features(2, t, s, True)), F.transform(prefixes(failing(3)), lambda s: _features(3, t, s, True)))
+    return df.withColumns({"_loose": loose, "_parts": cuts}).drop(*parts)
 
 
 class Forest:
@@ -217,26 +297,44 @@ def boost(x: dict[str, np.ndarray], y: np.ndarray, weight: np.ndarray, rounds: i
         last = np.append(f[order][1:] < f[order][:-1] - 1e-12, True)
         enough = np.flatnonzero((good >= precision * total) & last)
         if len(enough):
-            thresholds[kind] = float(f[order][enough[-1]]) - 1e-9
+            thresholds[kind] = max(float(f[order][enough[-1]]), 0.0) - 1e-9  # nothing that is rather wrong
     return Forest(trees, thresholds)
 
 
-def train(found: DataFrame) -> Forest:
-    """Fit on the histogram of all base candidates; their validators are the labels, their shapes the features.
+def labels(x: dict[str, np.ndarray], y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """How likely each cell of the histogram is right: its validator's verdict, less what passes by chance.
+
+    A card is taken at its check digit's word where it is one group or groups of four. Other windows overlap each
+    other, and one in ten passes by chance: of those that pass, the share beyond a ninth of those that fail is right.
     """
-    each = found.select(F.explode("_base").alias("s")).select(*(F.col(f"s.{n}") for n in BINS), F.col("s.valid").cast("int").alias("y"))
+    out = y.copy()
+    odd = (x["kind"] == 2) & np.isin(x["form"], (_CUT, _MIXED))
+    cells: dict[tuple, np.ndarray] = {}
+    keys = list(zip(*(x[k] for k in BINS if k != "luhn")))
+    for k in np.flatnonzero(odd):
+        cells.setdefault(keys[k], np.zeros(2))[int(y[k])] += n[k]
+    for k in np.flatnonzero(odd & (y > 0)):
+        fail, good = cells[keys[k]]
+        out[k] = max(0.0, 1 - (fail / 9 + 1) / good)
+    return out
+
+
+def train(found: DataFrame) -> Forest:
+    """Fit on the histogram of all base candidates and parts of failed runs; ``labels`` tells what is right."""
+    each = found.select(F.explode(F.concat("_base", "_parts")).alias("s")).select(*(F.col(f"s.{n}") for n in BINS), F.col("s.valid").cast("int").alias("y"))
     rows = each.groupBy(*BINS, "y").agg(F.count("*").alias("n")).orderBy(*BINS, "y").collect()  # at most 2 * _CODES
-    x = {n: np.array([r[n] for r in rows], np.int64) for n in BINS}
-    return boost(x, np.array([r["y"] for r in rows], float), np.array([r["n"] for r in rows], float))
+    x = {k: np.array([r[k] for r in rows], np.int64) for k in BINS}
+    n = np.array([r["n"] for r in rows], float)
+    return boost(x, labels(x, np.array([r["y"] for r in rows], float), n), n)
 
 
 def select(found: DataFrame, forest: Forest) -> DataFrame:
-    """Adds base and spans (kind, start, end; sorted) to rows that have _base and _loose."""
+    """Adds base and spans (kind, start, end; sorted) to rows that have _base, _parts and _loose; what is added may overlap."""
     plain = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
     base = F.array_sort(F.transform(F.filter("_base", lambda s: s["valid"]), plain))
     df = found.withColumn("base", base)
     free = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    added = F.transform(F.filter("_loose", lambda s: free(s) & forest.selects(s)), plain)
+    added = F.transform(F.filter(F.concat("_parts", "_loose"), lambda s: free(s) & forest.selects(s)), plain)
     return df.withColumn("spans", F.array_sort(F.array_distinct(F.concat("base", added))))
 
 
@@ -251,7 +349,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     Null text counts as empty and has no spans. Repeated rows and null keys give rows of their own; other columns are
     ignored. An empty table gives an empty result and a forest without trees.
     """
-    found = cut(candidates(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))).select("doc_id", "_base", "_loose"))
+    found = cut(candidates(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))).select("doc_id", "_base", "_parts", "_loose"))
     return select(found, train(found)).select("doc_id", "base", "spans")
 
 

@@ -235,3 +235,31 @@ def test_sharding_moves_only_into_the_new_shard(docs):
     got = sharding.assign(docs, 5).toPandas()
     assert set(got[got.shard != got.grown_shard].grown_shard) <= {5}
     assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
+
+
+def test_pii_in_runs_that_fail(spark):
+    def card():
+        digits = "4" + "".join(rng.choice("0123456789") for _ in range(14))
+        return next(digits + c for c in "0123456789" if _luhn(digits + c))
+
+    rng = random.Random(3)
+    broken = lambda: next(c for c in iter(lambda: "7" + "".join(rng.choice("0123456789") for _ in range(15)), None) if not _luhn(c))
+    rows = [f"card {card()} paid" for _ in range(40)] + [f"item {broken()} sold" for _ in range(40)]
+    rows += [f"call +1 ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)} now" for _ in range(40)] + [f"from 10.{k}.3.4 today" for k in range(40)]
+    shapes = [
+        ("a 7536784127813050 4845168114407329 b", ["7536784127813050", "4845168114407329"]),
+        ("a 2353820953013749 4550997810720808 b", ["4550997810720808"]),
+        ("a +1 (826) 555-4081 190.137.223.204 b", ["+1 (826) 555-4081", "190.137.223.204"]),
+        ("a +1 (843) 555-7672 170.106.47.218 b", ["+1 (843) 555-7672", "170.106.47.218"]),
+    ]
+    d = spark.createDataFrame(list(enumerate([*rows, *(t for t, _ in shapes)])), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.redact(d).collect()}
+    for k, (text, hidden) in enumerate(shapes, len(rows)):
+        assert all(h not in got[k] for h in hidden), (text, got[k])
+    assert [got[len(rows)], got[len(rows) + 1]] == ["a [CARD] [CARD] b", "a 2353820953013749 [CARD] b"]  # the first group of the second fails the check
+    assert all(got[k] == rows[k] for k in range(40, 80))
+    # parts overlap each other: every window of a run of 20 digits and every start of a phone run
+    one = spark.createDataFrame([(0, "x 12345678901234567890 y +12 345 678 90 1234 5678 z")], "doc_id long, text string")
+    found = pii.candidates(one).select("_parts").collect()[0][0]
+    assert sum(s.kind == 2 for s in found) == sum(20 - n + 1 for n in range(13, 20)) + sum(18 - n + 1 for n in range(13, 19))
+    assert [(s.start, s.end) for s in found if s.kind == 3] == [(25, 36), (25, 39), (25, 44)]
