@@ -8,7 +8,9 @@ its length and its rank among pieces of that length, so no task holds more than
 from __future__ import annotations
 
 import bisect
+import itertools
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -90,59 +92,104 @@ def best_fit(counts: dict[int, int], capacity: int, used: int = 0, ranks: dict[i
     return bins.used, out
 
 
+def _sums(counts: dict[int, int], sizes: list[int], room: int) -> list[int]:
+    """For each k, the sums up to ``room`` that sizes[k:] can make, as bits of an integer."""
+    full, out = (1 << (room + 1)) - 1, [1]
+    for s in reversed(sizes):
+        bits, left, step = out[-1], min(counts[s], room // s), 1
+        while left:
+            take = min(step, left)
+            bits |= bits << (take * s) & full
+            left, step = left - take, step * 2
+        out.append(bits)
+    return out[::-1]
+
+
+def by_waste(counts: dict[int, int], sizes: list[int], room: int) -> Iterator[tuple[int, ...]]:
+    """All multisets of ``sizes`` (largest first) that fit into ``room``, those that waste least first."""
+    sums = _sums(counts, sizes, room)
+
+    def exactly(at: int, left: int, chosen: tuple[int, ...]) -> Iterator[tuple[int, ...]]:
+        if not left:
+            yield chosen
+            return
+        while at < len(sizes) and sums[at] >> left & 1:
+            s = sizes[at]
+            at += 1
+            for n in range(min(counts[s], left // s), 0, -1):
+                if sums[at] >> (left - n * s) & 1:
+                    yield from exactly(at, left - n * s, (*chosen, *[s] * n))
+
+    for total in range(room, -1, -1):
+        if sums[0] >> total & 1:
+            yield from exactly(0, total, ())
+
+
 def fillings(counts: dict[int, int], room: int, most: int, examine: int) -> list[tuple[int, ...]]:
-    """Undominated multisets of lengths that fit into ``room``, least waste first.
+    """The first ``most`` undominated multisets of lengths that fit into ``room``, least waste first.
 
-    A filling is dominated if one item outside could stand for some of its items and waste less room.
+    A filling is dominated if one item outside could stand for some of its items, or none, and waste less room.
     """
     if room in counts:
         return [(room,)]
     sizes = sorted((s for s in counts if s <= room), reverse=True)
-    found: list[tuple[int, ...]] = []
-    budget = examine
-
-    def extend(at: int, left: int, chosen: tuple[int, ...]) -> None:
-        nonlocal budget
-        if budget <= 0:
-            return
-        grew = False
-        for k in range(at, len(sizes)):
-            s = sizes[k]
-            if s <= left and chosen.count(s) < counts[s]:
-                grew = True
-                extend(k, left - s, (*chosen, s))
-                if budget <= 0:
-                    return
-        if not grew and not any(s <= left and chosen.count(s) < counts[s] for s in sizes):
-            budget -= 1
-            found.append(chosen)
 
     def dominated(chosen: tuple[int, ...]) -> bool:
-        slack = room - sum(chosen)
-        sums = {0}
-        for s in chosen[:12]:
-            sums |= {x + s for x in sums}
-        return slack > 0 and any(x > 0 and any(x < s <= x + slack and chosen.count(s) < counts[s] for s in sizes) for x in sums)
-
-    extend(0, room, ())
-    whole = sorted(set(found), key=lambda c: (room - sum(c), c))
-    kept = [c for c in whole if not dominated(c)]
-    return (kept or whole or [()])[:most]
+        slack, sums = room - sum(chosen), 1
+        for s in chosen:
+            sums |= sums << s
+        return slack > 0 and any(chosen.count(s) < counts[s] and sums >> max(s - slack, 0) & (1 << min(s, slack)) - 1 for s in sizes)
+
+    whole = list(itertools.islice(by_waste(counts, sizes, room), 1))
+    kept = itertools.islice((c for c in itertools.islice(by_waste(counts, sizes, room), examine) if not dominated(c)), most)
+    return list(kept) or whole
+
+
+def _take(left: dict[int, int], ranks: dict[int, int], used: int, whole: tuple[int, ...]) -> tuple[dict, dict, int, list[Segment]]:
+    """Sequences filled by ``whole`` as often as the histogram allows: what is left, its ranks, how many, the segments."""
+    need: dict[int, int] = {}
+    for s in whole:
+        need[s] = need.get(s, 0) + 1
+    times = min(left[s] // n for s, n in need.items())
+    now, then, offset, steps = dict(left), dict(ranks), 0, []
+    for s, n in need.items():
+        steps.append((s, then.get(s, 0), n * times, used, n, offset))
+        offset += s * n
+        then[s] = then.get(s, 0) + n * times
+        now[s] -= n * times
+        if not now[s]:
+            del now[s]
+    return now, then, times, steps
+
+
+def dive(counts: dict[int, int], capacity: int, examine: int) -> tuple[int, list[Segment]]:
+    """Sequences and segments where the largest piece left always gets the filling that wastes least, to the last piece."""
+    left, ranks, used, out = counts, {}, 0, []
+    while left:
+        top = max(left)
+        rest = {s: c - (s == top) for s, c in left.items() if c > (s == top)}
+        left, ranks, times, steps = _take(left, ranks, used, (top, *fillings(rest, capacity - top, 1, examine)[0]))
+        used += times
+        out += steps
+    return used, out
 
 
-def plan(counts: dict[int, int], capacity: int, nodes: int = 40, branch: int = 4, examine: int = 200) -> tuple[int, list[Segment]]:
+def plan(counts: dict[int, int], capacity: int, nodes: int = 200, branch: int = 4, examine: int = 500) -> tuple[int, list[Segment]]:
     """Sequences used and segments for a histogram of lengths from 1 to ``capacity``.
 
-    Best-fit decreasing is the first incumbent; if it meets the lower bound it is optimal. Otherwise bin completion
-    branches on the fillings around the largest piece, each repeated as often as the histogram allows, prunes a node
-    whose waste so far leaves it no better than the incumbent, and completes every node by best fit for a new
-    incumbent. ``nodes`` bounds the search, not the pieces: the incumbent always places every piece.
+    Best-fit decreasing is the first incumbent; if it meets the lower bound it is optimal. Otherwise a dive to the last
+    piece by least waste is the second. Where it misses the bound, too, bin completion branches on the fillings around
+    the largest piece, each repeated as often as the histogram allows, prunes a node whose waste so far leaves it no
+    better than the incumbent, and completes every node by best fit for a new incumbent. ``nodes`` bounds the search,
+    not the pieces: the incumbent always places every piece.
     """
     counts = {s: c for s, c in counts.items() if c}
     if not counts:
         return 0, []
     bound = lower_bound(counts, capacity)
     best = best_fit(counts, capacity)
+    if best[0] > bound:
+        best = min(best, dive(counts, capacity, examine), key=lambda p: p[0])
     stack: list[tuple[dict, dict, int, list]] = [(counts, {}, 0, [])]
     while stack and nodes > 0 and best[0] > bound:
         left, ranks, used, done = stack.pop()
@@ -153,18 +200,7 @@ def plan(counts: dict[int, int], capacity: int, nodes: int = 40, branch: int = 4
         rest = left | {top: left[top] - 1}
         children = []
         for chosen in fillings({s: c for s, c in rest.items() if c}, capacity - top, branch, examine):
-            need: dict[int, int] = {}
-            for s in (top, *chosen):
-                need[s] = need.get(s, 0) + 1
-            times = min(left[s] // n for s, n in need.items())
-            now, then, offset, steps = dict(left), dict(ranks), 0, []
-            for s, n in need.items():
-                steps.append((s, then.get(s, 0), n * times, used, n, offset))
-                offset += s * n
-                then[s] = then.get(s, 0) + n * times
-                now[s] -= n * times
-                if not now[s]:
-                    del now[s]
+            now, then, times, steps = _take(left, ranks, used, (top, *chosen))
             total, tail = best_fit(now, capacity, used + times, then)
             if total < best[0]:
                 best = total, [*done, *steps, *tail]
@@ -212,7 +248,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int =
     return rows.mapInArrow(split, schema)
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, nodes: int = 40) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 2048, nodes: int = 200) -> DataFrame:
     """``pieces`` (with a column ``length`` from 1 to ``capacity``) with sequence_id and offset.
 
     Sequences are gapless from offset 0 and number from 0. The pieces are checkpointed first, as ranks rest on their

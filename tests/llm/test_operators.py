@@ -1,6 +1,7 @@
 """The training-data operators against brute force on small inputs: nulls, empty texts, ties, repeats, extra columns."""
 
 import collections
+import itertools
 import hashlib
 import math
 import random
@@ -83,6 +84,37 @@ def test_plan_is_as_small_as_brute_force():
         assert packing.plan(dict(collections.Counter(items)), 20, nodes=2000)[0] == least(items, 20)
 
 
+def test_plan_at_production_parameters():
+    rng = random.Random(7)
+    for top, n in ((2048, 20000), (700, 3000), (2048, 3000)):
+        counts = dict(collections.Counter(min(2048, int(rng.expovariate(1 / 900)) + 20) if top == 2048 else rng.randint(300, top) for _ in range(n)))
+        used, segments = packing.plan(counts, 2048)
+        placed, fill = collections.Counter(), collections.defaultdict(list)
+        for length, first, count, start, each, offset in segments:
+            for k in range(count):
+                placed[length, first + k] += 1
+                fill[start + k // each].append((offset + k % each * length, length))
+        assert set(placed.values()) == {1} and set(placed) == {(s, k) for s, c in counts.items() for k in range(c)}
+        assert sorted(fill) == list(range(used))
+        for own in fill.values():
+            own.sort()
+            assert [a for a, _ in own] == [sum(b for _, b in own[:k]) for k in range(len(own))] and sum(b for _, b in own) <= 2048
+        bound, first = packing.lower_bound(counts, 2048), packing.best_fit(counts, 2048)[0]
+        assert used == bound or (top == 700 and used <= bound + (first - bound) // 2), (top, n, bound, first, used)
+
+
+def test_fillings_waste_least():
+    rng = random.Random(8)
+    for _ in range(60):
+        counts = {s: rng.randint(1, 3) for s in rng.sample(range(2, 30), 7)}
+        room = rng.randint(1, 60)
+        every = [c for c in itertools.product(*(range(n + 1) for n in counts.values())) if sum(a * s for a, s in zip(c, counts)) <= room]
+        got = list(packing.by_waste(counts, sorted(counts, reverse=True), room))
+        assert len(got) == len(set(got)) == len(every)
+        assert [sum(c) for c in got] == sorted((sum(a * s for a, s in zip(c, counts)) for c in every), reverse=True)
+        assert sum(packing.fillings(counts, room, 1, 500)[0]) == sum(got[0])
+
+
 @pytest.mark.parametrize("tile", [256, 3])
 def test_jaccard(docs, texts, tile, monkeypatch):
     monkeypatch.setattr(jaccard_join, "TILE_SETS", tile)
