@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 BARE = "aaaaaaceeeeiiiinooooouuuuyy"
 #: Query parameters that only track.
-TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "ref")
+TRACKING = (
+    "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "ref", "source", "campaign", "mc_cid", "mc_eid",
+    "_ga", "_gl", "msclkid", "zanpid", "dclid", "yclid", "wickedid", "twclid", "li_fat_id", "igshid", "epik", "si",
+)
 
 
 def terms(text: Column) -> Column:

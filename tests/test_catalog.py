@@ -65,6 +65,18 @@ def test_scalars(spark):
     assert math.isclose(row.h, 1.0)
 
 
+def test_tracking_parameters(spark):
+    names = """utm_source utm_medium utm_campaign utm_term utm_content fbclid gclid ref source campaign mc_cid mc_eid
+        _ga _gl msclkid zanpid dclid yclid wickedid twclid li_fat_id igshid epik si""".split()
+    urls = [f"https://A.org/x/?z=1&{n}=7&b=2" for n in names] + ["https://A.org/x/?z=1&SI=7&b=2", "https://a.org/x?z=1&b=2&site=3&sources=4"]
+    got = [r[0] for r in spark.createDataFrame([(u,) for u in urls], "u string").select(X.normalise_url(F.col("u"))).collect()]
+    assert len(names) == 24 and got == ["https://a.org/x?b=2&z=1"] * 25 + ["https://a.org/x?b=2&site=3&sources=4&z=1"]
+    pages = duckdb.connect()
+    pages.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
+    pages.executemany("INSERT INTO pages VALUES (?, ?)", list(enumerate(urls)))
+    assert [r[1] for r in sorted(pages.execute(catalog.ORACLES["url_normalize"]).fetchall())] == got
+
+
 def test_gap_is_strict(spark):
     rows = spark.createDataFrame([(1, 0), (1, 3600), (1, 7201)], "u int, s long").withColumn("ts", F.timestamp_seconds("s"))
     assert [r.sprint for r in relational.sessions(rows, "u", "ts", "s", 1).orderBy("s").collect()] == [0, 0, 1]
