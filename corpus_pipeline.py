@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import jaccard_join, mixing, packing, pii, quality
-from quarry.llm.common import checkpoint_dir, read
+from quarry.llm.common import checkpoint_dir, cut, read
 from quarry.llm.queries import MARGIN, THRESHOLD, tokenizer_path
 
 
@@ -20,10 +20,23 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar texts: the one with the smallest doc_id. Texts without words all stay."""
-    groups = jaccard_join.similar_texts(docs, n=5, threshold="0.8")
-    gone = groups.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of similar texts: one with the smallest doc_id (null last). Texts without words all stay.
+
+    Rows are told apart by doc_id and text; of rows that have both in common any one stays.
+    """
+    groups = cut(jaccard_join.similar_texts(docs, n=5, threshold="0.8", keepers=True))
+    left = docs.withColumn("_node", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+
+    def same(pairs: DataFrame) -> tuple[DataFrame, Column]:
+        pairs = pairs.select(F.col("doc_id").alias("_id"), F.col("node").alias("_of"))
+        return pairs, (left["_node"] == pairs["_of"]) & left["doc_id"].eqNullSafe(pairs["_id"])
+
+    out = left.join(*same(groups.where(~F.col("keep")).select("doc_id", "node").distinct()), "left_anti")
+    repeated = groups.where(F.col("keep") & (F.col("n_shingles") > 0)).groupBy("doc_id", "node").count().where("count > 1")
+    if not repeated.isEmpty():
+        once = left.join(*same(repeated), "left_semi").dropDuplicates(["doc_id", "_node"])
+        out = out.join(*same(repeated), "left_anti").unionByName(once)
+    return out.select(*docs.columns)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -103,18 +103,23 @@ def _blob_schema() -> str:
     return "dg int, bucket int, low binary, high binary"
 
 
-def similar_texts(docs: DataFrame, n: int = 4, threshold: Fraction | float | str = "0.85", key: str = "doc_id", text: str = "text", rare: int = 8) -> DataFrame:
-    """One row per input row: key, n_shingles, component_id.
+def similar_texts(docs: DataFrame, n: int = 4, threshold: Fraction | float | str = "0.85", key: str = "doc_id", text: str = "text", rare: int = 8, keepers: bool = False) -> DataFrame:
+    """One row per input row: key, n_shingles, component_id; with ``keepers``: key, n_shingles, node (the text's md5), keep.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a set is the distinct n-word shingles, or the whole
     sequence if the text has fewer words. Sets with Jaccard similarity of at least ``threshold`` link; component_id is
     the smallest key reachable. Null or empty texts have no shingles and link with nothing (component_id: own key);
     rows with a null key take no part (component_id: null; their n_shingles is null too). Repeated rows are each
     returned. Other columns are ignored. An empty table gives an empty result.
+
+    With ``keepers``, rows with a null key take part, too. keep holds for the rows of one key and text of each component,
+    the smallest key (null last) and then the smallest node, and for all rows without shingles.
     """
     spark = docs.sparkSession
     t = Fraction(str(threshold))
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("node", F.unhex(F.md5("text")))
+    if keepers:
+        rows = rows.withColumn("own", F.col("doc_id")).withColumn("doc_id", F.coalesce("doc_id", F.xxhash64("text")))
     total = text_bytes(rows)
     groups, shuffle = max(1, math.ceil(total / GROUP_BYTES)), partitions(spark)
     buckets = groups
@@ -194,6 +199,13 @@ def similar_texts(docs: DataFrame, n: int = 4, threshold: Fraction | float | str
     smallest = kept.select("node", F.col("doc_id"))
     named = smallest.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     component = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    if keepers:
+        order = lambda *more: F.struct(F.col("own").isNull().alias("missing"), F.col("own").alias("own"), *more)
+        first = rows.groupBy("node").agg(F.min(order()).alias("first")).select("node", "first.own")
+        best = named.join(first, "node").groupBy("label").agg(F.min(order(F.col("node"))).alias("best")).select("label", F.col("best.own").alias("best_own"), F.col("best.node").alias("best_node"))
+        nodes = named.join(best, "label").select("node", "best_own", "best_node").join(sizes, "node")
+        keep = (F.col("size") == 0) | ((F.col("node") == F.col("best_node")) & F.col("own").eqNullSafe(F.col("best_own")))
+        return rows.select("own", "node").join(nodes, "node").select(F.col("own").alias("doc_id"), F.col("size").alias("n_shingles"), "node", keep.alias("keep"))
     result = named.join(component, "label").select("node", "component_id").join(sizes, "node").select("node", "component_id", F.col("size").alias("n_shingles"))
     out = rows.select("doc_id", "node").join(result, "node", "left")
     return out.select(

@@ -57,6 +57,17 @@ def test_similar_stage(stages):
     assert set(rows(stages["similar"])) == {i for i in sets if least[i] == i}
 
 
+def test_similar_stage_keeps_one_row_of_each_group(spark):
+    a, b, c, d = ("".join(f"{x}{k} " for k in range(20)) for x in "abcd")
+    near = a + "a20 "
+    docs = [(1, a, "x"), (1, a, "x"), (1, a, "x"), (2, near, "x"), (3, b, "x"), (3, c, "x"), (0, c, "x"), (None, d, "x"), (None, d, "y"), (None, a, "x"), (7, None, "x"), (None, "", "x"), (None, "", "x"), (4, d + "d20 ", "x"), (None, d + "x1 ", "x")]
+    docs += [(None, "only here without an id", "x"), (None, "only here without an id", "x")]
+    got = corpus_pipeline.drop_similar(spark, spark.createDataFrame(docs, "doc_id long, text string, lang string"), FOLDER)
+    want = [(1, a), (3, b), (0, c), (4, d + "d20 "), (7, None), (None, ""), (None, ""), (None, "only here without an id")]
+    assert collections.Counter((r.doc_id, r.text) for r in got.collect()) == collections.Counter(want)
+    assert got.columns == ["doc_id", "text", "lang"]
+
+
 def test_pii_stage(stages):
     email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
     before, after = rows(stages["similar"]), rows(stages["pii"])
