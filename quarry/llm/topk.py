@@ -15,17 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEPTHS = (0.125, 0.25, 0.5)
+#: Shares of each list that are read before the stop rule is tried; at the last one all is shown and bounds are scores.
+DEPTHS = (0.125, 0.25, 0.5, 0.75, 0.9, 1.0)
 
 
-def search(queries: np.ndarray, qid: np.ndarray, items: np.ndarray, vid: np.ndarray, k: int, depths=DEPTHS, few: float = 0.05) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, item id, score) of each query's k best items of one cell, ties to smaller ids, its own id apart."""
+def survivors(queries: np.ndarray, items: np.ndarray, own: np.ndarray, k: int, depths=DEPTHS, few: float = 0.05) -> np.ndarray:
+    """Which pairs can still be among a query's k best when the reading stops; ``own`` pairs never are."""
     n = len(items)
-    order = np.argsort(vid, kind="stable")
-    items, vid = items[order].astype(np.float64), vid[order]
-    queries = queries.astype(np.float64)
     plus, minus = np.maximum(queries, 0), np.minimum(queries, 0)
-    own = qid[:, None] == vid[None, :]
     alive = ~own
     lists = np.sort(items, axis=0)
     low, high = lists[0], lists[-1]
@@ -39,11 +36,19 @@ def search(queries: np.ndarray, qid: np.ndarray, items: np.ndarray, vid: np.ndar
         alive &= upper >= bar[:, None]
         if alive.mean() <= few:
             break
+    return alive
+
+
+def search(queries: np.ndarray, qid: np.ndarray, items: np.ndarray, vid: np.ndarray, k: int, depths=DEPTHS, few: float = 0.05) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query id, item id, score) of each query's k best items of one cell, ties to smaller ids, its own id apart."""
+    order = np.argsort(vid, kind="stable")
+    items, vid = items[order].astype(np.float64), vid[order]
+    queries = queries.astype(np.float64)
+    alive = survivors(queries, items, qid[:, None] == vid[None, :], k, depths, few)
     out = [], [], []
-    whole = queries @ items.T if alive.mean() > 0.1 else None
     for q in range(len(queries)):
         left = np.flatnonzero(alive[q])
-        score = whole[q, left] if whole is not None else items[left] @ queries[q]
+        score = items[left] @ queries[q]
         if len(left) > k:
             bar = np.partition(score, len(score) - k)[len(score) - k]
             keep = score >= bar

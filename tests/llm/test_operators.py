@@ -295,3 +295,13 @@ def test_pii_in_runs_that_fail(spark):
     found = pii.candidates(one).select("_parts").collect()[0][0]
     assert sum(s.kind == 2 for s in found) == sum(20 - n + 1 for n in range(13, 20)) + sum(18 - n + 1 for n in range(13, 19))
     assert [(s.start, s.end) for s in found if s.kind == 3] == [(25, 36), (25, 39), (25, 44)]
+
+
+def test_top_k_reads_until_the_stop_rule_holds():
+    rng = np.random.default_rng(4)
+    items = np.floor(rng.normal(size=(600, 64)) * 40)
+    queries, own = items[:20], np.eye(20, 600, dtype=bool)
+    alive = topk.survivors(queries, items, own, 5)
+    assert alive.mean() <= 0.05 and (alive.sum(axis=1) >= 5).all() and not alive[own].any()
+    exact = np.where(own, -np.inf, queries @ items.T)
+    assert alive[exact >= np.sort(exact, axis=1)[:, -5][:, None]].all()
