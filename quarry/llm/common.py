@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import re
 import tempfile
 
 import numpy as np
@@ -9,21 +12,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that one vectorised step handles at once.
-SLICE_BYTES = 4 << 20
+#: Bytes of text that one vectorised step handles at once; it takes about 40 times as much memory.
+SLICE_BYTES = 1 << 19
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _PINV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: list[np.ndarray] = []
+_libc = None
+with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim(0)
 
 
 def checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named in spark.checkpoint.dir; set one only where the setting is absent."""
+    """Use the folder named in spark.checkpoint.dir. Where it is unset, a local master gets a folder of its own; a cluster is refused one."""
     if spark.sparkContext.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="quarry-checkpoint-"))
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that was written under the checkpoint folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def give_back() -> None:
+    """Return freed memory of this worker to the system; workers are reused and would keep their largest size."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise into the reliable checkpoint folder and drop the lineage."""
     checkpoint_dir(df.sparkSession)
@@ -61,7 +83,7 @@ _LOWER[65:91] += 32
 
 def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + (1 << 16))
+        size = max(n, SLICE_BYTES + (1 << 12))
         with np.errstate(over="ignore"):
             _powers[:] = [np.cumprod(np.full(size, p, np.uint64)) for p in (_P, _PINV)]
     return _powers[0], _powers[1]
@@ -93,29 +115,47 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES):
         i = min(j, n)
 
 
+def _cut_after(data: np.ndarray, stop: int, edges: np.ndarray) -> int:
+    """The first place from ``stop`` on that is no place inside a word: a separator or the edge of a row."""
+    k = int(np.searchsorted(edges, stop))
+    last = int(edges[k]) if k < len(edges) else len(data)
+    while stop < last:
+        found = np.flatnonzero(_SPACE[data[stop : min(stop + 4096, last)]])
+        if len(found):
+            return stop + int(found[0])
+        stop = min(stop + 4096, last)
+    return last
+
+
 def word_hashes(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of A-Z-lower-cased texts, and each word's row."""
-    n = len(data)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    low = _LOWER[data]
-    word = ~_SPACE[low]
-    edge = np.zeros(n + 1, bool)
-    edge[offsets] = True
-    before = np.empty(n, bool)
-    before[0] = False
-    before[1:] = word[:-1]
-    start = np.flatnonzero(word & (~before | edge[:-1]))
-    after = np.empty(n, bool)
-    after[-1] = False
-    after[:-1] = word[1:]
-    end = np.flatnonzero(word & (~after | edge[1:])) + 1
-    power, inverse = power_tables(n)
-    with np.errstate(over="ignore"):
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[low] * power[:n], out=total[1:])
-        h = mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
-    return h, np.searchsorted(offsets, start, side="right") - 1
+    """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of A-Z-lower-cased texts, and each word's row.
+
+    Works through the bytes in runs of about ``SLICE_BYTES`` that end between words, however long a text is.
+    """
+    hashes, rows, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while at < len(data):
+        stop = len(data) if at + SLICE_BYTES >= len(data) else _cut_after(data, at + SLICE_BYTES, offsets)
+        low = _LOWER[data[at:stop]]
+        n = len(low)
+        word = ~_SPACE[low]
+        edge = np.zeros(n + 1, bool)
+        edge[offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, stop, side="right")] - at] = True
+        before = np.empty(n, bool)
+        before[0] = False
+        before[1:] = word[:-1]
+        start = np.flatnonzero(word & (~before | edge[:-1]))
+        after = np.empty(n, bool)
+        after[-1] = False
+        after[:-1] = word[1:]
+        end = np.flatnonzero(word & (~after | edge[1:])) + 1
+        power, inverse = power_tables(n)
+        with np.errstate(over="ignore"):
+            total = np.zeros(n + 1, np.uint64)
+            np.cumsum(_BYTE[low] * power[:n], out=total[1:])
+            hashes.append(mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64)))
+        rows.append(np.searchsorted(offsets, start + at, side="right") - 1)
+        at = stop
+    return np.concatenate(hashes), np.concatenate(rows)
 
 
 _ROLE = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25)) | np.uint64(1)

@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut, mix, partitions, shingle_sets, squeeze, string_buffers, text_bytes, unsqueeze
+from quarry.llm.common import cut, give_back, mix, partitions, shingle_sets, string_buffers, text_bytes
 from quarry.llm.components import connected_components
+from quarry.llm.counting import SENT, Sender, Shape, answer, cuts, whole_counts
 
-GROUP_BYTES = 8 << 20
 #: A tile holds about this many sets and this many bytes of tokens, or one longer set.
 TILE_SETS = 256
 TILE_BYTES = 2 << 20
@@ -35,9 +35,11 @@ COLUMNS = 4096
 _U = np.uint64
 
 
-def _kept_texts(key, docs: pa.Table, kept: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def _kept_texts(docs: pa.Table, kept: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Nodes, offsets and bytes of the texts of this group that stand for their copies."""
-    want = {(n, d) for n, d in zip(kept["node"].to_pylist(), kept["doc_id"].to_pylist())}
+    if not kept.num_rows:  # all texts of the group stand behind copies elsewhere; the columns may be missing, too
+        return [], np.zeros(1, np.int64), np.zeros(0, np.uint8)
+    want = {(n, d) for n, d in zip(kept["rep"].to_pylist(), kept["rep_id"].to_pylist())}
     rows, nodes = [], []
     for k, pair in enumerate(zip(docs["node"].to_pylist(), docs["doc_id"].to_pylist())):
         if pair in want:
@@ -48,59 +50,46 @@ def _kept_texts(key, docs: pa.Table, kept: pa.Table) -> tuple[list[bytes], np.nd
     return nodes, offsets, data
 
 
-def _buckets(tokens: np.ndarray, n: int) -> np.ndarray:
-    """Edges of n ranges of equal width in sorted tokens."""
-    if n == 1:
-        return np.zeros(0, np.int64)
-    step = _U((1 << 64) // n)
-    return np.searchsorted(tokens, np.arange(1, n, dtype=_U) * step)
-
-
 def _prefix(size: int, need: int, extra: int) -> int:
     return min(size, size - need + 1 + extra)
 
 
-def signatures(tokens: np.ndarray, df: np.ndarray, t: Fraction, rare: int) -> list[tuple[int, int, int]]:
-    """(signature, kind, place) of one set; tokens are in the global order (df, token) with their frequencies.
+def signatures(tokens: np.ndarray, df: np.ndarray, t: Fraction, rare: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures, kinds and places of one set; tokens are in the global order (df, token) with their frequencies.
 
-    kind 0: single rare token, with its place in the order; kind 1: pair of frequent tokens.
+    kind 0: single rare token, with its place in the order; kind -1: pair of frequent tokens.
     """
     size = len(tokens)
     need = math.ceil(t * size)
-    out = []
     first = _prefix(size, need, 0)
     rares = int(np.searchsorted(df, rare, side="right"))
     tiny = math.ceil(t * need) < 2  # a partner may share one shingle only, so frequent ones are indexed alone too
-    for k in range(first if tiny else min(first, rares)):
-        if df[k] > 1:
-            out.append((int(tokens[k]), 0, k))
-    if rares >= size:
-        return out
-    ratio = math.log(float(1 / t))
-    band = int(math.floor(math.log(size) / ratio + 1e-9))
-    for label in (band, band + 1):
-        g = max(1, int((1 - float(t)) * math.exp(label * ratio) / 2))
-        if need < 2:
-            continue
-        g = min(g, max(1, math.ceil(float(t) * math.exp((label - 1) * ratio) * 0.98) - 1))
-        chosen = tokens[rares : _prefix(size, need, g)]
-        if len(chosen) < 2:
-            continue
-        with np.errstate(over="ignore"):
-            sub = mix(chosen + _U(17)) % _U(g)
-            order = np.lexsort((chosen, sub))
-            chosen, sub = chosen[order], sub[order]
-            for gap in range(1, len(chosen)):
-                same = sub[gap:] == sub[:-gap]
-                if not same.any():
-                    break
-                pair = mix(chosen[:-gap][same] * _U(0x9E3779B97F4A7C15) + mix(chosen[gap:][same]) + _U(label))
-                out.extend((int(x), 1, 0) for x in pair)
-    return out
-
-
-def _blob_schema() -> str:
-    return "dg int, bucket int, low binary, high binary"
+    single = np.flatnonzero(df[: first if tiny else min(first, rares)] > 1)
+    pairs = [np.zeros(0, _U)]
+    if rares < size and need >= 2:
+        ratio = math.log(float(1 / t))
+        band = int(math.floor(math.log(size) / ratio + 1e-9))
+        for label in (band, band + 1):
+            g = max(1, int((1 - float(t)) * math.exp(label * ratio) / 2))
+            g = min(g, max(1, math.ceil(float(t) * math.exp((label - 1) * ratio) * 0.98) - 1))
+            chosen = tokens[rares : _prefix(size, need, g)]
+            if len(chosen) < 2:
+                continue
+            with np.errstate(over="ignore"):
+                sub = mix(chosen + _U(17)) % _U(g)
+                order = np.lexsort((chosen, sub))
+                chosen, sub = chosen[order], sub[order]
+                for gap in range(1, len(chosen)):
+                    same = sub[gap:] == sub[:-gap]
+                    if not same.any():
+                        break
+                    pairs.append(mix(chosen[:-gap][same] * _U(0x9E3779B97F4A7C15) + mix(chosen[gap:][same]) + _U(label)))
+    both = np.unique(np.concatenate(pairs))
+    kind = np.zeros(len(single) + len(both), np.int32)
+    kind[len(single) :] = -1
+    place = np.zeros(len(kind), np.int32)
+    place[: len(single)] = single
+    return np.concatenate([tokens[single], both]), kind, place
 
 
 def similar_texts(docs: DataFrame, n: int = 4, threshold: Fraction | float | str = "0.85", key: str = "doc_id", text: str = "text", rare: int = 8, keepers: bool = False) -> DataFrame:
@@ -120,77 +109,61 @@ def similar_texts(docs: DataFrame, n: int = 4, threshold: Fraction | float | str
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("node", F.unhex(F.md5("text")))
     if keepers:
         rows = rows.withColumn("own", F.col("doc_id")).withColumn("doc_id", F.coalesce("doc_id", F.xxhash64("text")))
-    total = text_bytes(rows)
-    groups, shuffle = max(1, math.ceil(total / GROUP_BYTES)), partitions(spark)
-    buckets = groups
-    dg = F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int")
+    shape = Shape.of(text_bytes(rows), partitions(spark))
+    dg = F.pmod(F.xxhash64("doc_id", "node"), F.lit(shape.groups)).cast("int")
     kept = cut(rows.where("doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))).withColumn("dg", dg)
-    parted = rows.where("doc_id IS NOT NULL").withColumn("dg", dg).repartition(shuffle, "dg")
+    parted = rows.where("doc_id IS NOT NULL").withColumn("dg", dg).repartition(shape.tasks, "dg")
 
     def emit(key, left, right):
-        _, offsets, data = _kept_texts(key, left, right)
-        sets = shingle_sets(offsets, data, n)
-        out = {"dg": [], "bucket": [], "low": [], "high": [], "counts": []}
-        if sets and (all_ := np.concatenate(sets)).size:
-            tokens, counts = np.unique(all_, return_counts=True)
-            cuts = [0, *_buckets(tokens, buckets), len(tokens)]
-            for k in range(buckets):
-                if cuts[k] < cuts[k + 1]:
-                    low, high = squeeze(tokens[cuts[k] : cuts[k + 1]])
-                    for name, x in zip(out, (key[0].as_py(), k, low, high, counts[cuts[k] : cuts[k + 1]].astype(np.uint32).tobytes())):
-                        out[name].append(x)
-        return pa.table({k: pa.array(v, pa.int32() if k in ("dg", "bucket") else pa.binary()) for k, v in out.items()})
-
-    def merge(key, table):
-        parts = [unsqueeze(a, b) for a, b in zip(table["low"].to_pylist(), table["high"].to_pylist())]
-        counts = [np.frombuffer(x, np.uint32) for x in table["counts"].to_pylist()]
-        every, at = np.unique(np.concatenate(parts), return_inverse=True)
-        df = np.bincount(at, weights=np.concatenate(counts)).astype(np.int64)[at]
-        found, k = [], 0
-        for p in parts:
-            found.append(np.minimum(df[k : k + len(p)], 0xFFFFFFFF).astype(np.uint32).tobytes())
-            k += len(p)
-        return pa.table({"dg": table["dg"], "bucket": table["bucket"], "df": pa.array(found, pa.binary())}).cast(pa.schema([("dg", pa.int32()), ("bucket", pa.int32()), ("df", pa.binary())]))
+        _, offsets, data = _kept_texts(left, right)
+        sender, sets = Sender(shape, key[0].as_py()), shingle_sets(offsets, data, n)
+        if sets:
+            sender.add(0, *np.unique(np.concatenate(sets), return_counts=True))
+        give_back()
+        return sender.table()
 
     def sign(key, left, right):
-        mark = right["bucket"].to_numpy(zero_copy_only=False)
-        reps = right.filter(pa.array(mark < 0))
-        freq = right.filter(pa.array(mark >= 0)).sort_by("bucket")
-        nodes, offsets, data = _kept_texts(key, left, reps)
+        if not right.num_rows:
+            right = pa.table({"b": pa.array([], pa.int32())})
+        own, answers = (right.filter(pa.array(right["b"].to_numpy(zero_copy_only=False) < 0)), right.filter(pa.array(right["b"].to_numpy(zero_copy_only=False) >= 0)))
+        nodes, offsets, data = _kept_texts(left, own)
         sets = shingle_sets(offsets, data, n)
-        out = {"kind": [], "node": [], "size": [], "sig": [], "place": [], "tokens": []}
-
-        def add(*x):
-            for name, v in zip(out, x):
-                out[name].append(v)
-
         tokens = np.unique(np.concatenate(sets)) if sets else np.zeros(0, _U)
-        df = np.concatenate([np.frombuffer(x, np.uint32) for x in freq["df"].to_pylist()]) if len(freq) else np.zeros(0, np.uint32)
-        for node, own in zip(nodes, sets):
-            add(2, node, len(own), None, None, None)
+        df = whole_counts(answers, 0, [x for x in np.diff(cuts(tokens, shape.wide)).tolist() if x])
+        whole, found = [], []  # of the sets that may have partners: number and shared tokens; number and signatures
+        for k, own in enumerate(sets):
             if not len(own):
                 continue
             f = df[np.searchsorted(tokens, own)]
-            shared = int((f > 1).sum())
-            if shared < math.ceil(t * len(own)):  # tokens of its own alone rule out any partner
+            if int((f > 1).sum()) < math.ceil(t * len(own)):  # tokens of its own alone rule out any partner
                 continue
             order = np.lexsort((own, f))
             sigs = signatures(own[order], f[order], t, rare)
-            if sigs:
-                add(1, node, len(own), None, None, own[f > 1].tobytes())
-                for s, kind, place in dict.fromkeys(sigs):
-                    add(kind * -1, node, len(own), s - (1 << 64) if s >= 1 << 63 else s, place, None)
-        kinds = {"kind": pa.int32(), "node": pa.binary(), "size": pa.int64(), "sig": pa.int64(), "place": pa.int32(), "tokens": pa.binary()}
-        return pa.table({k: pa.array(v, kinds[k]) for k, v in out.items()})
-
-    sent = (
-        parted.groupBy("dg").cogroup(kept.select("dg", "node", "doc_id").repartition(shuffle, "dg").groupBy("dg")).applyInArrow(emit, _blob_schema() + ", counts binary")
-    )
-    counted = sent.repartition(shuffle, "bucket").groupBy("bucket").applyInArrow(merge, "dg int, bucket int, df binary")
-    asked = counted.select("dg", "bucket", F.lit(None).cast("binary").alias("node"), F.lit(None).cast("long").alias("doc_id"), "df").unionByName(
-        kept.select("dg", F.lit(-1).alias("bucket"), "node", "doc_id", F.lit(None).cast("binary").alias("df"))
+            if len(sigs[0]):
+                whole.append((k, own[f > 1].tobytes()))
+                found.append((k, *sigs))
+        size = np.array([len(s) for s in sets], np.int64)
+        sets = tokens = df = None
+        every, blank = np.arange(len(nodes)), lambda m, kind: pa.nulls(m, kind)
+        of = np.repeat([x[0] for x in found], [len(x[1]) for x in found]).astype(np.int64) if found else np.zeros(0, np.int64)
+        joined = lambda k, kind: np.concatenate([x[k] for x in found]).astype(kind) if found else np.zeros(0, kind)
+        names = pa.array(nodes, pa.binary())
+        parts = [
+            (every, np.full(len(every), 2, np.int32), blank(len(every), pa.int64()), blank(len(every), pa.int32()), blank(len(every), pa.binary())),
+            (np.array([k for k, _ in whole], np.int64), np.full(len(whole), 1, np.int32), blank(len(whole), pa.int64()), blank(len(whole), pa.int32()), pa.array([x for _, x in whole], pa.binary())),
+            (of, joined(2, np.int32), pa.array(joined(1, np.uint64).view(np.int64)), pa.array(joined(3, np.int32)), blank(len(of), pa.binary())),
+        ]
+        out = pa.concat_tables(pa.table([pa.array(kind), names.take(pa.array(at)), pa.array(size[at]), sig, place, blob], names=["kind", "node", "size", "sig", "place", "tokens"]) for at, kind, sig, place, blob in parts)
+        give_back()
+        return out
+
+    reps = kept.select("dg", F.col("node").alias("rep"), F.col("doc_id").alias("rep_id"))  # other names: both sides of a cogroup must not share attributes
+    sent = parted.groupBy("dg").cogroup(reps.repartition(shape.tasks, "dg").groupBy("dg")).applyInArrow(emit, SENT)
+    counted = answer(sent, shape)
+    asked = counted.select(F.col("g").alias("dg"), "n", "b", "counts", F.lit(None).cast("binary").alias("rep"), F.lit(None).cast("long").alias("rep_id")).unionByName(
+        reps.select("dg", F.lit(0).alias("n"), F.lit(-1).alias("b"), F.lit(None).cast("binary").alias("counts"), "rep", "rep_id")
     )
-    signed = cut(parted.groupBy("dg").cogroup(asked.repartition(shuffle, "dg").groupBy("dg")).applyInArrow(sign, "kind int, node binary, size long, sig long, place int, tokens binary"))
+    signed = cut(parted.groupBy("dg").cogroup(asked.repartition(shape.tasks, "dg").groupBy("dg")).applyInArrow(sign, "kind int, node binary, size long, sig long, place int, tokens binary"))
     sizes = signed.where("kind = 2").select("node", "size")
     sets = signed.where("kind = 1").select("node", "size", "tokens")
     sigs = signed.where("kind <= 0").select("node", "size", "sig", "place", "kind")
@@ -198,14 +171,15 @@ def similar_texts(docs: DataFrame, n: int = 4, threshold: Fraction | float | str
     label = _link(sigs, sets, t)
     smallest = kept.select("node", F.col("doc_id"))
     named = smallest.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    component = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     if keepers:
         order = lambda *more: F.struct(F.col("own").isNull().alias("missing"), F.col("own").alias("own"), *more)
         first = rows.groupBy("node").agg(F.min(order()).alias("first")).select("node", "first.own")
         best = named.join(first, "node").groupBy("label").agg(F.min(order(F.col("node"))).alias("best")).select("label", F.col("best.own").alias("best_own"), F.col("best.node").alias("best_node"))
+        best = cut(best)
         nodes = named.join(best, "label").select("node", "best_own", "best_node").join(sizes, "node")
         keep = (F.col("size") == 0) | ((F.col("node") == F.col("best_node")) & F.col("own").eqNullSafe(F.col("best_own")))
         return rows.select("own", "node").join(nodes, "node").select(F.col("own").alias("doc_id"), F.col("size").alias("n_shingles"), "node", keep.alias("keep"))
+    component = cut(named.groupBy("label").agg(F.min("doc_id").alias("component_id")))  # cut: then the join can split a hot label
     result = named.join(component, "label").select("node", "component_id").join(sizes, "node").select("node", "component_id", F.col("size").alias("n_shingles"))
     out = rows.select("doc_id", "node").join(result, "node", "left")
     return out.select(
@@ -268,6 +242,7 @@ def _meeting(t: Fraction):
         linked = np.zeros((len(nodes), len(nodes)), bool)
         linked[np.ix_(one, two)] = good
         edges = _forest(linked | linked.T)
+        give_back()
         return pa.table({"a": pa.array([nodes[x] for x, _ in edges], pa.binary()), "b": pa.array([nodes[y] for _, y in edges], pa.binary())})
 
     return meet
@@ -276,12 +251,13 @@ def _meeting(t: Fraction):
 def _link(sigs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
     """Rows (node, label) of the nodes that link with another."""
     p, q = t.numerator, t.denominator
-    common = sigs.groupBy("sig", "kind").agg(F.count("*").alias("m")).where("m > 1")
+    common = cut(sigs.groupBy("sig", "kind").agg(F.count("*").alias("m")).where("m > 1"))  # cut, here and below: then the join can split a hot signature
     live = cut(sigs.join(common.hint("merge"), ["sig", "kind"]).select("sig", "kind", "m", "node", "size"))
     block = live.groupBy("node").agg(F.max(F.struct("m", "sig", "kind")).alias("b"), F.first("size").alias("size"))
     block = block.select("node", "size", F.col("b.sig").alias("bsig"), F.col("b.kind").alias("bkind"))
     extent = block.groupBy("bsig", "bkind").agg(F.count("*").alias("n"), F.sum(F.col("size") * 8).alias("bytes"))
     extent = extent.select("bsig", "bkind", F.ceil(F.greatest(F.col("n") / TILE_SETS, F.col("bytes") / TILE_BYTES)).alias("parts"))
+    block, extent = cut(block), cut(extent)
     tile = block.join(extent.hint("merge"), ["bsig", "bkind"]).select("node", F.xxhash64("bsig", "bkind", F.pmod(F.xxhash64("node"), "parts")).alias("tile"))
     tile = cut(tile)
     seen = live.join(tile.hint("merge"), "node").groupBy("sig", "kind", "tile").agg(F.count("*").alias("n"), F.min("size").alias("low"), F.max("size").alias("high"))

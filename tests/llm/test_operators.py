@@ -11,7 +11,7 @@ import zlib
 import numpy as np
 import pytest
 
-from quarry.llm import archive, jaccard_join, lm_score, mixing, near_dedup, packing, pii, quality, sharding, topk
+from quarry.llm import archive, common, counting, jaccard_join, lm_score, mixing, near_dedup, packing, pii, quality, sharding, topk
 from quarry.llm.queries import tokenizer_path
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -115,8 +115,15 @@ def test_fillings_waste_least():
         assert sum(packing.fillings(counts, room, 1, 500)[0]) == sum(got[0])
 
 
+@pytest.fixture(params=["one group", "many groups"])
+def groups(request, monkeypatch):
+    if request.param == "many groups":  # ranges of ranges and families of two groups
+        monkeypatch.setattr(counting, "GROUP_BYTES", 900)
+        monkeypatch.setattr(counting, "FAN", 2)
+
+
 @pytest.mark.parametrize("tile", [256, 3])
-def test_jaccard(docs, texts, tile, monkeypatch):
+def test_jaccard(docs, texts, tile, monkeypatch, groups):
     monkeypatch.setattr(jaccard_join, "TILE_SETS", tile)
     sets = {}
     for i, text, *_ in texts:
@@ -144,7 +151,18 @@ def test_null_and_repeated_keys(spark):
     assert [r.slot for r in sharding.assign(d, 1).orderBy("slot").collect()] == [0, 1, 2, 3]
 
 
-def test_language_model(docs, texts):
+def test_long_texts_are_hashed_in_pieces(monkeypatch):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("aB \n") for _ in range(rng.randint(0, 400))) for _ in range(50)] + ["x" * 900, "", "Aa " * 400]
+    offsets, data = common.string_buffers(common.pa.array(texts))
+    whole = common.word_hashes(offsets, data)
+    monkeypatch.setattr(common, "SLICE_BYTES", 64)
+    pieces = common.word_hashes(offsets, data)
+    assert all((a == b).all() for a, b in zip(whole, pieces)) and len(whole[0]) == sum(len(words(t)) for t in texts)
+    assert [len(set(x)) for x in (whole[0], {w for t in texts for w in words(t)})][0] == len({w for t in texts for w in words(t)})
+
+
+def test_language_model(docs, texts, groups):
     w = {i: words(t) for i, t, *_ in texts}
     grams = lambda x, n: collections.Counter(tuple(x[k : k + n]) for k in range(len(x) - n + 1))
     total = collections.Counter()
