@@ -39,8 +39,9 @@ class Shape:
     tasks: int
 
     @staticmethod
-    def of(total_bytes: int, partitions: int) -> Shape:
-        groups = max(1, math.ceil(total_bytes / GROUP_BYTES))
+    def of(total_bytes: int, partitions: int, times: int = 1) -> Shape:
+        """One group a partition at least, so that small inputs spread, too. Groups of ``times`` as many bytes share more tokens."""
+        groups = max(partitions, math.ceil(total_bytes / (GROUP_BYTES * times)))
         wide = min(groups, max(FAN, math.isqrt(groups)))
         return Shape(groups, wide, math.ceil(groups / wide), max(partitions, math.ceil(total_bytes / TASK_BYTES)))
 
@@ -52,13 +53,16 @@ def cuts(tokens: np.ndarray, parts: int, start: int = 0, span: int = 1 << 64) ->
 
 
 def _counts(values: np.ndarray) -> bytes:
-    """In two, four or eight bytes each."""
-    top = int(values.max()) if len(values) else 0
-    return values.astype("<u2" if top < 1 << 16 else "<u4" if top < 1 << 32 else "<u8").tobytes()
+    """A byte each; 255 stands for larger ones, which follow in eight bytes each."""
+    large = values[values >= 255].astype("<u8")
+    return np.minimum(values, 255).astype(np.uint8).tobytes() + large.tobytes()
 
 
 def read_counts(blob: bytes, size: int) -> np.ndarray:
-    return np.frombuffer(blob, {2: "<u2", 4: "<u4"}.get(len(blob) // max(size, 1), "<u8")).astype(np.int64)
+    out = np.frombuffer(blob, np.uint8, size).astype(np.int64)
+    if len(blob) > size:
+        out[out == 255] = np.frombuffer(blob, "<u8", offset=size).astype(np.int64)
+    return out
 
 
 class Sender:

@@ -1,8 +1,10 @@
 """Stupid-backoff scores from n-gram count tables partitioned by hash.
 
-Documents are dealt into groups of bounded bytes. A group sends the distinct n-grams of each order, with counts, to
-the partitions of the count tables; a partition sums them over the corpus and answers every group; the groups join the
-answers to their exploded n-grams and sum per document. Text is shuffled once (the second reading reuses it).
+Documents are dealt into groups of bounded bytes. A group sends its distinct n-grams with counts to the partitions of
+the count tables; a partition sums them over the corpus and answers; the groups join the answers to their exploded
+n-grams and sum per document. Longer n-grams are sent only if both (n-1)-grams in them occur outside the group, too:
+what is left out occurs in no other group, so its count in the group is its count in the corpus. Text is shuffled once
+(later readings reuse it). Hashes have 64 bits at every size.
 """
 
 from __future__ import annotations
@@ -14,26 +16,54 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import ngram_hashes, partitions, slices, squeeze, string_buffers, text_bytes, unsqueeze, word_hashes
+from quarry.llm.common import give_back, ngram_hashes, partitions, string_buffers, text_bytes, word_hashes
+from quarry.llm.counting import SENT, Sender, Shape, answer, cuts, whole_counts
 
-GROUP_BYTES = 8 << 20
 _U = np.uint64
-
-
-def _grams(column, order: int, bits: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
-    """For n = 1 to order: hashes and rows of a group's n-grams, in order of place."""
-    offsets, data = string_buffers(column)
-    words = [word_hashes(offsets[i : j + 1] - offsets[i], data[offsets[i] : offsets[j]]) + (i,) for i, j in slices(offsets)]
-    h = np.concatenate([w[0] for w in words]) if words else np.zeros(0, _U)
-    row = np.concatenate([w[1] + w[2] for w in words]) if words else np.zeros(0, np.int64)
-    return [(a >> _U(64 - bits), r) for a, r in (ngram_hashes(h, row, n) for n in range(1, order + 1))], len(offsets) - 1
-
-
-def _own(h: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """How often each n-gram occurs in its own row."""
+#: Orders that are sent at once, before anything is known.
+FIRST = 2
+
+
+class _Group:
+    """The n-grams of one group of texts, order by order, and what the corpus holds of them."""
+
+    def __init__(self, column, shape: Shape):
+        self.offsets, data = string_buffers(column)
+        self.words, self.word_rows = word_hashes(self.offsets, data)
+        self.shape = shape
+        self.wanted: np.ndarray | None = None
+
+    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        return ngram_hashes(self.words, self.word_rows, n)
+
+    def send(self, n: int, sender: Sender) -> None:
+        h, _ = self.grams(n)
+        sender.add(n, *np.unique(h if self.wanted is None else h[self.wanted], return_counts=True))
+
+    def totals(self, n: int, answers: pa.Table) -> np.ndarray:
+        """The corpus counts of all n-grams of order ``n``; then ``wanted`` says which of the next order may be elsewhere."""
+        h, row = self.grams(n)
+        tokens, at, own = np.unique(h, return_inverse=True, return_counts=True)
+        if self.wanted is None:
+            sent = tokens
+        else:
+            sent = np.unique(h[self.wanted])
+        got = whole_counts(answers, n, [x for x in np.diff(cuts(sent, self.shape.wide)).tolist() if x])
+        total = own.astype(np.int64)
+        total[slice(None) if self.wanted is None else np.searchsorted(tokens, sent)] = got
+        elsewhere = (total > own)[at]
+        self.wanted = (elsewhere[:-1] & elsewhere[1:])[row[:-1] == row[1:]] if n >= FIRST else None
+        return total[at]
+
+
+def _others(h: np.ndarray, row: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """How often each n-gram occurs in other rows of the corpus."""
+    out = np.zeros(len(h), np.int64)
+    more = np.flatnonzero(total > 1)  # the others occur here alone
     with np.errstate(over="ignore"):
-        _, at, n = np.unique((h + _U(1)) * _U(0x9E3779B97F4A7C15) ^ row.astype(_U) * _U(0xD6E8FEB86659FD93), return_inverse=True, return_counts=True)
-    return n[at]
+        _, at, n = np.unique((h[more] + _U(1)) * _U(0x9E3779B97F4A7C15) ^ row[more].astype(_U) * _U(0xD6E8FEB86659FD93), return_inverse=True, return_counts=True)
+    out[more] = total[more] - n[at]
+    return out
 
 
 def backoff(grams: list[tuple[np.ndarray, np.ndarray]], totals: list[np.ndarray], rows: int, alpha: float, corpus: int, leave_out: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -42,7 +72,7 @@ def backoff(grams: list[tuple[np.ndarray, np.ndarray]], totals: list[np.ndarray]
     words = np.bincount(grams[0][1], minlength=rows)
     first = np.cumsum(words) - words
     place = np.arange(len(grams[0][1])) - first[grams[0][1]]  # of each word in its row
-    counts = [(t - _own(h, r)) if leave_out else t for (h, r), t in zip(grams, totals)]
+    counts = [_others(h, r, t) if leave_out else t for (h, r), t in zip(grams, totals)]
     size = np.maximum(corpus - (words if leave_out else 0), 1)[grams[0][1]]
     score = np.log(np.maximum(counts[0], 1) / size)
     for n in range(2, order + 1):
@@ -65,51 +95,41 @@ def lm_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, leave_out: bo
     counts as seen once. With ``leave_out`` a document's own occurrences are taken from all counts. Null and empty
     texts have no words and score 0 (mean null). Repeated rows count as documents of their own. Empty in, empty out.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    total, shuffle = text_bytes(rows), partitions(docs.sparkSession)
-    groups = max(1, math.ceil(total / GROUP_BYTES))
-    bits = min(64, 24 + max(1, total).bit_length())
-    parted = rows.withColumn("g", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(groups)).cast("int")).repartition(shuffle, "g")
-
-    def send(key, table):
-        grams, _ = _grams(table.column("text"), order, bits)
-        out = {"g": [], "n": [], "bucket": [], "low": [], "high": [], "counts": []}
-        edges = (np.arange(1, groups, dtype=np.float64) / groups * 2.0**bits).astype(_U)
-        for n, (h, _) in enumerate(grams, 1):
-            tokens, counts = np.unique(h, return_counts=True)
-            cuts = [0, *np.searchsorted(tokens, edges), len(tokens)]
-            for b in range(groups):
-                if cuts[b] < cuts[b + 1]:
-                    low, high = squeeze(tokens[cuts[b] : cuts[b + 1]])
-                    for name, x in zip(out, (key[0].as_py(), n, b, low, high, counts[cuts[b] : cuts[b + 1]].astype(np.uint32).tobytes())):
-                        out[name].append(x)
-        return pa.table({k: pa.array(v, pa.int32() if k in ("g", "n", "bucket") else pa.binary()) for k, v in out.items()})
-
-    def count(table):
-        parts = [unsqueeze(a, b) for a, b in zip(table.column("low").to_pylist(), table.column("high").to_pylist())]
-        counts = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("counts").to_pylist()])
-        _, at = np.unique(np.concatenate(parts), return_inverse=True)
-        every = np.bincount(at, weights=counts).astype(np.int64)[at]
-        stops = np.cumsum([0, *map(len, parts)])
-        found = [every[a:b].astype("<i8").tobytes() if every[a:b].max() >= 1 << 16 else every[a:b].astype("<u2").tobytes() for a, b in zip(stops[:-1], stops[1:])]
-        return pa.table({"g": table.column("g").cast(pa.int32()), "n": table.column("n").cast(pa.int32()), "bucket": table.column("bucket").cast(pa.int32()), "size": pa.array([len(p) for p in parts], pa.int64()), "counts": pa.array(found, pa.binary())})
+    shape = Shape.of(text_bytes(rows), partitions(docs.sparkSession), 2)
+    parted = rows.withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shape.groups)).cast("int")).repartition(shape.tasks, "g")
+
+    def known(own: _Group, answers: pa.Table, upto: int) -> list[np.ndarray]:
+        return [own.totals(n, answers) for n in range(1, upto + 1)]
+
+    def begin(key, table):
+        own, sender = _Group(table.column("text"), shape), Sender(shape, key[0].as_py())
+        for n in range(1, min(FIRST, order) + 1):
+            own.send(n, sender)
+        give_back()
+        return sender.table()
+
+    def further(n):
+        def send(key, left, right):
+            own, sender = _Group(left.column("text"), shape), Sender(shape, key[0].as_py())
+            known(own, right, n - 1)
+            own.send(n, sender)
+            give_back()
+            return sender.table()
+
+        return send
 
     def judge(left, right):
-        grams, n = _grams(left.column("text"), order, bits)
-        right = right.sort_by("bucket")
-        level = right.column("n").to_numpy()
-        sizes, blobs = right.column("size").to_pylist(), right.column("counts").to_pylist()
-        totals = []
-        for k, (h, _) in enumerate(grams, 1):
-            got = [np.frombuffer(blobs[i], "<u2" if len(blobs[i]) == 2 * sizes[i] else "<i8").astype(np.int64) for i in np.flatnonzero(level == k)]
-            tokens = np.unique(h)
-            totals.append(np.concatenate(got)[np.searchsorted(tokens, h)] if len(h) else np.zeros(0, np.int64))
-        words, score = backoff(grams, totals, n, alpha, corpus, leave_out)
+        own = _Group(left.column("text"), shape)
+        totals = known(own, right, order)
+        words, score = backoff([own.grams(n) for n in range(1, order + 1)], totals, len(own.offsets) - 1, alpha, corpus, leave_out)
+        give_back()
         return pa.table({"doc_id": left.column("doc_id").cast(pa.int64()), "n_words": pa.array(words, pa.int64()), "log_score": pa.array(score, pa.float64())})
 
     corpus = rows.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))).first()[0] or 0
-    sent = parted.groupBy("g").applyInArrow(lambda key, table: send(key, table), "g int, n int, bucket int, low binary, high binary, counts binary")
-    counted = sent.repartition(shuffle, "n", "bucket").groupBy("n", "bucket").applyInArrow(count, "g int, n int, bucket int, size long, counts binary")
-    out = parted.groupBy("g").cogroup(counted.repartition(shuffle, "g").groupBy("g")).applyInArrow(judge, "doc_id long, n_words long, log_score double")
+    answers = answer(parted.groupBy("g").applyInArrow(lambda key, table: begin(key, table), SENT), shape).select("g", "n", "b", "counts")
+    for n in range(FIRST + 1, order + 1):
+        back = answers.repartition(shape.tasks, "g").groupBy("g")
+        answers = answers.unionByName(answer(parted.groupBy("g").cogroup(back).applyInArrow(further(n), SENT), shape))
+    out = parted.groupBy("g").cogroup(answers.repartition(shape.tasks, "g").groupBy("g")).applyInArrow(judge, "doc_id long, n_words long, log_score double")
     return out.withColumn("mean_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
