@@ -1,4 +1,8 @@
-"""Quality classifier learnt from positive and unlabelled texts (non-negative risk estimator, logistic loss)."""
+"""Quality classifier learnt from positive and unlabelled texts (non-negative risk estimator, logistic loss).
+
+Trusted positives are documents labelled 1. The unlabelled side is a sample of all documents, whatever their labels, and
+the class prior is estimated from the two: labels 0 are never read.
+"""
 
 from __future__ import annotations
 
@@ -76,8 +80,8 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.logit(x), -40, 40)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 24, epochs: int = 60, batch: int = 512, rate: float = 0.01, decay: float = 1e-4, seed: int = 0) -> Model:
-    """Minimise prior * R_P(+) + max(0, R_U(-) - prior * R_P(-)) by Adam.
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 24, epochs: int = 60, batch: int = 512, rate: float = 0.01, decay: float = 1e-4, seed: int = 0, unbiased: bool = True) -> Model:
+    """Minimise prior * R_P(+) + max(0, R_U(-) - prior * R_P(-)) by Adam; not ``unbiased``: prior * R_P(+) + R_U(-).
 
     Where the estimate of the negative risk of a batch falls below zero, the step ascends on it instead, so that the
     risk of the unlabelled texts cannot be fitted below zero. Without positives every score is the prior.
@@ -102,8 +106,9 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int
             a = np.tanh(x @ w1 + b1)
             z = a @ w2 + b2
             zp, zu = z[:batch], z[batch:]
-            negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-            gn = np.concatenate([-prior * sigmoid(zp), sigmoid(zu)]) / batch
+            share = prior if unbiased else 0.0
+            negative = np.logaddexp(0, zu).mean() - share * np.logaddexp(0, zp).mean()
+            gn = np.concatenate([-share * sigmoid(zp), sigmoid(zu)]) / batch
             gp = np.concatenate([prior * (sigmoid(zp) - 1), np.zeros(batch)]) / batch
             g = gp + gn if negative >= 0 else -gn
             ga = np.outer(g, w2) * (1 - a * a)
@@ -116,30 +121,56 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = 20_000, key: str = "doc_id", text: str = "text", label: str = "quality", where=None) -> Model:
-    """Fit on a sample of at most ``most`` labelled rows, those whose keys hash lowest.
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 0, slack: float = 0.01, doubt: float = 0.1) -> float:
+    """The share of positives among the unlabelled, by the best bin of a classifier of the two.
 
-    Trusted positives are the sampled rows labelled 1; the unlabelled texts are all sampled rows with labels hidden.
-    The class prior is the share of label 1 over all labelled rows that ``where`` admits. Rows with a null key or
-    label are no labels; repeated labels of a key count once (1 if at least half say so).
+    A classifier is fitted on one half of each. On the other halves, the unlabelled hold above any threshold at least
+    the prior times the positives' share there, so the least ratio of the two shares, over thresholds where confidence
+    bounds leave it meaning, estimates the prior. Without rows on either side it is one half.
     """
-    known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull())
-    if where is not None:
-        known = known.where(where)
-    known = known.groupBy(F.col(key).alias("_key")).agg((F.avg(F.col(label).cast("double")) >= 0.5).cast("int").alias("_label"))
-    prior = known.agg(F.avg("_label")).first()[0]
-    sample = known.orderBy(F.xxhash64("_key"), "_key").limit(most)
-    texts = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text")).join(F.broadcast(sample), "_key")
+    if min(len(positive), len(unlabelled)) < 4:
+        return 0.5
+    rng = np.random.default_rng(seed)
+    halves = [np.array_split(x[rng.permutation(len(x))], 2) for x in (positive, unlabelled)]
+    model = fit(halves[0][0], halves[1][0], 1.0, epochs=20, seed=seed, unbiased=False)
+    p, u = (np.sort(model.logit(h[1])) for h in halves)
+    at = np.unique(p)
+    above_p, above_u = (1 - np.searchsorted(x, at) / len(x) for x in (p, u))
+    blur = sum(np.sqrt(np.log(4 / doubt) / (2 * len(x))) for x in (p, u))
+    best = int(np.argmin(above_u / above_p + (1 + slack) * blur / above_p))
+    return float(np.clip(above_u[best] / above_p[best], 0.01, 0.99))
+
+
+def _measured(docs: DataFrame, most: int) -> np.ndarray:
+    """Features of at most ``most`` rows (_hash, _text), those that hash lowest; rows of one hash count once."""
 
     def measure(batches):
         for b in batches:
-            offsets, data = string_buffers(b.column("_text"))
-            x = features(offsets, data)
-            yield pa.RecordBatch.from_arrays([b.column("_key"), b.column("_label"), pa.array(list(x), pa.list_(pa.float64()))], names=["k", "y", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("_hash"), pa.array(list(features(*string_buffers(b.column("_text")))), pa.list_(pa.float64()))], names=["h", "x"])
 
-    got = texts.select("_key", "_label", "_text").mapInArrow(measure, "k long, y int, x array<double>").toPandas().sort_values("k", kind="stable")
-    x = np.array(got["x"].tolist()).reshape(len(got), -1) if len(got) else np.zeros((0, _CLASSES + 9))
-    return fit(x[got["y"].to_numpy() == 1], x, float(prior if prior is not None else 0.5))
+    got = docs.select("_hash", "_text").mapInArrow(measure, "h long, x array<double>").dropDuplicates(["h"]).orderBy("h").limit(most).toPandas()
+    return np.array(got["x"].tolist()).reshape(len(got), _CLASSES + 9)
+
+
+def train(docs: DataFrame, labels: DataFrame, most: int = 20_000, key: str = "doc_id", text: str = "text", label: str = "quality", where=None) -> Model:
+    """Fit on at most ``most`` trusted positives and at most ``most`` unlabelled texts, those that hash lowest.
+
+    Trusted positives are rows whose label is 1, the unlabelled texts rows of ``docs`` with labels unread; ``where``
+    limits both. The class prior is estimated from them. Rows with a null key or label are no labels; repeated labels
+    of a key count once (1 if at least half say so). Repeated rows count once; null texts are empty. Without positives
+    or texts every score is one half.
+    """
+    rows = docs.select(F.col(key).alias("_key"), key, F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull())
+    if where is not None:
+        rows, known = rows.where(where), known.where(where)
+    rows = rows.select("_key", "_text").withColumn("_hash", F.xxhash64("_key", "_text"))
+    known = known.groupBy(F.col(key).alias("_key")).agg((F.avg(F.col(label).cast("double")) >= 0.5).alias("_one")).where("_one")
+    trusted = known.orderBy(F.xxhash64("_key"), "_key").limit(most).select("_key")  # bounded, so it can be broadcast
+    positive = _measured(rows.join(F.broadcast(trusted), "_key"), most)
+    share = min(1.0, 2 * most / max(rows.count(), 1))
+    unlabelled = _measured(rows.where(F.pmod(F.xxhash64("_hash"), F.lit(1 << 30)) <= int(share * (1 << 30))), most)
+    return fit(positive, unlabelled, class_prior(positive, unlabelled))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
