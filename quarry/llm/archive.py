@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import checkpoint_dir
+from quarry.llm.common import checkpoint_dir, cut
 
 #: The header fields that each ARC version declares.
 ARC_FIELDS = {
@@ -145,16 +145,20 @@ def write_pages(pages: DataFrame, path: str, date: str = "20240101000000", small
     """WARC files of ``pages`` (page_id, url, html) under ``path``, by way of ARC records of both versions.
 
     Among rows with equal payloads of at least ``smallest`` bytes those with the smallest page_id are responses, the
-    others revisits of it. Null html is empty, a null url '-', a null page_id is never referred to. Extra columns are
-    ignored; an empty table writes no records.
+    others revisits of it. Null html is empty, a null url '-', a null page_id is never referred to, but may refer.
+    Repeated rows are records of their own; extra columns are ignored; an empty table writes no records.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("-")).alias("url"), F.coalesce("html", F.lit("")).cast("binary").alias("html"))
     digest = F.unhex(F.sha2("html", 256))
     keyed = rows.where("page_id IS NOT NULL").where(F.octet_length("html") >= smallest).select(digest.alias("digest"), "page_id", "url")
     first = keyed.groupBy("digest").agg(F.min(F.struct("page_id", "url")).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    # only long payloads can be revisits; the others keep a key of their own, so they spread
-    rows = rows.withColumn("digest", F.when(F.octet_length("html") >= smallest, digest).otherwise(F.unhex(F.md5(F.concat_ws("|", F.col("page_id").cast("string"), "url")))))
-    joined = rows.join(first, "digest", "left").select("page_id", "url", "html", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"))
+    # copies meet by keys alone; the payloads join by a hash of row and payload, which spreads the copies of one page
+    long = F.octet_length("html") >= smallest
+    place = F.xxhash64(F.coalesce("page_id", F.lit(-1)), "url", digest)
+    again = cut(rows.where(long).select(digest.alias("digest"), place.alias("place")).distinct())
+    again = again.join(cut(first).hint("merge"), "digest").select("place", "digest", "first")
+    rows = rows.withColumn("digest", digest).withColumn("place", place)
+    joined = rows.join(again.hint("merge"), ["place", "digest"], "left").select("page_id", "url", "html", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"))
 
     def legacy(page, url, html):
         head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(html)}\r\nX-Page-Id: {'' if page is None else page}\r\n\r\n"
@@ -185,7 +189,7 @@ def read_pages(spark, path: str) -> DataFrame:
 
     Digests of responses are computed from the payload as read and must equal the recorded ones.
     """
-    files = spark.read.format("binaryFile").load(path).select("content")
+    files = spark.read.format("binaryFile").load(path).select("content")  # an empty folder gives no rows
 
     def parse(batches):
         for batch in batches:

@@ -71,12 +71,13 @@ def learn(docs: DataFrame, labels: DataFrame, domain: str, key: str = "doc_id",
     """Fit the posterior from ``labels`` (key, ``domain``) on at most ``most`` rows, those whose keys hash lowest.
 
     The words are those whose presence differs most between a domain and the rest, in standard errors. Null keys,
-    domains and texts of no label are left out; a key labelled more than once counts with its smallest label. Without
-    labels there is one domain named 'all'.
+    domains and texts of no label are left out; a key labelled more than once counts with its smallest label, one of
+    several texts with the smallest. Without labels there is one domain named 'all'.
     """
     known = labels.where(F.col(key).isNotNull() & F.col(domain).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.min(F.col(domain).cast("string")).alias("_domain"))
     sample = known.orderBy(F.xxhash64("_key"), "_key").limit(most)
     own = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text")).join(F.broadcast(sample), "_key")
+    own = own.groupBy("_key", "_domain").agg(F.min("_text").alias("_text"))  # a key has one row, however often it is repeated
     own = cut(_measured(own, "_text").select("_domain", "_tokens", "_words", *(c.cast("double").alias(f"_n{k}") for k, c in enumerate(_numeric(F.col("_text")))), F.array_distinct("_words").alias("_bare")))
     sizes = {r["_domain"]: r["n"] for r in own.groupBy("_domain").agg(F.count("*").alias("n")).collect()}
     names = sorted(sizes) or ["all"]
@@ -152,6 +153,11 @@ class Mix:
     target: np.ndarray
     expected: np.ndarray
 
+    @property
+    def residual(self) -> float:
+        """The largest miss of a domain, as a share of all wanted tokens; above the tolerance if the steps ran out or targets are out of reach."""
+        return float(np.abs(self.expected - self.target).max() / max(self.target.sum(), 1e-9)) if len(self.target) else 0.0
+
     def rate(self) -> Column:
         return _walk(self.steps, self.floor)["r"]
 
@@ -243,8 +249,8 @@ def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float], doma
     model = learn(docs, labels, domain, key, text)
     names = docs.columns
     plain = docs.select(F.struct(*names).alias("_row"), F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"))
-    scored = posteriors(plain, model, "_text").select("_row", "_id", "_tokens", "_p")
-    mix = solve(posteriors(plain.select("_text"), model, "_text"), _weights(model, targets), hold=model.names.index(hold) if hold in model.names else None, margin=margin, keep=keep, fill=fill)
+    scored = cut(posteriors(plain, model, "_text").select("_row", "_id", "_tokens", "_p"))  # read by the fit and after it
+    mix = solve(scored.select("_tokens", "_p"), _weights(model, targets), hold=model.names.index(hold) if hold in model.names else None, margin=margin, keep=keep, fill=fill)
     copies = _copies(mix.rate(), F.coalesce(F.col("_id"), F.lit(-1)))
-    df = cut(scored.select("_row", copies.alias("_copies"))).where("_copies > 0")  # else the filter is pushed down and repeats the posterior
+    df = scored.select("_row", copies.alias("_copies")).where("_copies > 0")
     return df.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_n")).select("_row.*")

@@ -46,7 +46,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, key: str = "vec
     Rows link if their labels are equal and not null and the cosine in double precision is at least ``threshold``.
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do rows with a null
     key or vectors of unlike length. n_links counts the other rows linked directly, copies included; component_id is
-    the smallest key reachable. ``sample`` bounds the rows on which the rotations are learnt. Empty in, empty out.
+    the smallest key reachable. ``sample`` bounds the rows on which the rotations are learnt, those of the most common
+    length; vectors of other lengths get codes by random planes. Repeated rows count each; other columns are ignored.
+    Empty in, empty out.
     """
     v = F.col(column)
     usable = F.col(key).isNotNull() & F.col(label).isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
@@ -148,7 +150,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, key: str = "vec
     links = found.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     joined = connected_components(found.where("b IS NOT NULL").select("a", "b"))
     named = distinct.select("node", "copies", "smallest").join(joined, "node", "left").withColumn("label", F.coalesce("label", "node")).join(links, "node", "left")
-    least = named.groupBy("label").agg(F.min("smallest").alias("component_id"))
+    least = cut(named.groupBy("label").agg(F.min("smallest").alias("component_id")))  # cut: then the join can split a hot label
     of = named.join(least, "label").select("node", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     out = rows.select("id", "node").join(of, "node", "left")
     component = F.coalesce("component_id", "id")

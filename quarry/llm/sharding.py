@@ -38,9 +38,10 @@ def _draw(key: Column, shard: Shard) -> Column:
 
 
 def choose(key: Column, shards: list[Shard]) -> Column:
-    """Number of the shard to which a key descends; ties go to the region, rack and shard named first."""
+    """Number of the shard to which a key descends; ties go to the smaller number. Shards of weight 0 get no keys."""
+    shards = [s for s in shards if s.weight > 0]  # a weight of 0 draws nothing
     if not shards:
-        raise ValueError("a tree needs a shard")
+        raise ValueError("a tree needs a shard of positive weight")
     level: dict[str, dict[str, list[Shard]]] = {}
     for s in shards:
         level.setdefault(s.region, {}).setdefault(s.rack, []).append(s)
