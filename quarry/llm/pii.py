@@ -3,9 +3,9 @@
 Four exact generators find base spans, which always stay. Looser generators propose more spans, overlapping ones too:
 runs of digits, what base spans leave of them, and parts of base runs that fail their check (every window of 13 to 19
 digits, every phone number that a run starts with). Boosted trees over binned format and context features are fitted
-on the driver from a histogram of the base candidates and those parts of all documents (at most ``2 * _CODES`` rows)
-and come back as CASE expressions; a threshold for each kind, calibrated for precision on that histogram, selects what
-is added.
+on the driver from a histogram of all candidates and proposals of all documents (at most ``2 * _CODES`` rows) and come
+back as CASE expressions. The trees see the counts of one half of the documents; a threshold for each kind, calibrated
+for precision on the other half, selects what is added.
 
 Spans are found by putting two private-use characters around each match and adding up lengths, so places are code
 points. Patterns have no repeated groups and start only where a run starts: they take linear time and no recursion.
@@ -182,8 +182,8 @@ def _form(s: Column, whole: Column) -> Column:
     return F.when(~whole, _CUT).when(s["text"].rlike("^[0-9]+$"), _ONE).when(fours, _FOURS).otherwise(_MIXED)
 
 
-def _features(kind: int, text: Column, s: Column, part: bool = False) -> Column:
-    """``part``: ``s`` is part of a run, and has the characters beside it that are in the run."""
+def _features(kind: int, text: Column, s: Column, part: bool = False, right: Column | None = None) -> Column:
+    """``part``: ``s`` is part of a run, and has the characters beside it that are in the run. ``right`` replaces the validator's word."""
     digits = F.length(_digits(s["text"]))
     bins = F.when(digits == 0, 0).when(digits < 7, 1).when(digits < 8, 2).when(digits < 11, 3).when(digits < 13, 4).when(digits < 16, 5).when(digits < 20, 6).otherwise(7)
     dots = F.length(s["text"]) - F.length(F.replace(s["text"], F.lit("."), F.lit("")))
@@ -205,13 +205,17 @@ def _features(kind: int, text: Column, s: Column, part: bool = False) -> Column:
         luhn(_digits(s["text"])).cast("int").alias("luhn"),
         s["text"].startswith("+").cast("int").alias("plus"),
         (_form(s, s["whole"] if part else F.lit(True)) if kind == 2 else F.lit(_ONE)).alias("form"),
-        F.coalesce(valid(KINDS[kind], s["text"]), F.lit(False)).alias("valid"),
+        F.coalesce(valid(KINDS[kind], s["text"]) if right is None else right, F.lit(False)).alias("valid"),
     )
 
 
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with _text, _base, _parts and _loose: arrays of spans with features; base spans and parts that pass are valid."""
+    """``docs`` with _text, _half, _base, _parts and _loose: arrays of spans with features.
+
+    Base spans and parts that pass their check are valid; a loose span is if a base span of its kind covers just as much.
+    """
     df = docs.withColumn("_text", clean(F.col(text)))
+    df = df.withColumn("_half", F.pmod(F.xxhash64("_text"), F.lit(2)))
     t = F.col("_text")
     parts = {f"_{k}": c for k, c in (matches(t) | proposals(t)).items()}
     df = df.withColumns(parts)
@@ -223,7 +227,10 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumn("_base", base)
     failing = lambda k: F.filter(f"_{KINDS[k]}", lambda s: (F.length(_digits(s["text"])) >= (13, 16)[k == 3]) & ~valid(KINDS[k], s["text"]))
     df = df.withColumn("_numbers", F.concat("_numbers", pieces(F.col("_numbers"), F.filter("_base", lambda s: s["valid"]))))
-    loose = F.concat(of(0, F.col("_spelt")), *(of(i, c) for i, c in _shapes(F.col("_numbers")).items()))
+    seen = lambda i, s: F.exists("_base", lambda b: b["valid"] & (b["kind"] == i) & (b["start"] == s["start"]) & (b["end"] == s["end"]))
+    proposed = {0: F.col("_spelt"), **_shapes(F.col("_numbers"))}
+    checked = lambda kind: lambda s: _features(kind, t, s, right=seen(kind, s))
+    loose = F.concat(*(F.transform(c, checked(i)) for i, c in proposed.items()))
     cuts = F.concat(F.transform(windows(failing(2)), lambda s: _features(2, t, s, True)), F.transform(prefixes(failing(3)), lambda s: _features(3, t, s, True)))
     return df.withColumns({"_loose": loose, "_parts": cuts}).drop(*parts)
 
@@ -258,8 +265,11 @@ class Forest:
         return self.column(s) >= limit
 
 
-def boost(x: dict[str, np.ndarray], y: np.ndarray, weight: np.ndarray, rounds: int = 20, depth: int = 3, rate: float = 0.4, precision: float = 0.95) -> Forest:
-    """Second-order boosting of the logistic loss on weighted feature tuples, then one threshold for each kind."""
+def boost(x: dict[str, np.ndarray], y: np.ndarray, weight: np.ndarray, held: np.ndarray | None = None, rounds: int = 20, depth: int = 3, rate: float = 0.4, precision: float = 0.95) -> Forest:
+    """Second-order boosting of the logistic loss on weighted feature tuples, then one threshold for each kind.
+
+    Thresholds are calibrated on the weights ``held``; a kind that these lack, and any kind without them, on ``weight``.
+    """
     f = np.zeros(len(y))
 
     def grow(rows, g, h, deep):
@@ -293,9 +303,10 @@ def boost(x: dict[str, np.ndarray], y: np.ndarray, weight: np.ndarray, rounds: i
         if not len(own):
             continue
         order = own[np.argsort(-f[own], kind="stable")]
-        good, total = np.cumsum(weight[order] * y[order]), np.cumsum(weight[order])
+        w = weight if held is None or not held[order].sum() else held
+        good, total = np.cumsum(w[order] * y[order]), np.cumsum(w[order])
         last = np.append(f[order][1:] < f[order][:-1] - 1e-12, True)
-        enough = np.flatnonzero((good >= precision * total) & last)
+        enough = np.flatnonzero((good >= precision * total) & (total > 0) & last)
         if len(enough):
             thresholds[kind] = max(float(f[order][enough[-1]]), 0.0) - 1e-9  # nothing that is rather wrong
     return Forest(trees, thresholds)
@@ -320,12 +331,13 @@ def labels(x: dict[str, np.ndarray], y: np.ndarray, n: np.ndarray) -> np.ndarray
 
 
 def train(found: DataFrame) -> Forest:
-    """Fit on the histogram of all base candidates and parts of failed runs; ``labels`` tells what is right."""
-    each = found.select(F.explode(F.concat("_base", "_parts")).alias("s")).select(*(F.col(f"s.{n}") for n in BINS), F.col("s.valid").cast("int").alias("y"))
-    rows = each.groupBy(*BINS, "y").agg(F.count("*").alias("n")).orderBy(*BINS, "y").collect()  # at most 2 * _CODES
+    """Fit on the histogram of all base candidates, parts of failed runs and loose proposals; ``labels`` tells what is right."""
+    each = found.select("_half", F.explode(F.concat("_base", "_parts", "_loose")).alias("s")).select("_half", *(F.col(f"s.{n}") for n in BINS), F.col("s.valid").cast("int").alias("y"))
+    rows = each.groupBy(*BINS, "y").agg(F.count("*").alias("n"), F.sum("_half").alias("held")).orderBy(*BINS, "y").collect()  # at most 2 * _CODES
     x = {k: np.array([r[k] for r in rows], np.int64) for k in BINS}
     n = np.array([r["n"] for r in rows], float)
-    return boost(x, labels(x, np.array([r["y"] for r in rows], float), n), n)
+    held = np.array([r["held"] for r in rows], float)
+    return boost(x, labels(x, np.array([r["y"] for r in rows], float), n), n - held, held)
 
 
 def select(found: DataFrame, forest: Forest) -> DataFrame:
@@ -349,19 +361,20 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     Null text counts as empty and has no spans. Repeated rows and null keys give rows of their own; other columns are
     ignored. An empty table gives an empty result and a forest without trees.
     """
-    found = cut(candidates(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))).select("doc_id", "_base", "_parts", "_loose"))
+    found = cut(candidates(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))).select("doc_id", "_half", "_base", "_parts", "_loose"))
     return select(found, train(found)).select("doc_id", "base", "spans")
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with every selected span of ``text`` replaced by its kind in brackets; null stays null.
 
-    Overlapping spans are replaced together, by the kind of the first. Other columns are returned as they are.
+    Overlapping spans are replaced together, by the kind of the first. Other columns are returned as they are, whatever
+    their names (but _spans and _order). Repeated rows are rows of their own; an empty table stays empty.
     """
-    seen = candidates(docs, text)
+    seen = cut(candidates(docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_own")), "_own").drop("_own", "_text"))  # read twice
     forest = train(seen)
-    df = select(seen, forest)
-    order = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    df = select(seen, forest).select("_row", "spans").select("_row.*", F.col("spans").alias("_spans"))
+    order = F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     kinds = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     whole = F.coalesce(F.col(text), F.lit(""))

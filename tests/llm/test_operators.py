@@ -323,3 +323,104 @@ def test_top_k_reads_until_the_stop_rule_holds():
     assert alive.mean() <= 0.05 and (alive.sum(axis=1) >= 5).all() and not alive[own].any()
     exact = np.where(own, -np.inf, queries @ items.T)
     assert alive[exact >= np.sort(exact, axis=1)[:, -5][:, None]].all()
+
+
+def test_top_k_of_large_values_and_repeated_rows(spark):
+    rows = [(0, [1e12, 1.0]), (1, [1e12, 2.0]), (2, [-1e12, 1.0]), (3, [3e9, 1.0]), (3, [3e9, 1.0]), (4, [1.7e308, 0.0]), (5, [0.0, 0.5])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in topk.top_k(v, v.where("vec_id = 3").limit(1), 6).collect()]
+    whole = {i: [math.floor(x * 256) if abs(x) < 1e149 else int(1e150) for x in e] for i, e in rows}
+    score = {i: sum(a * b for a, b in zip(e, whole[3])) for i, e in whole.items() if i != 3}
+    ranked = sorted(score, key=lambda i: (-float(score[i]), i))
+    assert [(r[0], r[1], r[2]) for r in got] == [(3, k, i) for k, i in enumerate(ranked, 1)]
+    assert all(r[3] == min(max(score[r[2]], -(2**63)), 2**63 - 1) for r in got) and score[5] == 32768
+    twice = [tuple(r) for r in topk.top_k(v, v.where("vec_id = 0"), 2).collect()]
+    assert [r[2] for r in twice] == [4, 1]
+
+
+def test_class_prior_and_unlabelled_texts(spark):
+    rng = np.random.default_rng(1)
+    for prior in (0.2, 0.5, 0.8):
+        positive = rng.normal(1.5, 1, (3000, 4))
+        mixed = np.where(rng.random((6000, 1)) < prior, rng.normal(1.5, 1, (6000, 4)), rng.normal(-1.5, 1, (6000, 4)))
+        assert abs(quality.class_prior(positive, mixed) - prior) < 0.08
+        model = quality.fit(positive, mixed, quality.class_prior(positive, mixed))
+        test = np.concatenate([rng.normal(1.5, 1, (500, 4)), rng.normal(-1.5, 1, (500, 4))])
+        assert ((model.score(test) >= 0.5) == (np.arange(1000) < 500)).mean() > 0.97  # as good as a fit on labels of both classes
+    # labels 0 are never read: without them the result is the same
+    texts = [(i, " ".join("good words here %d" % j if i % 2 else "$$ %d ##" % j for j in range(20))) for i in range(200)]
+    d = spark.createDataFrame(texts + [(7, texts[7][1])] * 30, "doc_id long, text string")
+    one, both = ([(i, i % 2) for i in range(100) if i % 2 or k] for k in (0, 1))
+    scores = [{r.doc_id: r.score for r in quality.score(d, quality.train(d, spark.createDataFrame(x, "doc_id long, quality int"))).collect()} for x in (one, both)]
+    assert scores[0] == scores[1] and all((scores[0][i] >= 0.3) == (i % 2 == 1) for i, _ in texts)
+
+
+def test_sharding_tree(spark):
+    leaves = sharding.tree(24)
+    heavy = [sharding.Shard(s.number, s.region, s.rack, 3.0 if s.number == 4 else 0.0 if s.number == 7 else 1.0) for s in leaves]
+    name = sharding.F.col("id").cast("string")
+    got = spark.range(60_000).select(sharding.choose(name, leaves).alias("a"), sharding.choose(name, heavy).alias("b")).toPandas()
+    for level in (lambda s: s.region, lambda s: (s.region, s.rack), lambda s: s.number):
+        for tree, column in ((leaves, "a"), (heavy, "b")):
+            weight = collections.Counter()
+            for s in tree:
+                weight[level(s)] += s.weight
+            seen = collections.Counter(level(tree[n]) for n in got[column])
+            assert all(abs(seen[x] / 60_000 - w / sum(weight.values())) < 0.012 for x, w in weight.items())
+    moved = got[got.a != got.b]
+    assert set(moved.a[moved.b != 4]) == {7} and not (got.b == 7).any()  # only into the heavier leaf, or out of the empty one
+    d = spark.createDataFrame([(1, None), (1, "é"), (None, "x"), (2, "y" * 50_000)], "doc_id long, text string")
+    out = sorted((r.doc_id or 0, r.size, r.text_crc32, r.law) for r in sharding.assign(d, 3, weights={0: 0.0}).collect())
+    assert out == sorted([(1, 8, 0, "key"), (1, 10, zlib.crc32("é".encode()), "key"), (0, 9, zlib.crc32(b"x"), "key"), (2, 50_008, zlib.crc32(b"y" * 50_000), "key")])
+    assert sharding.assign(d.limit(0), 3).count() == 0
+
+
+def test_near_duplicate_components(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(40, 64))
+    x = np.repeat(base, 25, axis=0) + 0.17 * rng.normal(size=(1000, 64))  # cosines around 0.97 of each other
+    rows = [(i, v.tolist(), i % 3) for i, v in enumerate(x)] + [(0, x[0].tolist(), 0), (None, x[0].tolist(), 0), (5000, [1.0] * 16, 1), (5001, [1.0] * 16, 1)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sims = (u @ u.T >= 0.93) & (np.arange(1000)[:, None] % 3 == np.arange(1000)[None, :] % 3)
+    want = sims.sum() - 1000
+    mine = [r for r in got if r.vec_id is not None and 0 < r.vec_id < 1000]
+    assert sum(r.n_links for r in mine) >= 0.95 * want * 999 / 1000
+    least = np.arange(1000)
+    for _ in range(30):
+        least = np.where(sims, least[None, :], 10**6).min(1)
+    assert sum(r.component_id == least[r.vec_id] for r in mine) >= 0.99 * len(mine)
+    assert len(got) == len(rows) and {r.component_id for r in got if r.vec_id in (5000, 5001)} == {5000}
+
+
+def test_archives_of_nulls_repeats_and_nothing(spark):
+    long = "<p>x</p>" * 20
+    pages = spark.createDataFrame([(None, "u", long), (4, "u", long), (4, "u", long), (9, "v", long), (9, "v", "other" * 30), (5, "w", None)], "page_id long, url string, html string")
+    got = sorted((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to) for r in archive.round_trip(pages).collect())
+    assert got == [(0, 160, "revisit", 4), (4, 160, "response", None), (4, 160, "response", None), (5, 0, "response", None), (9, 150, "response", None), (9, 160, "revisit", 4)]
+    assert archive.round_trip(pages.limit(0)).count() == 0
+
+
+def test_loose_proposals_are_learnt(spark):
+    """Numbers that no base span ever covers aren't redacted, spelt addresses neither; what overlaps a base span stays base."""
+    rows = [(i, f"call +1 (555) 555-{1000 + i} or order 555-0{100 + i} from 10.0.0.{i} v1.2.3.999", "x") for i in range(60)] + [(60, None, "x"), (60, None, "x"), (None, "", "x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    found = pii.candidates(d.select("doc_id", "text")).selectExpr("explode(_loose) AS s").selectExpr("s.kind", "s.valid").toPandas()
+    assert set(found.kind[found.valid]) == {1} and (found.kind == 3).any()
+    out = [r.text for r in pii.redact(d).orderBy("doc_id").collect() if r.text]
+    assert out == [f"call [PHONE] or order 555-0{100 + i} from [IP] v1.2.3.999" for i in range(60)]
+    assert pii.redact(d).columns == d.columns and pii.redact(d.limit(0)).count() == 0
+    # calibration on held-out rows: what is right in the fitted half alone isn't selected
+    x = {n: np.arange(8) % b for n, b in pii.BINS.items()} | {"kind": np.zeros(8, int)}
+    y = (np.arange(8) >= 4).astype(float)
+    assert 0 in pii.boost(x, y, np.ones(8), np.ones(8)).thresholds
+    assert 0 not in pii.boost(x, y, np.ones(8), np.where(y > 0, 0.01, 1.0)).thresholds or not pii.boost(x, y, np.ones(8), np.where(y > 0, 0.01, 1.0)).thresholds[0] < 0
+
+
+def test_labels_of_repeated_keys_are_bounded(spark):
+    d = spark.createDataFrame([(i % 3, f"w{i} tok") for i in range(300)] + [(7, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1, 0), (1, 0, 0), (0, 1, 0), (7, 1, 1)], "doc_id long, quality int, toxic int")
+    model = mixing.learn(d, mixing.quality_domains(labels), "domain")
+    assert model.names == ["good", "poor", "toxic"]
+    got = mixing.rates(d, mixing.quality_domains(labels), {"good": 0.5, "poor": 0.5}, hold="good")
+    assert got.count() == 301 and mixing.rates(d.limit(0), mixing.quality_domains(labels), mixing.TARGETS).count() == 0
