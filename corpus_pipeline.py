@@ -8,12 +8,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import jaccard_join, mixing, packing, pii, quality
-from quarry.llm.common import checkpoint_dir, cut, read
+from quarry.llm.common import checkpoint_dir, cut, read, remove
 from quarry.llm.queries import MARGIN, THRESHOLD, tokenizer_path
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject."""
+    """Documents that the classifier doesn't reject. Null and empty texts are scored like any other, repeated rows alike.
+
+    Without labels, or with an empty table, nothing is rejected.
+    """
     model = quality.train(docs, read(spark, sf_dir, "labels"))
     scored = quality.score(docs, model, name="_score")
     return scored.where(F.col("_score") >= THRESHOLD).select(*docs.columns)
@@ -40,19 +43,22 @@ def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data replaced by its kind; n_chars follows the text."""
+    """Personal data replaced by its kind; n_chars follows the text. All rows stay; null texts stay null."""
     out = pii.redact(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated or left out so that domains meet their target weights; those likely good all stay, others only go."""
+    """Documents repeated or left out so that domains meet their target weights; those likely good all stay, others only go.
+
+    Null and empty texts have no tokens and a posterior like any other; repeated rows count each; an empty table stays empty.
+    """
     labels = mixing.quality_domains(read(spark, sf_dir, "labels"))
     return mixing.resample(docs, labels, mixing.TARGETS, hold="good", margin=MARGIN, keep=0.5, fill=False)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens: each piece with its ids and place."""
+    """Sequences of at most 2048 tokens: each piece with its ids and place. A null or empty text is one id; none, no rows."""
     return packing.pack(packing.token_pieces(docs, tokenizer_path(), with_ids=True))
 
 
@@ -63,11 +69,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents; each result is written to the shared checkpoint folder and read again."""
+    """Apply the stages to documents; each result is written to the shared checkpoint folder and read again.
+
+    What a stage read is removed once its result is written, so only the last result stays, which the rows returned read.
+    """
     checkpoint_dir(spark)
     top = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{top}/{k}-{name}")
-        docs = spark.read.parquet(f"{top}/{k}-{name}")
+        path = f"{top}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        if before is not None:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
