@@ -209,16 +209,24 @@ def shingle_sets(offsets: np.ndarray, data: np.ndarray, n: int) -> list[np.ndarr
     return out
 
 
+def shrink(values: bytes) -> bytes:
+    """Bytes of few different values, by their frequencies."""
+    return pa.Codec("zstd", compression_level=1).compress(values, asbytes=True)
+
+
+def grow(blob: bytes, size: int) -> bytes:
+    return pa.Codec("zstd").decompress(blob, decompressed_size=size, asbytes=True)
+
+
 def squeeze(values: np.ndarray) -> tuple[bytes, bytes]:
-    """Sorted unsigned integers as differences: the low 32 bits, then what is above in as few bytes as it needs."""
-    gaps = np.diff(values, prepend=np.uint64(0))
-    high = (gaps >> np.uint64(32)).astype(np.uint32)
-    top = int(high.max()) if len(high) else 0
-    return gaps.astype(np.uint32).tobytes(), b"" if not top else high.astype(np.uint16 if top < 1 << 16 else np.uint32).tobytes()
+    """Sorted unsigned integers as differences, byte by byte: the low five bytes, of which nothing can be saved, and the shrunk high three."""
+    planes = np.diff(values, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
+    return planes[:5].tobytes(), shrink(planes[5:].tobytes())
 
 
 def unsqueeze(low: bytes, high: bytes) -> np.ndarray:
-    gaps = np.frombuffer(low, np.uint32).astype(np.uint64)
-    if high:
-        gaps |= np.frombuffer(high, np.uint16 if len(high) < len(low) else np.uint32).astype(np.uint64) << np.uint64(32)
-    return np.cumsum(gaps, dtype=np.uint64)
+    n = len(low) // 5
+    planes = np.empty((n, 8), np.uint8)
+    planes[:, :5] = np.frombuffer(low, np.uint8).reshape(5, n).T
+    planes[:, 5:] = np.frombuffer(grow(high, 3 * n), np.uint8).reshape(3, n).T
+    return np.cumsum(planes.view("<u8").ravel(), dtype=np.uint64)

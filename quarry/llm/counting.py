@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import give_back, squeeze, unsqueeze
+from quarry.llm.common import give_back, grow, shrink, squeeze, unsqueeze
 
 #: Text that one group holds; a range is as wide as the tokens of so much text.
 GROUP_BYTES = 8 << 20
@@ -39,9 +39,9 @@ class Shape:
     tasks: int
 
     @staticmethod
-    def of(total_bytes: int, partitions: int, times: int = 1) -> Shape:
-        """One group a partition at least, so that small inputs spread, too. Groups of ``times`` as many bytes share more tokens."""
-        groups = max(partitions, math.ceil(total_bytes / (GROUP_BYTES * times)))
+    def of(total_bytes: int, partitions: int) -> Shape:
+        """One group a partition at least, so that small inputs spread, too."""
+        groups = max(partitions, math.ceil(total_bytes / GROUP_BYTES))
         wide = min(groups, max(FAN, math.isqrt(groups)))
         return Shape(groups, wide, math.ceil(groups / wide), max(partitions, math.ceil(total_bytes / TASK_BYTES)))
 
@@ -53,15 +53,16 @@ def cuts(tokens: np.ndarray, parts: int, start: int = 0, span: int = 1 << 64) ->
 
 
 def _counts(values: np.ndarray) -> bytes:
-    """A byte each; 255 stands for larger ones, which follow in eight bytes each."""
-    large = values[values >= 255].astype("<u8")
-    return np.minimum(values, 255).astype(np.uint8).tobytes() + large.tobytes()
+    """A byte each, shrunk, after the length of that; 255 stands for larger ones, which follow in eight bytes each."""
+    small = shrink(np.minimum(values, 255).astype(np.uint8).tobytes())
+    return len(small).to_bytes(4, "little") + small + values[values >= 255].astype("<u8").tobytes()
 
 
 def read_counts(blob: bytes, size: int) -> np.ndarray:
-    out = np.frombuffer(blob, np.uint8, size).astype(np.int64)
-    if len(blob) > size:
-        out[out == 255] = np.frombuffer(blob, "<u8", offset=size).astype(np.int64)
+    stop = 4 + int.from_bytes(blob[:4], "little")
+    out = np.frombuffer(grow(blob[4:stop], size), np.uint8).astype(np.int64)
+    if len(blob) > stop:
+        out[out == 255] = np.frombuffer(blob, "<u8", offset=stop).astype(np.int64)
     return out
 
 

@@ -96,7 +96,7 @@ def lm_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, leave_out: bo
     texts have no words and score 0 (mean null). Repeated rows count as documents of their own. Empty in, empty out.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    shape = Shape.of(text_bytes(rows), partitions(docs.sparkSession), 2)
+    shape = Shape.of(text_bytes(rows), partitions(docs.sparkSession))
     parted = rows.withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shape.groups)).cast("int")).repartition(shape.tasks, "g")
 
     def known(own: _Group, answers: pa.Table, upto: int) -> list[np.ndarray]:
