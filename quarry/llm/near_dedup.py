@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut, partitions
+from quarry.llm.common import cut, give_back, partitions
 from quarry.llm.components import connected_components
 
 
@@ -88,6 +88,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, key: str = "vec
                 x = x / np.abs(x).max(1, keepdims=True)
                 codes[at] = codes_of(x / np.linalg.norm(x, axis=1, keepdims=True))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(codes), pa.list_(pa.int64()))], names=[*b.schema.names, "codes"])
+            give_back()
 
     coded = cut(distinct.select("node", "label", "v", "copies").mapInArrow(encode, "node binary, label string, v array<double>, copies long, codes array<long>"))
     keyed = coded.select("*", F.posexplode("codes").alias("t", "code")).withColumn("b", F.xxhash64("label", F.size("v"), "t", "code"))
@@ -144,6 +145,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, key: str = "vec
             for k in np.flatnonzero(tag != np.arange(len(at))):
                 ends[0].append(nodes[at[k]]), ends[1].append(nodes[at[tag[k]]])
         a = [*count, *ends[0]]
+        give_back()
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array([None] * len(count) + ends[1], pa.binary()), "n": pa.array([*count.values(), *[0] * len(ends[0])], pa.int64())})
 
     found = cut(met.groupBy("cell").applyInArrow(meet, "a binary, b binary, n long"))

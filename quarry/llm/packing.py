@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut
-from quarry.llm.tokens import Encoder
+from quarry.llm.common import cut, give_back
+from quarry.llm.tokens import encoder
 
 Segment = tuple[int, int, int, int, int, int]  # length, first rank, count, first sequence, pieces a sequence, offset
 
@@ -219,15 +219,15 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int =
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def split(batches):
-        encoder = Encoder(path)
+        encode = encoder(path).encode
         for batch in batches:
             keys, size, i = batch.column(0), batch.num_rows, 0
             lengths = np.diff(batch.column(1).cast(pa.large_string()).offsets.to_numpy()) if hasattr(batch.column(1), "offsets") else np.array([len(x) for x in batch.column(1).to_pylist()])
             stops = np.cumsum(lengths)
             while i < size:
-                j = max(i + 1, int(np.searchsorted(stops, (stops[i - 1] if i else 0) + (4 << 20), side="right")))
+                j = max(i + 1, int(np.searchsorted(stops, (stops[i - 1] if i else 0) + (1 << 20), side="right")))
                 at, piece, start, length, crc, whole = [], [], [], [], [], []
-                for k, ids in enumerate(encoder.encode(batch.column(1).slice(i, j - i).to_pylist()), i):
+                for k, ids in enumerate(encode(batch.column(1).slice(i, j - i).to_pylist()), i):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                     n = len(ids)
                     edges = [0, *range(n % capacity or capacity, n + 1, capacity)]
@@ -243,6 +243,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int =
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
                 i = j
+                give_back()
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
     return rows.mapInArrow(split, schema)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import ngram_hashes, slices, string_buffers, word_hashes
+from quarry.llm.common import give_back, ngram_hashes, slices, string_buffers, word_hashes
 
 _GROUPS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", " \t\r\x0b\x0c", "\n", ".", ",", "!?", "#$%&*+=@^~", "|<>{}[]()", "\"'`", ":;-_/\\")
 _CLASS = np.full(256, len(_GROUPS), np.uint8)
@@ -147,6 +147,7 @@ def _measured(docs: DataFrame, most: int) -> np.ndarray:
     def measure(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("_hash"), pa.array(list(features(*string_buffers(b.column("_text")))), pa.list_(pa.float64()))], names=["h", "x"])
+            give_back()
 
     got = docs.select("_hash", "_text").mapInArrow(measure, "h long, x array<double>").dropDuplicates(["h"]).orderBy("h").limit(most).toPandas()
     return np.array(got["x"].tolist()).reshape(len(got), _CLASSES + 9)
@@ -185,5 +186,6 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
         for b in batches:
             offsets, data = string_buffers(b.column(text))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(model.score(features(offsets, data)), pa.float64())], names=schema.names)
+            give_back()
 
     return docs.select(*names).mapInArrow(judge, schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import unicodedata
@@ -19,10 +20,16 @@ _CODE = mix(np.arange(1, _LIMIT + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82
 _SUFFIXES = ("s", "t", "re", "ve", "m", "ll", "d")
 
 
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """One for each worker: it serves task after task, and its tables are built once."""
+    return Encoder(path)
+
+
 class Encoder:
     """Ids of texts by a byte-level BPE tokenizer file, with a bounded cache of pre-tokens."""
 
-    def __init__(self, path: str, cache: int = 2_000_000):
+    def __init__(self, path: str, cache: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
