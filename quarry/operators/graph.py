@@ -54,3 +54,90 @@ def defects(tree: DataFrame, node: str = "id", parent: str = "parent_id") -> Dat
     known = tree.select(F.col(node).alias(parent)).distinct()
     lost = tree.where(F.col(parent).isNotNull()).join(known, parent, "left_anti").select(node, F.lit("missing_parent").alias("defect"))
     return twice.unionByName(own).unionByName(lost)
+
+
+def hub_types(links: DataFrame, ratio: float = 1.5) -> DataFrame:
+    """node and hub_type: authority (ratio times more links in than out), connector (the other way round) or balanced."""
+    out = links.groupBy(F.col("source").alias("node")).agg(F.countDistinct("target").alias("o"))
+    into = links.groupBy(F.col("target").alias("node")).agg(F.countDistinct("source").alias("i"))
+    both = out.join(into, "node", "full_outer").select("node", F.coalesce("o", F.lit(0)).alias("o"), F.coalesce("i", F.lit(0)).alias("i"))
+    return both.select("node", F.when(F.col("i") > ratio * F.col("o"), "authority").when(F.col("o") > ratio * F.col("i"), "connector").otherwise("balanced").alias("hub_type"))
+
+
+def combine(semantic: DataFrame, links: DataFrame) -> DataFrame:
+    """source, target, weight (the larger one) and origin (semantic, link or both) of two sets of edges."""
+    marked = semantic.select("source", "target", "weight", F.lit(1).alias("m")).unionByName(links.select("source", "target", "weight", F.lit(2).alias("m")))
+    each = marked.groupBy("source", "target").agg(F.max("weight").alias("weight"), F.bit_or("m").alias("m"))
+    return each.select("source", "target", "weight", F.when(F.col("m") == 3, "both").when(F.col("m") == 1, "semantic").otherwise("link").alias("origin"))
+
+
+def communities(edges: DataFrame, rounds: int = 8) -> DataFrame:
+    """node and community by weighted label propagation: each takes the label of most weight around it, itself counted once.
+
+    Ties go to the smallest label. A round is a join and two aggregates of at most as many rows as edges.
+    """
+    both = edges.select(F.col("source").alias("a"), F.col("target").alias("b"), "weight").unionByName(edges.select("target", "source", "weight").toDF("a", "b", "weight"))
+    own = both.groupBy("a").agg(F.max("weight").alias("weight")).select("a", F.col("a").alias("b"), "weight")
+    all_ = both.unionByName(own)
+    label = own.select(F.col("a").alias("node"), F.col("a").alias("community"))
+    for _ in range(rounds):
+        votes = all_.join(label, all_["b"] == label["node"]).groupBy("a", "community").agg(F.sum("weight").alias("w"))
+        best = votes.groupBy("a").agg(F.min(F.struct((-F.col("w")).alias("w"), F.col("community"))).alias("x"))
+        label = _settled(best.select(F.col("a").alias("node"), F.col("x.community").alias("community")))
+    return label
+
+
+def betweenness(edges: DataFrame, sources: int = 100) -> DataFrame:
+    """node and betweenness of an undirected graph without weights, from at most ``sources`` starts (all, if fewer; scaled up).
+
+    Starts are dealt over tasks; each walks the edges, which are shipped once and must be few (the caller skips larger
+    graphs): at most a million.
+    """
+    pairs = edges.select("source", "target").limit(1_000_001).toPandas()
+    if len(pairs) > 1_000_000:
+        raise ValueError("betweenness is for at most a million edges")
+    names = sorted(set(pairs.source) | set(pairs.target))
+    place = {x: k for k, x in enumerate(names)}
+    around: list[set] = [set() for _ in names]
+    for a, b in zip(pairs.source, pairs.target):
+        if a != b:
+            around[place[a]].add(place[b]), around[place[b]].add(place[a])
+    sent = edges.sparkSession.sparkContext.broadcast([sorted(x) for x in around])
+    starts = list(range(len(names)))[:: max(1, len(names) // max(sources, 1))] if len(names) > sources else list(range(len(names)))
+
+    def walk(batches):
+        import pandas as pd
+
+        near = sent.value
+        total = [0.0] * len(near)
+        for batch in batches:
+            for s in batch["s"]:
+                ways, dist, order, above = [0] * len(near), [-1] * len(near), [s], [[] for _ in near]
+                ways[s], dist[s] = 1, 0
+                for v in order:
+                    for w in near[v]:
+                        if dist[w] < 0:
+                            dist[w] = dist[v] + 1
+                            order.append(w)
+                        if dist[w] == dist[v] + 1:
+                            ways[w] += ways[v]
+                            above[w].append(v)
+                share = [0.0] * len(near)
+                for w in reversed(order):
+                    for v in above[w]:
+                        share[v] += ways[v] / ways[w] * (1 + share[w])
+                    if w != s:
+                        total[w] += share[w]
+        yield pd.DataFrame({"k": range(len(near)), "x": total})
+
+    spark = edges.sparkSession
+    scale = len(names) / max(len(starts), 1) / 2  # each pair is met from both ends
+    parts = spark.createDataFrame([(s,) for s in starts], "s int").repartition(8).mapInPandas(walk, "k int, x double")
+    known = spark.createDataFrame(list(enumerate(names)), "k int, node string") if names else spark.createDataFrame([], "k int, node string")
+    return parts.groupBy("k").agg((F.sum("x") * scale).alias("betweenness")).join(known, "k").select("node", "betweenness")
+
+
+def _settled(df: DataFrame) -> DataFrame:
+    from quarry.operators.walks import _cut
+
+    return _cut(df)

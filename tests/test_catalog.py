@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as X
 from quarry.operators import lexical, relational
-from quarry.plans import catalog
+from quarry.plans import catalog, corpus, literals, programs
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -38,9 +38,10 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES | corpus.ORACLES | literals.ORACLES))
 def test_query_equals_sql(spark, duck, name):
-    assert plain(catalog.QUERIES[name](spark, FOLDER).toPandas()) == plain(duck.execute(catalog.ORACLES[name]).df())
+    queries, oracles = catalog.QUERIES | corpus.QUERIES | literals.QUERIES, catalog.ORACLES | corpus.ORACLES | literals.ORACLES
+    assert plain(queries[name](spark, FOLDER).toPandas()) == plain(duck.execute(oracles[name]).df())
 
 
 def test_keyword_edges(spark):
