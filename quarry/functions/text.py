@@ -17,8 +17,15 @@ TRACKING = (
 
 def terms(text: Column) -> Column:
     """Lower-case terms without marks, in order; anything but letters and digits separates."""
-    folded = F.translate(F.lower(F.coalesce(text, F.lit(""))), MARKED, BARE)
-    return F.array_remove(F.split(folded, r"[^\p{L}\p{N}]+"), "")
+    return split_terms(folded(text))
+
+
+def folded(text: Column) -> Column:
+    return F.translate(F.lower(F.coalesce(text, F.lit(""))), MARKED, BARE)
+
+
+def split_terms(text: Column) -> Column:
+    return F.array_remove(F.split(text, r"[^\p{L}\p{N}]+"), "")
 
 
 def sanitise(query: str) -> list[str]:

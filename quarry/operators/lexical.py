@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.text import sanitise, terms
+from quarry.functions.text import folded, sanitise, split_terms, terms
 
 K1, B = 1.2, 0.75
 
@@ -20,13 +22,14 @@ def keyword(docs: DataFrame, query: str, where: Column | None = None, key: str =
     """key, bm25, rank in [0, 1], matched_tokens, dropped_tokens of the best ``limit`` rows.
 
     All terms must occur; if no row of the scope has all, any may. One scan counts the terms and makes the statistics,
-    so nothing but a row of totals is joined. Rank is min-max over what is returned; a single or equal score gives 0.5.
+    so nothing but a row of totals is joined; only texts that hold a term as a substring are split into terms. Rank is min-max over what is returned; a single or equal score gives 0.5.
     """
     words = list(dict.fromkeys(sanitise(query)))
     limit = limit or 200
     scope = F.lit(True) if where is None else where
-    rows = docs.select(key, scope.alias("_in"), terms(F.col(text)).alias("_t"))
-    rows = rows.select(key, "_in", F.size("_t").alias("_dl"), *(F.size(F.filter("_t", _is(w))).alias(f"_tf{i}") for i, w in enumerate(words)))
+    rows = docs.select(key, scope.alias("_in"), folded(F.col(text)).alias("_f"))
+    rows = rows.withColumn("_t", F.when(_any(F.col("_f").contains(w) for w in words), split_terms(F.col("_f"))).otherwise(F.array().cast("array<string>")))
+    rows = rows.select(key, "_in", F.regexp_count("_f", F.lit(r"[\p{L}\p{N}]+")).alias("_dl"), *(F.size(F.filter("_t", _is(w))).alias(f"_tf{i}") for i, w in enumerate(words)))
     n = len(words)
     all_ = F.lit(n > 0)
     for i in range(n):
@@ -55,3 +58,92 @@ def keyword(docs: DataFrame, query: str, where: Column | None = None, key: str =
 
 def _is(word: str):
     return lambda x: x == word
+
+
+def _any(conditions) -> Column:
+    out = F.lit(False)
+    for c in conditions:
+        out = out | c
+    return out
+
+
+def term_stats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """What an index keeps of each term: df, cf and the longest document that holds it."""
+    return postings(docs, key, text).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("dl").alias("longest"))
+
+
+def write_index(docs: DataFrame, path: str, buckets: int = 64, key: str = "doc_id", text: str = "text") -> None:
+    """Postings on disk, in folders by a hash of the term, so that a query reads the folders of its terms."""
+    postings(docs, key, text).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets))).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def read_index(spark, path: str, words: list[str], buckets: int = 64) -> DataFrame:
+    """Postings of a few terms from a written index; other folders aren't read."""
+    asked = [r[0] for r in spark.createDataFrame([(w,) for w in words], "w string").select(F.pmod(F.xxhash64("w"), F.lit(buckets))).collect()]
+    return spark.read.parquet(path).where(F.col("bucket").isin(asked) & F.col("term").isin(words)).drop("bucket")
+
+
+def matches(t: Column, query: str) -> Column:
+    """Whether an array of terms answers a query of words, "phrases", pre*, NEAR(a b, n), AND, OR, NOT and brackets.
+
+    Words side by side must both occur; NOT binds tighter than AND, AND than OR.
+    """
+    tokens = re.findall(r'NEAR\([^)]*\)|"[^"]*"|\(|\)|[^\s()"]+', query)
+    at = 0
+
+    def atom() -> Column:
+        nonlocal at
+        x = tokens[at]
+        at += 1
+        if x == "(":
+            inner = either()
+            at += 1
+            return inner
+        if x == "NOT":
+            return ~atom()
+        if x.startswith("NEAR("):
+            body, _, n = x[5:-1].partition(",")
+            first, second = (sanitise_word(w) for w in body.split()[:2])
+            places = lambda w: F.filter(F.transform(t, lambda y, i: F.when(y == w, i)), lambda i: i.isNotNull())
+            return F.exists(places(first), lambda i: F.exists(places(second), lambda j: F.abs(i - j) <= int(n or 10) + 1))
+        if x.startswith('"'):
+            words = [w for w in (sanitise_word(w) for w in x.strip('"').split()) if w]
+            return F.concat(F.lit(" "), F.array_join(t, " "), F.lit(" ")).contains(" " + " ".join(words) + " ")  # terms hold no blanks
+        if x.endswith("*"):
+            return F.exists(t, lambda y: y.startswith(sanitise_word(x[:-1])))
+        return F.array_contains(t, sanitise_word(x))
+
+    def both() -> Column:
+        nonlocal at
+        out = atom()
+        while at < len(tokens) and tokens[at] not in (")", "OR"):
+            at += tokens[at] == "AND"
+            out = out & atom()
+        return out
+
+    def either() -> Column:
+        nonlocal at
+        out = both()
+        while at < len(tokens) and tokens[at] == "OR":
+            at += 1
+            out = out | both()
+        return out
+
+    return either() if tokens else F.lit(False)
+
+
+def sanitise_word(word: str) -> str:
+    return "".join(c for c in word.lower() if c.isalnum())
+
+
+def search(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Keys of the rows that answer an explicit query (see ``matches``)."""
+    return docs.select(key, terms(F.col(text)).alias("_t")).where(matches(F.col("_t"), query)).select(key)
+
+
+def snippet(t: Column, words: list[str], size: int = 30) -> Column:
+    """``size`` terms around the first hit, hits marked, dots where something is cut."""
+    hits = F.filter(F.transform(t, lambda y, i: F.when(y.isin(words), i + 1)), lambda i: i.isNotNull())
+    start = F.greatest(F.least(F.element_at(F.concat(hits, F.array(F.lit(1))), 1) - size // 2, F.size(t) - size + 1), F.lit(1))
+    shown = F.array_join(F.transform(F.slice(t, start, size), lambda y: F.when(y.isin(words), F.concat(F.lit(">>>"), y, F.lit("<<<"))).otherwise(y)), " ")
+    return F.concat(F.when(start > 1, "...").otherwise(""), shown, F.when(start + size - 1 < F.size(t), "...").otherwise(""))

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -113,3 +113,28 @@ def mean_pool(vectors: DataFrame, group: str, column: str = "embedding", weight:
     mean = each.groupBy(group, "position").agg((F.sum(F.col("_w") * F.col("x").cast("double")) / F.sum("_w")).alias("m"))
     norm = mean.groupBy(group).agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("norm"))
     return mean.join(norm, group).select(group, "position", F.round(F.col("m") / F.col("norm"), 6).alias("value"))
+
+
+def scores(vectors: DataFrame, centroid: Sequence[int], wanted: DataFrame, key: str = "vec_id", column: str = "embedding") -> DataFrame:
+    """key and score of just the ``wanted`` keys (a few): the semi-join comes before anything is computed, and nothing is sorted."""
+    known = by_ids(vectors, centroid, key, column, None)
+    q = _normal(np.mean([known[i] for i in centroid if i in known], axis=0))
+    v = F.transform(column, lambda x: x.cast("double"))
+    return vectors.join(wanted, key, "left_semi").select(key, F.round(dot(unit(v), q), 4).alias("score"))
+
+
+def weighted_pool(vectors: DataFrame, group: str, column: str = "embedding") -> DataFrame:
+    """(group, position, value) of means weighted by how far a vector is from the corpus: 1 - cosine to the centroid, from 0.05 to 2."""
+    v = F.transform(column, lambda x: x.cast("double"))
+    rows = vectors.select(group, unit(v).alias("_v"))
+    mean = rows.select(F.posexplode("_v").alias("position", "x")).groupBy("position").agg(F.avg("x").alias("m"))
+    centre = mean.agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "m"))), lambda p: p["m"]).alias("_c"))  # one number a dimension
+    rows = rows.crossJoin(F.broadcast(centre.select(unit(F.col("_c")).alias("_c"))))
+    weight = F.least(F.greatest(1 - F.aggregate(F.zip_with("_v", "_c", lambda a, b: a * b), F.lit(0.0), lambda s, z: s + z), F.lit(0.05)), F.lit(2.0))
+    return mean_pool(rows.withColumn("_weight", weight), group, "_v", F.col("_weight"))
+
+
+def sources_by_rank(found: DataFrame, source: Column, key: str = "vec_id") -> DataFrame:
+    """source, place (from 1) and score of the distinct sources of ranked rows, by their best row."""
+    best = found.groupBy(source.alias("source")).agg(F.max("score").alias("score"), F.min(key).alias("_k"))
+    return best.select("source", F.row_number().over(Window.orderBy(F.desc("score"), "source")).alias("place"), "score")  # a bounded pool

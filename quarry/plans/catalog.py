@@ -142,7 +142,7 @@ def source_mean_pool(spark, folder):
 @query("WITH k AS (" + _bm25(["thing", "erth"], limit=50) + f"), v AS (SELECT vec_id, list_inner_product({_unit(_V)}, (SELECT {_unit(_V)} FROM embeddings WHERE vec_id = 1)) AS s FROM embeddings) SELECT doc_id, rank, round(s, 4) AS score, round(rank + round(s, 4), 4) AS hybrid FROM k JOIN v ON doc_id = vec_id")
 def hybrid_sum(spark, folder):
     k = lexical.keyword(table(spark, folder, "documents"), "thing erth", limit=50).select("doc_id", "rank")
-    v = semantic.vec_ops(table(spark, folder, "embeddings"), semantic.Modulation(centroid=(1,), limit=1 << 30, pool=1 << 30)).select(F.col("vec_id").alias("doc_id"), "score")
+    v = semantic.scores(table(spark, folder, "embeddings"), (1,), k.select(F.col("doc_id").alias("vec_id"))).withColumnRenamed("vec_id", "doc_id")
     return k.join(v, "doc_id").select("doc_id", "rank", "score", F.round(F.col("rank") + F.col("score"), 4).alias("hybrid"))
 
 
@@ -311,3 +311,93 @@ relation("delegation_tree", ["region", "nation", "supplier"], """WITH RECURSIVE
 relation("drift_history", ["events"], "SELECT user_id, ts, value FROM (SELECT user_id, ts, value, event_id, first_value(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS f, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) x WHERE k = 1 AND value <> f")
 relation("orders_star", ["lineitem", "orders", "customer", "nation", "region"], """SELECT r_name, n_name, count(*) AS n, CAST(round(sum(l_extendedprice * (1 - l_discount)), 0) AS BIGINT) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
     JOIN region ON n_regionkey = r_regionkey GROUP BY r_name, n_name""")
+
+
+# ---- explicit keyword queries, index, more vector queries --------------------------------------------------------------
+
+_FLAT = f"(SELECT doc_id, ' ' || array_to_string({_TERMS}, ' ') || ' ' AS s, {_TERMS} AS t FROM documents)"
+
+
+def _explicit(name: str, text: str, where: str) -> None:
+    QUERIES[name] = lambda spark, folder: lexical.search(table(spark, folder, "documents"), text)
+    ORACLES[name] = f"SELECT doc_id FROM {_FLAT} WHERE {where}"
+
+
+_explicit("kw_phrase", '"the and" OR "of the"', "contains(s, ' the and ') OR contains(s, ' of the ')")
+_explicit("kw_not", "the NOT and", "contains(s, ' the ') AND NOT contains(s, ' and ')")
+_explicit("kw_prefix", "(thin* OR lice*) AND the", "(contains(s, ' thin') OR contains(s, ' lice')) AND contains(s, ' the ')")
+_explicit("kw_near", "NEAR(the and, 3)", "regexp_matches(s, ' the ([^ ]+ ){0,3}and ') OR regexp_matches(s, ' and ([^ ]+ ){0,3}the ')")
+
+
+@query(f"WITH x AS (SELECT doc_id, unnest(t) AS term, len(t) AS dl FROM {_FLAT}), p AS (SELECT term, doc_id, dl, count(*) AS tf FROM x GROUP BY ALL) SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf, CAST(max(dl) AS INTEGER) AS longest FROM p GROUP BY term")
+def kw_term_stats(spark, folder):
+    return lexical.term_stats(table(spark, folder, "documents"))
+
+
+@query(f"""WITH h AS (SELECT doc_id, t, list_position(t, 'license') AS k FROM {_FLAT} WHERE list_contains(t, 'license')), a AS (SELECT *, greatest(least(k - 15, len(t) - 29), 1) AS s FROM h)
+    SELECT doc_id, CASE WHEN s > 1 THEN '...' ELSE '' END || array_to_string(list_transform(list_slice(t, s, s + 29), lambda y: CASE WHEN y = 'license' THEN '>>>' || y || '<<<' ELSE y END), ' ') || CASE WHEN s + 29 < len(t) THEN '...' ELSE '' END AS snippet FROM a""")
+def kw_snippet(spark, folder):
+    d = table(spark, folder, "documents").select("doc_id", X.terms(F.col("text")).alias("t")).where(F.array_contains("t", "license"))
+    return d.select("doc_id", lexical.snippet(F.col("t"), ["license"]).alias("snippet"))
+
+
+@query(f"SELECT page_id FROM (SELECT page_id, ' ' || array_to_string({_TERMS.replace('text', 'html')}, ' ') || ' ' AS s FROM pages) WHERE contains(s, ' the ') AND contains(s, ' and ')")
+def kw_second_surface(spark, folder):
+    return lexical.search(table(spark, folder, "pages"), "the AND and", key="page_id", text="html")
+
+
+@query(_vec(f"list_inner_product(v, (SELECT {_unit('b')} FROM (SELECT list_transform(list_zip(q, {_of(7)}), lambda z: z[1] + z[2]) AS b FROM q)))", "raw"))
+def vec_centroid_blend(spark, folder):
+    return semantic.vec_ops(table(spark, folder, "embeddings"), semantic.Modulation(centroid=(1, 2, 3), blend=7))
+
+
+@query(_vec("list_inner_product(v, q)", "raw", "label = 4", 25))
+def vec_zscore(spark, folder):
+    return semantic.vec_ops(table(spark, folder, "embeddings"), semantic.Modulation(centroid=(1, 2, 3), limit=25), scope=F.col("label") == 4)
+
+
+@query(f"SELECT vec_id, score FROM ({_vec('list_inner_product(v, q)', 'raw', limit=1000)}) WHERE score >= 0.25")
+def vec_threshold(spark, folder):
+    return semantic.vec_ops(table(spark, folder, "embeddings"), semantic.Modulation(centroid=(1, 2, 3), threshold=0.24995, limit=1000, pool=1000)).select("vec_id", "score")
+
+
+@query(f"WITH s AS ({_vec('list_inner_product(v, q)', 'raw', limit=30)}) SELECT label AS source, CAST(row_number() OVER (ORDER BY max(score) DESC, label) AS INTEGER) AS place, max(score) AS score FROM s JOIN embeddings USING (vec_id) GROUP BY label")
+def vec_sources(spark, folder):
+    e = table(spark, folder, "embeddings")
+    found = semantic.vec_ops(e, semantic.Modulation(centroid=(1, 2, 3), limit=30)).join(e.select("vec_id", "label"), "vec_id")
+    return semantic.sources_by_rank(found, F.col("label"))
+
+
+@query(f"""WITH u AS (SELECT vec_id, label, {_unit(_V)} AS v FROM embeddings), m AS (SELECT list(a ORDER BY k) AS m FROM (SELECT k, avg(v[k]) AS a FROM u, range(1, 65) t(k) GROUP BY k)),
+    w AS (SELECT label, v, least(greatest(1 - list_inner_product(v, {_unit('m')}), 0.05), 2) AS w FROM u, m), e AS (SELECT label, w, unnest(range(0, 64)) AS position, unnest(v) AS x FROM w),
+    p AS (SELECT label, position, sum(w * x) / sum(w) AS m FROM e GROUP BY ALL), n AS (SELECT label, sqrt(sum(m * m)) AS n FROM p GROUP BY label) SELECT label, CAST(position AS INTEGER) AS position, round(m / n, 6) AS value FROM p JOIN n USING (label)""")
+def source_weighted_pool(spark, folder):
+    return semantic.weighted_pool(table(spark, folder, "embeddings"), "label")
+
+
+@query(f"""WITH u AS (SELECT vec_id, {_unit(_V)} AS v FROM embeddings), m AS (SELECT list(a ORDER BY k) AS m FROM (SELECT k, avg(v[k]) AS a FROM u, range(1, 65) t(k) GROUP BY k)),
+    d AS (SELECT vec_id, list_transform(list_zip(v, m), lambda z: z[1] - z[2]) AS d FROM u, m), c AS (SELECT vec_id, {_unit('d')} AS v FROM d)
+    SELECT a.vec_id AS source, b.vec_id AS target, round(list_inner_product(a.v, b.v), 6) AS weight FROM c a JOIN c b ON a.vec_id < b.vec_id WHERE list_inner_product(a.v, b.v) >= 0.4""")
+def sim_graph_all(spark, folder):
+    return graph.similar_all(table(spark, folder, "embeddings"), 0.4, block=256).withColumn("weight", F.round("weight", 6))
+
+
+@query("""WITH m AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM events) SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events, m
+    WHERE time_bucket(INTERVAL '1 hour', ts) + INTERVAL 1 HOUR <= mark GROUP BY ALL""")
+def stream_appended(spark, folder):
+    """A real stream: the file is read as it stands, windows are appended once the watermark has passed them, and read back."""
+    import tempfile
+    import uuid
+
+    top = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    top = f"{top}/stream-{uuid.uuid4().hex}"
+    schema = table(spark, folder, "events").schema
+    rows = windows.source(spark, f"{folder}/events*.parquet", schema).withColumn("ts", F.col("ts").cast("timestamp"))
+    windows.drain(windows.tumbling(rows, "1 hour"), f"{top}/out", f"{top}/log")
+    return spark.read.parquet(f"{top}/out").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query("""WITH g AS (SELECT *, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events), s AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap >= INTERVAL 2 HOURS THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g)
+    SELECT min(ts) AS session_start, user_id, count(*) AS n FROM s GROUP BY user_id, k""")
+def session_windows(spark, folder):
+    return windows.sessions(table(spark, folder, "events"), "2 hours")

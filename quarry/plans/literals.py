@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions import code as C
 from quarry.functions import markdown as M
 from quarry.functions import scalars as S
 from quarry.operators import graph, refresh, walks
@@ -400,3 +401,49 @@ def communities_split(spark):
 @expect("node string, betweenness double", [("m", 4.0), ("a", 0.0), ("b", 0.0), ("c", 0.0), ("d", 0.0)])
 def bridges_betweenness(spark):
     return graph.betweenness(rows(spark, "source string, target string", ("a", "b"), ("a", "m"), ("b", "m"), ("m", "c"), ("m", "d"), ("c", "d")))
+
+
+# ---- source files, commands, rules -------------------------------------------------------------------------------------
+
+_PY = "import os, sys as s\nfrom a.b import c\n\n@deco(1)\ndef f():\n    def g():\n        return h()\n    return g() + len([])\n\nclass K(Base):\n    def m(self):\n        return f(self.x())\n\nf()\n"
+
+
+@expect("kind string, name string, parent string, first int, last int, calls string", [("module", "", None, 1, 14, "deco,f"), ("function", "f", "", 4, 8, "g,len"), ("function", "f.g", "f", 6, 7, "h"), ("class", "K", "", 10, 12, ""), ("function", "K.m", "K", 11, 12, "f")])
+def code_definitions(spark):
+    found = C.code_tree(rows(spark, "path string, text string", ("a.py", _PY), ("bad.py", "def ("), ("none.py", None)))
+    return found.where("path = 'a.py'").withColumn("calls", F.array_join("calls", ","))
+
+
+@expect("k int, out string", [(0, "os,sys,a.b"), (1, "react,./x,fs")])
+def code_imports(spark):
+    return scalar(spark, [_PY, "import React from 'react'\nimport {a} from \"./x\"\nconst f = require('fs')"], lambda c: F.array_join(C.imports(c), ","))
+
+
+@expect("k int, path string, op string, confidence double", [(0, "out.txt", "write", 0.9), (0, "in.txt", "read", 0.7), (1, "log", "append", 0.9), (2, "a.py", "edit", 0.95), (3, "b", "write", 0.9), (3, "a", "delete", 0.9), (4, "x y", "delete", 0.95), (5, "f.py", "read", 0.6)])
+def shell_file_ops(spark):
+    d = rows(spark, "k int, command string", (0, "cat in.txt > out.txt 2>&1"), (1, "echo x >> log; ls > /dev/null"), (2, "sed -i 's/a/b/' a.py"), (3, "mv a b"), (4, 'rm -rf "x y"'), (5, "grep -n 'def ' f.py"))
+    return C.file_ops(d, "k", "command")
+
+
+@expect("path string, strategy string", [("a/b/c.md", "ast"), ("a/x.md", "sliding"), ("ab/x.md", "template"), ("q.md", "whole"), ("z/own.md", "sidecar")])
+def split_rules(spark):
+    files = rows(spark, "path string, subtype string", ("a/b/c.md", None), ("a/x.md", "plan"), ("ab/x.md", "plan"), ("q.md", None), ("z/own.md", "plan"))
+    rules = rows(spark, "kind string, pattern string, strategy string", ("folder", "a", "sliding"), ("folder", "a/b", "ast"), ("subtype", "plan", "template"), ("default", "", "whole"), ("file", "z/own.md", "sidecar"))
+    return C.rule_for(files, rules)
+
+
+@expect("title string, type string", [("Methods", "method"), ("Related work", "related"), ("ABSTRACT", "abstract"), ("Else", None)])
+def title_types(spark):
+    d = rows(spark, "title string", ("Methods",), ("Related work",), ("ABSTRACT",), ("Else",))
+    return C.classify(d, [("abstract", "abstract"), ("/^related/i", "related"), ("/method/i", "method")])
+
+
+@expect("position int, title string, depth int, body string", [(0, "Abstract", 1, "# Abstract\n\nWe do."), (1, "One", 1, "# One\n\ntext"), (2, "Two", 2, "## Two\n\nmore")])
+def latex_parts(spark):
+    d = rows(spark, "id int, raw string", (1, "\\begin{abstract}\nWe do.% no\n\\end{abstract}\n\\section{One}\ntext\n\\subsection*{Two}\nmore")).select("id", C.latex_sections(F.col("raw")).alias("text"))
+    return M.sections(d, "id", "text").drop("id")
+
+
+@expect("k int, out string", [(0, "A long title")])
+def latex_titles(spark):
+    return scalar(spark, ["\\title{A long\n  title}\\author{x}"], C.latex_title)
