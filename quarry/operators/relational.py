@@ -91,3 +91,17 @@ def refresh_state(registry: DataFrame, as_of: str, stale_hours: float = 6) -> Da
     late = now - F.col("refresh_started_at").cast("timestamp").cast("double") > stale_hours * 3600
     state = F.when(running & late, "stale-running").when(running, "running").when(F.col("last_refresh_at").isNull(), "never-run").when(age > 2 * F.col("refresh_interval"), "overdue").when(age > F.col("refresh_interval"), "due").otherwise("fresh")
     return registry.withColumn("state", state)
+
+
+def star(base: DataFrame, sidecars: Sequence[DataFrame], key: str) -> DataFrame:
+    """base with the columns of its sidecars (left joins by ``key``); of columns with one name the first holds.
+
+    A sidecar that has a key twice would multiply rows, so it is refused: one aggregate over its keys, before the plan.
+    """
+    seen, out = list(base.columns), base
+    for side in sidecars:
+        if not side.groupBy(key).count().where(F.col(key).isNotNull() & (F.col("count") > 1)).isEmpty():
+            raise ValueError(f"a sidecar repeats values of {key}")
+        new = [c for c in side.columns if c not in seen]
+        out, seen = out.join(side.select(key, *new), key, "left"), seen + new
+    return out.select(*seen)

@@ -179,3 +179,26 @@ def complaints(text: str) -> list[str]:
             if near:
                 out.append(f"{name}: is it {min(near, key=lambda m: (distance(name, m), m))}?")
     return out
+
+
+def shipped(spark: SparkSession, entries: list, stock: set[str]) -> tuple[dict[str, Program], list[str]]:
+    """Programs that a corpus brings along, and why others were refused: each entry stands or falls by itself.
+
+    An entry is {name, sql}; its name is a plain word that no stock program has, and each of its queries only reads.
+    """
+    good, refused = {}, []
+    for k, e in enumerate(entries):
+        try:
+            if not isinstance(e, dict) or not isinstance(e.get("name"), str) or not isinstance(e.get("sql"), str):
+                raise ValueError("needs a name and sql")
+            if not re.fullmatch(r"[a-z][a-z0-9-]*", e["name"]) or e["name"] in stock or e["name"] in good:
+                raise ValueError(f"the name {e['name']!r} is not free")
+            found = parse(e["sql"], e["name"])
+            if not found.queries:
+                raise ValueError("holds no query")
+            for _, sql in found.queries:
+                read_only(spark, sql)
+            good[e["name"]] = found
+        except Exception as x:  # noqa: BLE001
+            refused.append(f"{k}: {str(x).splitlines()[0]}")
+    return good, refused
