@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut
+from quarry.llm.common import cut, partitions
+
+
+def look_up(rows: DataFrame, key: str, table: DataFrame, n: int) -> DataFrame:
+    """Left join of ``rows``, ``n`` in number, with ``table``, whose keys are unique.
+
+    Keys that hold more than n / (4 x partitions) rows each are fewer than 4 x partitions, whatever n is: their rows of
+    ``table`` are broadcast, and only the other rows meet theirs by a shuffle. Null keys stay where they are.
+    """
+    bound = max(n // (4 * partitions(rows.sparkSession)), 16)
+    hot = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_held")).where(F.col("_held") > bound)
+    hot = F.broadcast(hot.join(table, key, "left").withColumnRenamed("_held", "_hot"))
+    marked = rows.join(hot, key, "left")
+    few = marked.where("_hot IS NULL").select(*rows.columns).join(table.hint("merge"), key, "left")
+    return few.unionByName(marked.where("_hot IS NOT NULL").drop("_hot"))
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -13,7 +27,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Null ends and loops are ignored, repeated edges count once; an empty input gives an empty result. Pointers are
     followed by doubling, so a round merges whole trees. Both sides of every join grow with the edges, so none is
-    broadcast. Nothing but whether rows are left reaches the driver.
+    broadcast but for the few nodes at which many rows meet (see ``look_up``). Nothing but counts reaches the driver.
     """
     live = cut(
         edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("a") != F.col("b"))).distinct()
@@ -22,9 +36,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     while not live.isEmpty():
         ends = live.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(live.select(F.col("b").alias("node"), F.col("a").alias("other")))
         up = cut(ends.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("label")))
+        nodes = up.count()
         while True:
             to = up.select(F.col("node").alias("label"), F.col("label").alias("next"))
-            jumped = cut(up.join(to.hint("merge"), "label", "left").select("node", F.col("next").alias("label"), (F.col("next") != F.col("label")).alias("moved")))
+            jumped = cut(look_up(up, "label", to, nodes).select("node", F.col("next").alias("label"), (F.col("next") != F.col("label")).alias("moved")))
             up = jumped.select("node", "label")
             if jumped.where("moved").isEmpty():
                 break
@@ -32,13 +47,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             label = up
         else:
             step = up.select(F.col("node").alias("label"), F.col("label").alias("next"))
-            label = label.join(step.hint("merge"), "label", "left").select("node", F.coalesce("next", "label").alias("label"))
+            label = look_up(label, "label", step, label.count()).select("node", F.coalesce("next", "label").alias("label"))
         label = cut(label)
-        of = up.select(F.col("node"), F.col("label"))
+        edges = live.count()
+        live = cut(look_up(live, "a", up.select(F.col("node").alias("a"), F.col("label").alias("la")), edges))
+        live = look_up(live, "b", up.select(F.col("node").alias("b"), F.col("label").alias("lb")), edges)
         live = cut(
-            live.join(of.select(F.col("node").alias("a"), F.col("label").alias("la")).hint("merge"), "a")
-            .join(of.select(F.col("node").alias("b"), F.col("label").alias("lb")).hint("merge"), "b")
-            .where("la != lb")
+            live.where("la != lb")
             .select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b"))
             .distinct()
         )

@@ -11,7 +11,7 @@ import zlib
 import numpy as np
 import pytest
 
-from quarry.llm import archive, common, counting, jaccard_join, lm_score, mixing, near_dedup, packing, pii, quality, sharding, topk
+from quarry.llm import archive, common, components, counting, jaccard_join, lm_score, mixing, near_dedup, packing, pii, quality, sharding, topk
 from quarry.llm.queries import tokenizer_path
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -375,6 +375,21 @@ def test_sharding_tree(spark):
     assert sharding.assign(d.limit(0), 3).count() == 0
 
 
+def test_look_up_of_hot_keys(spark):
+    rows = [(i, "hot" if i % 3 else f"k{i}") for i in range(3000)] + [(3000 + i, None) for i in range(40)] + [(4000 + i, "lost") for i in range(600)]
+    left = spark.createDataFrame(rows, "i int, k string")
+    table = spark.createDataFrame([("hot", 7), *((f"k{i}", i) for i in range(0, 3000, 6))], "k string, v int")
+    got = {r["i"]: (r["k"], r["v"]) for r in components.look_up(left, "k", table, len(rows)).collect()}
+    known = {"hot": 7} | {f"k{i}": i for i in range(0, 3000, 6)}
+    assert got == {i: (k, known.get(k)) for i, k in rows}
+
+
+def test_components_of_stars_and_chains(spark):
+    edges = [(0, i) for i in range(1, 900)] + [(i, i + 1) for i in range(1000, 1060)] + [(899, 2000), (2000, 2001), (5, 5), (None, 3), (1, 0)]
+    got = {r["node"]: r["label"] for r in components.connected_components(spark.createDataFrame(edges, "a int, b int")).collect()}
+    assert got == {i: 0 for i in (*range(900), 2000, 2001)} | {i: 1000 for i in range(1000, 1061)}
+
+
 def test_near_duplicate_components(spark):
     rng = np.random.default_rng(8)
     base = rng.normal(size=(40, 64))
