@@ -8,18 +8,23 @@ from pyspark.sql import functions as F
 from quarry.llm.common import cut, partitions
 
 
-def look_up(rows: DataFrame, key: str, table: DataFrame, n: int) -> DataFrame:
-    """Left join of ``rows``, ``n`` in number, with ``table``, whose keys are unique.
+def hot_keys(rows: DataFrame, key: str, n: int) -> list:
+    """Keys that hold more than two tasks' share of the ``n`` rows each, so fewer than half as many keys as partitions."""
+    bound = max(2 * n // partitions(rows.sparkSession), 64)
+    return [r[0] for r in rows.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > bound).select(key).collect()]
 
-    Keys that hold more than n / (4 x partitions) rows each are fewer than 4 x partitions, whatever n is: their rows of
-    ``table`` are broadcast, and only the other rows meet theirs by a shuffle. Null keys stay where they are.
+
+def look_up(rows: DataFrame, key: str, table: DataFrame, hot: list) -> DataFrame:
+    """Left join of ``rows`` with ``table``, whose keys are unique.
+
+    Rows of the ``hot`` keys (see ``hot_keys``) stay where they are and meet theirs by a broadcast of that many rows at most;
+    the others meet by a shuffle. Null keys find nothing.
     """
-    bound = max(n // (4 * partitions(rows.sparkSession)), 16)
-    hot = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_held")).where(F.col("_held") > bound)
-    hot = F.broadcast(hot.join(table, key, "left").withColumnRenamed("_held", "_hot"))
-    marked = rows.join(hot, key, "left")
-    few = marked.where("_hot IS NULL").select(*rows.columns).join(table.hint("merge"), key, "left")
-    return few.unionByName(marked.where("_hot IS NOT NULL").drop("_hot"))
+    if not hot:
+        return rows.join(table.hint("merge"), key, "left")
+    few = rows.sparkSession.createDataFrame(table.where(F.col(key).isin(hot)).collect(), table.schema)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    return rows.where(~is_hot).join(table.hint("merge"), key, "left").unionByName(rows.where(is_hot).join(F.broadcast(few), key, "left"))
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -27,31 +32,31 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Null ends and loops are ignored, repeated edges count once; an empty input gives an empty result. Pointers are
     followed by doubling, so a round merges whole trees. Both sides of every join grow with the edges, so none is
-    broadcast but for the few nodes at which many rows meet (see ``look_up``). Nothing but counts reaches the driver.
+    broadcast but for the few nodes at which many rows meet. Only those and counts reach the driver.
     """
     live = cut(
         edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("a") != F.col("b"))).distinct()
     )
-    label = None
-    while not live.isEmpty():
+    label, total = None, 0
+    while edges := live.count():
         ends = live.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(live.select(F.col("b").alias("node"), F.col("a").alias("other")))
         up = cut(ends.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("label")))
         nodes = up.count()
         while True:
             to = up.select(F.col("node").alias("label"), F.col("label").alias("next"))
-            jumped = cut(look_up(up, "label", to, nodes).select("node", F.col("next").alias("label"), (F.col("next") != F.col("label")).alias("moved")))
+            jumped = cut(look_up(up, "label", to, hot_keys(up, "label", nodes)).select("node", F.col("next").alias("label"), (F.col("next") != F.col("label")).alias("moved")))
             up = jumped.select("node", "label")
             if jumped.where("moved").isEmpty():
                 break
         if label is None:
-            label = up
+            label, total = up, nodes
         else:
             step = up.select(F.col("node").alias("label"), F.col("label").alias("next"))
-            label = look_up(label, "label", step, label.count()).select("node", F.coalesce("next", "label").alias("label"))
+            label = look_up(label, "label", step, hot_keys(label, "label", total)).select("node", F.coalesce("next", "label").alias("label"))
         label = cut(label)
-        edges = live.count()
-        live = cut(look_up(live, "a", up.select(F.col("node").alias("a"), F.col("label").alias("la")), edges))
-        live = look_up(live, "b", up.select(F.col("node").alias("b"), F.col("label").alias("lb")), edges)
+        hot_a, hot_b = hot_keys(live, "a", edges), hot_keys(live, "b", edges)
+        live = look_up(live, "a", up.select(F.col("node").alias("a"), F.col("label").alias("la")), hot_a)
+        live = look_up(live, "b", up.select(F.col("node").alias("b"), F.col("label").alias("lb")), hot_b)
         live = cut(
             live.where("la != lb")
             .select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b"))

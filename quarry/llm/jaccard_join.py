@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import cut, give_back, mix, partitions, shingle_sets, string_buffers, text_bytes
-from quarry.llm.components import connected_components, look_up
+from quarry.llm.components import connected_components, hot_keys, look_up
 from quarry.llm.counting import SENT, Sender, Shape, answer, cuts, whole_counts
 
 #: A tile holds about this many sets and this many bytes of tokens, or one longer set.
@@ -171,17 +171,17 @@ def similar_texts(docs: DataFrame, n: int = 4, threshold: Fraction | float | str
     label = _link(sigs, sets, t)
     smallest = kept.select("node", F.col("doc_id"))
     named = cut(smallest.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")))
-    held = named.count()
+    hot = hot_keys(named, "label", named.count())
     if keepers:
         order = lambda *more: F.struct(F.col("own").isNull().alias("missing"), F.col("own").alias("own"), *more)
         first = rows.groupBy("node").agg(F.min(order()).alias("first")).select("node", "first.own")
         best = named.join(first, "node").groupBy("label").agg(F.min(order(F.col("node"))).alias("best")).select("label", F.col("best.own").alias("best_own"), F.col("best.node").alias("best_node"))
         best = cut(best)
-        nodes = look_up(named, "label", best, held).select("node", "best_own", "best_node").join(sizes, "node")
+        nodes = look_up(named, "label", best, hot).select("node", "best_own", "best_node").join(sizes, "node")
         keep = (F.col("size") == 0) | ((F.col("node") == F.col("best_node")) & F.col("own").eqNullSafe(F.col("best_own")))
         return rows.select("own", "node").join(nodes, "node").select(F.col("own").alias("doc_id"), F.col("size").alias("n_shingles"), "node", keep.alias("keep"))
     component = cut(named.groupBy("label").agg(F.min("doc_id").alias("component_id")))
-    result = look_up(named, "label", component, held).select("node", "component_id").join(sizes, "node").select("node", "component_id", F.col("size").alias("n_shingles"))
+    result = look_up(named, "label", component, hot).select("node", "component_id").join(sizes, "node").select("node", "component_id", F.col("size").alias("n_shingles"))
     out = rows.select("doc_id", "node").join(result, "node", "left")
     return out.select(
         "doc_id",

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import cut, give_back, partitions
-from quarry.llm.components import connected_components, look_up
+from quarry.llm.components import connected_components, hot_keys, look_up
 
 
 def rotation(sample: np.ndarray, steps: int = 30, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -154,7 +154,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, key: str = "vec
     named = distinct.select("node", "copies", "smallest").join(joined, "node", "left").withColumn("label", F.coalesce("label", "node")).join(links, "node", "left")
     named = cut(named)
     least = cut(named.groupBy("label").agg(F.min("smallest").alias("component_id")))
-    of = look_up(named, "label", least, n).select("node", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    of = look_up(named, "label", least, hot_keys(named, "label", n)).select("node", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     out = rows.select("id", "node").join(of, "node", "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"))

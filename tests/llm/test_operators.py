@@ -379,9 +379,15 @@ def test_look_up_of_hot_keys(spark):
     rows = [(i, "hot" if i % 3 else f"k{i}") for i in range(3000)] + [(3000 + i, None) for i in range(40)] + [(4000 + i, "lost") for i in range(600)]
     left = spark.createDataFrame(rows, "i int, k string")
     table = spark.createDataFrame([("hot", 7), *((f"k{i}", i) for i in range(0, 3000, 6))], "k string, v int")
-    got = {r["i"]: (r["k"], r["v"]) for r in components.look_up(left, "k", table, len(rows)).collect()}
+    hot = components.hot_keys(left, "k", len(rows))
+    assert set(hot) == ({"hot"} if common.partitions(spark) <= 8 else {"hot", "lost"})
+    got = {r["i"]: (r["k"], r["v"]) for r in components.look_up(left, "k", table, hot).collect()}
     known = {"hot": 7} | {f"k{i}": i for i in range(0, 3000, 6)}
     assert got == {i: (k, known.get(k)) for i, k in rows}
+    left, table = (d.withColumn("k", d["k"].cast("binary")) for d in (left, table))
+    hot = components.hot_keys(left, "k", len(rows))
+    found = components.look_up(left, "k", table, hot).where("v = 7")
+    assert hot and found.count() == 2000 and {bytes(r["k"]) for r in found.select("k").distinct().collect()} == {b"hot"}
 
 
 def test_components_of_stars_and_chains(spark):
