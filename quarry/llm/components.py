@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from quarry.llm.common import cut, partitions
 
 
-def hot_keys(rows: DataFrame, key: str, n: int) -> list:
-    """Keys that hold more than two tasks' share of the ``n`` rows each, so fewer than half as many keys as partitions."""
+def hot_keys(rows: DataFrame, key: str, n: int, weight: str | None = None) -> list:
+    """Keys that hold more than two tasks' share of the ``n`` rows each, so fewer than half as many keys as partitions.
+
+    ``weight``: a column that tells how many rows a row stands for.
+    """
+    held = F.sum(weight) if weight else F.count("*")
     bound = max(2 * n // partitions(rows.sparkSession), 64)
-    return [r[0] for r in rows.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > bound).select(key).collect()]
+    return [r[0] for r in rows.where(F.col(key).isNotNull()).groupBy(key).agg(held.alias("_held")).where(F.col("_held") > bound).select(key).collect()]
 
 
 def look_up(rows: DataFrame, key: str, table: DataFrame, hot: list) -> DataFrame:

@@ -111,7 +111,9 @@ def similar_texts(docs: DataFrame, n: int = 4, threshold: Fraction | float | str
         rows = rows.withColumn("own", F.col("doc_id")).withColumn("doc_id", F.coalesce("doc_id", F.xxhash64("text")))
     shape = Shape.of(text_bytes(rows), partitions(spark))
     dg = F.pmod(F.xxhash64("doc_id", "node"), F.lit(shape.groups)).cast("int")
-    kept = cut(rows.where("doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))).withColumn("dg", dg)
+    nodes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")))
+    copied = hot_keys(nodes, "node", nodes.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0], "copies")
+    kept = nodes.where("doc_id IS NOT NULL").select("node", "doc_id").withColumn("dg", dg)
     parted = rows.where("doc_id IS NOT NULL").withColumn("dg", dg).repartition(shape.tasks, "dg")
 
     def emit(key, left, right):
@@ -179,10 +181,10 @@ def similar_texts(docs: DataFrame, n: int = 4, threshold: Fraction | float | str
         best = cut(best)
         nodes = look_up(named, "label", best, hot).select("node", "best_own", "best_node").join(sizes, "node")
         keep = (F.col("size") == 0) | ((F.col("node") == F.col("best_node")) & F.col("own").eqNullSafe(F.col("best_own")))
-        return rows.select("own", "node").join(nodes, "node").select(F.col("own").alias("doc_id"), F.col("size").alias("n_shingles"), "node", keep.alias("keep"))
+        return look_up(rows.select("own", "node"), "node", nodes, copied).select(F.col("own").alias("doc_id"), F.col("size").alias("n_shingles"), "node", keep.alias("keep"))
     component = cut(named.groupBy("label").agg(F.min("doc_id").alias("component_id")))
     result = look_up(named, "label", component, hot).select("node", "component_id").join(sizes, "node").select("node", "component_id", F.col("size").alias("n_shingles"))
-    out = rows.select("doc_id", "node").join(result, "node", "left")
+    out = look_up(rows.select("doc_id", "node"), "node", result, copied)
     return out.select(
         "doc_id",
         F.when(F.col("doc_id").isNotNull(), F.col("n_shingles")).alias("n_shingles"),

@@ -155,6 +155,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, key: str = "vec
     named = cut(named)
     least = cut(named.groupBy("label").agg(F.min("smallest").alias("component_id")))
     of = look_up(named, "label", least, hot_keys(named, "label", n)).select("node", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
-    out = rows.select("id", "node").join(of, "node", "left")
+    copied = hot_keys(distinct, "node", distinct.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0], "copies")
+    ids = rows.select("id", F.coalesce("node", F.unhex(F.hex(F.xxhash64("id")))).alias("node"))  # a key of its own, which finds nothing
+    out = look_up(ids, "node", of, copied)
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
