@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import re
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +53,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write a table of its own into the checkpoint folder and read it back: smaller than a checkpoint, and columns can be pruned."""
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -127,15 +137,15 @@ def _cut_after(data: np.ndarray, stop: int, edges: np.ndarray) -> int:
     return last
 
 
-def word_hashes(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of A-Z-lower-cased texts, and each word's row.
+def word_hashes(offsets: np.ndarray, data: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of texts, with ``fold`` A-Z-lower-cased, and each word's row.
 
     Works through the bytes in runs of about ``SLICE_BYTES`` that end between words, however long a text is.
     """
     hashes, rows, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
     while at < len(data):
         stop = len(data) if at + SLICE_BYTES >= len(data) else _cut_after(data, at + SLICE_BYTES, offsets)
-        low = _LOWER[data[at:stop]]
+        low = _LOWER[data[at:stop]] if fold else data[at:stop]
         n = len(low)
         word = ~_SPACE[low]
         edge = np.zeros(n + 1, bool)

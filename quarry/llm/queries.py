@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import archive, jaccard_join, lm_score, mixing, near_dedup, packing, pii, quality, sharding, topk
+from quarry.llm import archive, concurrency, divergence, jaccard_join, lm_score, mixing, near_dedup, packing, pii, quality, sharding, topk, whitening
 from quarry.llm.common import read
 
 HELD_OUT = 5
@@ -72,7 +72,20 @@ def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.rates(read(spark, sf_dir, "documents"), labels, mixing.TARGETS, hold="good", margin=MARGIN)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_classifier, op3_ngram_jaccard_join, op4_exact_top_k, op5_embedding_near_dedup, op6_lm_scoring, op7_legacy_archives, op8_pii_boosting, op9_hash_tree_sharding, op10_soft_mixing)}
+def op11_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.rules(read(spark, sf_dir, "documents"))
+
+
+def op12_peak_concurrency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sales = concurrency.open_sales(*(read(spark, sf_dir, t) for t in ("sales", "sale_lines", "clients")))
+    return concurrency.sweep(sales, total=-2).withColumnsRenamed({"key": "nation_id", "open_amount": "open_cents"})
+
+
+def op13_jacobi_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"), components=16)
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_classifier, op3_ngram_jaccard_join, op4_exact_top_k, op5_embedding_near_dedup, op6_lm_scoring, op7_legacy_archives, op8_pii_boosting, op9_hash_tree_sharding, op10_soft_mixing, op11_distribution_divergence, op12_peak_concurrency, op13_jacobi_whitening)}
 
 ORACLES = {
     "op7_legacy_archives": """
@@ -88,4 +101,18 @@ ORACLES = {
               FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
         SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5""",
+    "op12_peak_concurrency": """
+        WITH shipped AS (SELECT sale_id, max(shipped_at) AS last FROM sale_lines WHERE shipped_at IS NOT NULL GROUP BY sale_id),
+        nations AS (SELECT client_id, min(nation_id) AS nation_id FROM clients GROUP BY client_id),
+        s AS (SELECT coalesce(nation_id, -1) AS nation_id, CAST(floor(epoch(sold_at) / 60) AS BIGINT) * 60 AS a, CAST(floor(epoch(last) / 60) AS BIGINT) * 60 + 604800 AS b,
+                     coalesce(CAST(floor(100 * total + 0.5) AS BIGINT), 0) AS cents
+              FROM sales LEFT JOIN shipped USING (sale_id) LEFT JOIN nations USING (client_id) WHERE sold_at IS NOT NULL),
+        own AS (SELECT * FROM s WHERE b IS NULL OR b > a),
+        ends AS (SELECT nation_id, a AS t, 1 AS n, cents FROM own UNION ALL SELECT nation_id, b, -1, -cents FROM own WHERE b IS NOT NULL),
+        twice AS (SELECT * FROM ends UNION ALL SELECT -2, t, n, cents FROM ends),
+        steps AS (SELECT nation_id, t, CAST(sum(n) AS BIGINT) AS n, CAST(sum(cents) AS BIGINT) AS cents FROM twice GROUP BY nation_id, t),
+        runs AS (SELECT nation_id, t AS from_s, lead(t) OVER w AS to_s, CAST(sum(n) OVER w AS BIGINT) AS n_open, CAST(sum(cents) OVER w AS BIGINT) AS open_cents
+                 FROM steps WHERE n <> 0 OR cents <> 0 WINDOW w AS (PARTITION BY nation_id ORDER BY t))
+        SELECT CAST(nation_id AS INTEGER) AS nation_id, from_s, to_s, n_open, open_cents, max(n_open) OVER (PARTITION BY nation_id ORDER BY from_s) AS high_open,
+               n_open = max(n_open) OVER (PARTITION BY nation_id) AS is_peak FROM runs""",
 }
