@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import folded, sanitise, split_terms, terms
@@ -18,40 +19,48 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return rows.select(key, "dl", F.explode("t").alias("term")).groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
 
 
-def keyword(docs: DataFrame, query: str, where: Column | None = None, key: str = "doc_id", text: str = "text", limit: int = 200) -> DataFrame:
-    """key, bm25, rank in [0, 1], matched_tokens, dropped_tokens of the best ``limit`` rows.
+def keyword(docs: DataFrame, query: str, where: Column | DataFrame | None = None, key: str = "doc_id", text: str = "text", limit: int = 200) -> DataFrame:
+    """key, bm25, rank in [0, 1], matched_tokens, dropped_tokens of the best ``limit`` rows, by a scan of all texts.
 
-    All terms must occur; if no row of the scope has all, any may. One scan counts the terms and makes the statistics,
-    so nothing but a row of totals is joined; only texts that hold a term as a substring are split into terms. Rank is min-max over what is returned; a single or equal score gives 0.5.
+    All terms must occur; if no row of the scope (a condition, or a table of keys) has all, any may. The texts are read
+    twice, for the statistics and for the ranking; ``ranked`` reads a written index instead. Only texts that hold a term as
+    a substring are split into terms. Rank is min-max over what is returned; a single or equal score gives 0.5.
     """
     words = list(dict.fromkeys(sanitise(query)))
-    limit = limit or 200
-    scope = F.lit(True) if where is None else where
-    rows = docs.select(key, scope.alias("_in"), folded(F.col(text)).alias("_f"))
+    rows = docs.withColumn("_f", folded(F.col(text)))
+    if isinstance(where, DataFrame):
+        rows = rows.join(where.select(F.col(where.columns[0]).alias(key)).distinct().withColumn("_in", F.lit(True)), key, "left").select(key, F.coalesce("_in", F.lit(False)).alias("_in"), "_f")
+    else:
+        rows = rows.select(key, (F.lit(True) if where is None else where).alias("_in"), "_f")
     rows = rows.withColumn("_t", F.when(_any(F.col("_f").contains(w) for w in words), split_terms(F.col("_f"))).otherwise(F.array().cast("array<string>")))
     rows = rows.select(key, "_in", F.regexp_count("_f", F.lit(r"[\p{L}\p{N}]+")).alias("_dl"), *(F.size(F.filter("_t", _is(w))).alias(f"_tf{i}") for i, w in enumerate(words)))
+    known = rows.agg(F.count("*").alias("_n"), F.avg("_dl").alias("_avg"), *(F.sum((F.col(f"_tf{i}") > 0).cast("long")).alias(f"_df{i}") for i in range(len(words))), *_hits(words))
+    return _best(rows.where("_in").crossJoin(F.broadcast(known)), words, key, limit or 200)
+
+
+def _hits(words: list[str]) -> list[Column]:
+    """Whether a row of the scope has all words, and each of them."""
+    in_scope = F.col("_in")
+    every = F.lit(bool(words))
+    for i in range(len(words)):
+        every = every & (F.col(f"_tf{i}") > 0)
+    return [F.coalesce(F.bool_or(in_scope & every), F.lit(False)).alias("_and"), *(F.coalesce(F.bool_or(in_scope & (F.col(f"_tf{i}") > 0)), F.lit(False)).alias(f"_hit{i}") for i in range(len(words)))]
+
+
+def _best(rows: DataFrame, words: list[str], key: str, limit: int) -> DataFrame:
+    """Scores of rows that carry _dl, the frequencies _tf and the statistics _n, _avg, _df, _and and _hit."""
     n = len(words)
-    all_ = F.lit(n > 0)
-    for i in range(n):
-        all_ = all_ & (F.col(f"_tf{i}") > 0)
-    totals = rows.agg(
-        F.count("*").alias("_n"),
-        F.avg("_dl").alias("_avg"),
-        F.coalesce(F.bool_or(F.col("_in") & all_), F.lit(False)).alias("_and"),
-        *(F.sum((F.col(f"_tf{i}") > 0).cast("long")).alias(f"_df{i}") for i in range(n)),
-        *(F.coalesce(F.bool_or(F.col("_in") & (F.col(f"_tf{i}") > 0)), F.lit(False)).alias(f"_hit{i}") for i in range(n)),
-    )
-    score, some = F.lit(0.0), F.lit(False)
+    score, some, every = F.lit(0.0), F.lit(False), F.lit(True)
     for i in range(n):
         tf, df = F.col(f"_tf{i}"), F.col(f"_df{i}")
         idf = F.greatest(F.log((F.col("_n") - df + 0.5) / (df + 0.5)), F.lit(1e-6))
         score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_dl") / F.col("_avg")))
-        some = some | (tf > 0)
-    found = rows.where(F.col("_in") & some).crossJoin(F.broadcast(totals)).where(~F.col("_and") | all_)
+        some, every = some | (tf > 0), every & (tf > 0)
+    found = rows.where(some & (~F.col("_and") | every))
     pick = lambda on: F.array_compact(F.array(*(F.when(F.col(f"_hit{i}") == on, w) for i, w in enumerate(words)))) if n else F.array().cast("array<string>")
     best = found.select(key, score.alias("bm25"), pick(True).alias("matched_tokens"), pick(False).alias("dropped_tokens")).orderBy(F.desc("bm25"), key).limit(limit)
-    every = Window.partitionBy()  # at most `limit` rows
-    low, high = F.min("bm25").over(every), F.max("bm25").over(every)
+    whole = Window.partitionBy()  # at most `limit` rows
+    low, high = F.min("bm25").over(whole), F.max("bm25").over(whole)
     rank = F.when(high > low, (F.col("bm25") - low) / (high - low)).otherwise(0.5)
     return best.select(key, F.round("bm25", 6).alias("bm25"), F.round(rank, 6).alias("rank"), F.array_join("matched_tokens", ",").alias("matched_tokens"), F.array_join("dropped_tokens", ",").alias("dropped_tokens"))
 
@@ -60,6 +69,13 @@ def _is(word: str):
     return lambda x: x == word
 
 
+def _all(conditions) -> Column:
+    out = F.lit(True)
+    for c in conditions:
+        out = out & c
+    return out
+
+
 def _any(conditions) -> Column:
     out = F.lit(False)
     for c in conditions:
@@ -72,40 +88,119 @@ def term_stats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return postings(docs, key, text).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("dl").alias("longest"))
 
 
-def write_index(docs: DataFrame, path: str, buckets: int = 64, key: str = "doc_id", text: str = "text") -> None:
-    """Postings on disk, in folders by a hash of the term, so that a query reads the folders of its terms."""
-    postings(docs, key, text).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets))).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+@dataclass(frozen=True)
+class Index:
+    """A written index below ``path``: postings and terms in folders by a hash of the term, documents, totals."""
+
+    spark: SparkSession
+    path: str
+    buckets: int = 64
 
+    def read(self, part: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{part}")
 
-def read_index(spark, path: str, words: list[str], buckets: int = 64) -> DataFrame:
-    """Postings of a few terms from a written index; other folders aren't read."""
-    asked = [r[0] for r in spark.createDataFrame([(w,) for w in words], "w string").select(F.pmod(F.xxhash64("w"), F.lit(buckets))).collect()]
-    return spark.read.parquet(path).where(F.col("bucket").isin(asked) & F.col("term").isin(words)).drop("bucket")
+    def of(self, part: str, words: list[str]) -> DataFrame:
+        """Rows of a few terms; other folders aren't read, and of the files in them only the row groups that may hold the terms."""
+        asked = [r[0] for r in self.spark.createDataFrame([(w,) for w in words], "term string").select(_bucket(self.buckets)).distinct().collect()]
+        return self.read(part).where(F.col("bucket").isin(asked) & F.col("term").isin(words)).drop("bucket")
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
+
+
+def write_index(docs: DataFrame, path: str, buckets: int = 64, spread: int = 8, key: str = "doc_id", text: str = "text", mode: str = "overwrite") -> Index:
+    """Write postings (term, key, tf, dl), document counts of terms, documents (key, dl) and totals.
+
+    A bucket's postings are dealt to ``spread`` tasks by document, as one frequent term can be most of them, and sorted by
+    term there. Keys are told apart by value: repeated or null keys are refused by ``index_drift``, not here.
+    """
+    spark, index = docs.sparkSession, Index(docs.sparkSession, path, buckets)
+    rows = postings(docs, key, text).select("*", _bucket(buckets))
+    rows.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(spread))).sortWithinPartitions("bucket", "term").write.mode(mode).partitionBy("bucket").parquet(f"{path}/postings")
+    written = docs.select(key).join(spark.read.parquet(f"{path}/postings").groupBy(key).agg(F.first("dl").alias("dl")), key, "left").select(key, F.coalesce("dl", F.lit(0)).alias("dl"))
+    written.write.mode(mode).parquet(f"{path}/docs")
+    own = index.read("postings").join(docs.select(key).distinct(), key, "left_semi") if mode == "append" else index.read("postings")
+    own.groupBy("term", "bucket").agg(F.count("*").alias("df")).repartition("bucket").sortWithinPartitions("term").write.mode(mode).partitionBy("bucket").parquet(f"{path}/terms")
+    written.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("length")).write.mode(mode).parquet(f"{path}/totals")
+    return index
+
+
+def read_index(spark: SparkSession, path: str, words: list[str], buckets: int = 64) -> DataFrame:
+    """Postings of a few terms from a written index."""
+    return Index(spark, path, buckets).of("postings", words)
+
+
+def append_index(index: Index, docs: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
+    """Add the documents whose keys the index doesn't hold; what is there isn't rewritten."""
+    fresh = docs.join(index.read("docs").select(key), key, "left_anti")
+    fresh = fresh.join(fresh.groupBy(key).count().where("count = 1").select(key), key, "left_semi")
+    keys = [r for r in fresh.select(key).limit(1).collect()]
+    return write_index(fresh.select(key, text), index.path, index.buckets, key=key, text=text, mode="append") if keys else index
+
+
+def index_drift(index: Index, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row: documents the index lacks, those it holds in vain, those whose length differs, and keys that are null or repeated."""
+    now = docs.select(key, F.size(terms(F.col(text))).alias("now")).groupBy(key).agg(F.count("*").alias("rows"), F.first("now").alias("now"))
+    both = now.join(index.read("docs").withColumn("held", F.lit(True)), key, "full_outer")
+    total = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    return both.agg(
+        total(F.col("held").isNull()).alias("missing"), total(F.col("rows").isNull()).alias("orphaned"),
+        total(F.coalesce(F.col("now") != F.col("dl"), F.lit(False))).alias("changed"), total(F.coalesce(F.col("rows") > 1, F.lit(False)) | F.col(key).isNull()).alias("unusable"),
+    )
+
+
+def ranked(index: Index, query: str, scope: DataFrame | None = None, key: str = "doc_id", limit: int = 200) -> DataFrame:
+    """As ``keyword``, from a written index: only the folders of the query's terms are read.
+
+    The statistics are three small reads (totals, and the document counts of the query's terms). ``scope`` is a table of
+    keys that the postings are semi-joined with before anything is summed.
+    """
+    words = list(dict.fromkeys(sanitise(query)))
+    n, length = index.read("totals").agg(F.sum("n"), F.sum("length")).first()
+    df = {r[0]: r[1] for r in index.of("terms", words).groupBy("term").agg(F.sum("df")).collect()} if words else {}
+    rows = index.of("postings", words) if words else index.read("postings").drop("bucket").limit(0)
+    if scope is not None:
+        rows = rows.join(scope.select(F.col(scope.columns[0]).alias(key)), key, "left_semi")
+    tfs = [F.coalesce(F.max(F.when(F.col("term") == w, F.col("tf"))), F.lit(0)).alias(f"_tf{i}") for i, w in enumerate(words)]
+    rows = rows.groupBy(key, F.col("dl").alias("_dl")).agg(F.count("*").alias("_held"), *tfs).withColumn("_in", F.lit(True))
+    rows = rows.crossJoin(F.broadcast(rows.agg(*_hits(words))))
+    known = {"_n": F.lit(n or 0), "_avg": F.lit((length or 0) / max(n or 0, 1))} | {f"_df{i}": F.lit(df.get(w, 0)) for i, w in enumerate(words)}
+    return _best(rows.withColumns(known), words, key, limit or 200)
 
 
 def matches(t: Column, query: str) -> Column:
-    """Whether an array of terms answers a query of words, "phrases", pre*, NEAR(a b, n), AND, OR, NOT and brackets.
+    """Whether an array of terms answers a query of words, "phrases", pre*, NEAR(a b c, n), AND, OR, NOT and brackets.
 
-    Words side by side must both occur; NOT binds tighter than AND, AND than OR.
+    Words side by side must both occur; NOT binds tighter than AND, AND than OR. NEAR: at most n other terms between the
+    outermost. A query that lacks a term or a bracket raises ValueError.
     """
     tokens = re.findall(r'NEAR\([^)]*\)|"[^"]*"|\(|\)|[^\s()"]+', query)
     at = 0
 
     def atom() -> Column:
         nonlocal at
+        if at >= len(tokens) or tokens[at] in (")", "AND", "OR"):
+            raise ValueError(f"a term is missing {'before ' + tokens[at] if at < len(tokens) else 'at the end'} of {query!r}")
         x = tokens[at]
         at += 1
         if x == "(":
             inner = either()
+            if at >= len(tokens):
+                raise ValueError(f"a bracket is open in {query!r}")
             at += 1
             return inner
         if x == "NOT":
             return ~atom()
         if x.startswith("NEAR("):
             body, _, n = x[5:-1].partition(",")
-            first, second = (sanitise_word(w) for w in body.split()[:2])
-            places = lambda w: F.filter(F.transform(t, lambda y, i: F.when(y == w, i)), lambda i: i.isNotNull())
-            return F.exists(places(first), lambda i: F.exists(places(second), lambda j: F.abs(i - j) <= int(n or 10) + 1))
+            near = [sanitise_word(w) for w in body.split()]
+            if len(near) < 2:
+                raise ValueError(f"NEAR takes two terms or more: {x}")
+            # all within n terms between the first and the last: some window that starts at a hit holds them all
+            width = int(n or 10) + len(near)
+            hit = F.filter(F.transform(t, lambda y, i: F.when(y.isin(near), i + 1)), lambda i: i.isNotNull())
+            return F.exists(hit, lambda i: _all(F.array_contains(F.slice(t, i, width), w) for w in near))
         if x.startswith('"'):
             words = [w for w in (sanitise_word(w) for w in x.strip('"').split()) if w]
             return F.concat(F.lit(" "), F.array_join(t, " "), F.lit(" ")).contains(" " + " ".join(words) + " ")  # terms hold no blanks
@@ -129,7 +224,12 @@ def matches(t: Column, query: str) -> Column:
             out = out | both()
         return out
 
-    return either() if tokens else F.lit(False)
+    if not tokens:
+        return F.lit(False)
+    out = either()
+    if at < len(tokens):
+        raise ValueError(f"a bracket is closed but not opened in {query!r}")
+    return out
 
 
 def sanitise_word(word: str) -> str:

@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 @dataclass
 class Modulation:
-    """What a query asks for. Ids name stored vectors; their number is what the caller writes, so it is small."""
+    """What a query asks for. Ids name stored vectors, arrays are vectors themselves; their number is what the caller writes, so it is small."""
 
-    centroid: Sequence[int] = ()
-    blend: int | None = None
-    suppress: Sequence[int] = ()
-    toward: tuple[int, int] | None = None
+    centroid: Sequence[int | np.ndarray] = ()
+    blend: int | np.ndarray | None = None
+    suppress: Sequence[int | np.ndarray] = ()
+    toward: tuple[int | np.ndarray, int | np.ndarray] | None = None
     half_life: float | None = None
     as_of: str | None = None
     dims: int | None = None
@@ -48,30 +48,33 @@ def by_ids(vectors: DataFrame, ids: Sequence[int], key: str, column: str, dims:
     return {r[0]: _normal(np.array(r[1], float)[: dims or None]) for r in rows}
 
 
-def vec_ops(vectors: DataFrame, m: Modulation, scope: Column | None = None, key: str = "vec_id", column: str = "embedding", ts: str | None = None) -> DataFrame:
-    """key, score and _z of the best rows.
+def vec_ops(vectors: DataFrame, m: Modulation, scope: Column | DataFrame | None = None, key: str = "vec_id", column: str = "embedding", ts: str | None = None) -> DataFrame:
+    """key, score and z of the best rows of a scope (a condition, or a table of keys); the query's own ids need not be in it.
 
     Raw cosine first (its background mean and deviation give _z), then trajectory, decay, suppression, threshold, and
     the top ``limit``, or for ``diverse`` a pool of three times as many reranked by maximal marginal relevance.
     """
-    want = [*m.centroid, *([m.blend] if m.blend is not None else []), *m.suppress, *(m.toward or ())]
+    want = [x for x in (*m.centroid, m.blend, *m.suppress, *(m.toward or ())) if isinstance(x, (int, np.integer))]
     known = by_ids(vectors, want, key, column, m.dims)
-    q = _normal(np.mean([known[i] for i in m.centroid if i in known], axis=0))
+    of = lambda x: known.get(x) if isinstance(x, (int, np.integer)) else _normal(np.asarray(x, float)[: m.dims or None])
+    if lost := [x for x in want if x not in known and x not in m.centroid] or ([] if any(of(x) is not None for x in m.centroid) else list(m.centroid)):
+        raise KeyError(f"no stored vector has the id {', '.join(map(str, lost))}")
+    q = _normal(np.mean([v for x in m.centroid if (v := of(x)) is not None], axis=0))
     if m.blend is not None:
-        q = _normal(0.5 * q + 0.5 * known[m.blend])
-    rows = vectors if scope is None else vectors.where(scope)
+        q = _normal(0.5 * q + 0.5 * of(m.blend))
+    rows = vectors if scope is None else vectors.join(scope.select(F.col(scope.columns[0]).alias(key)), key, "left_semi") if isinstance(scope, DataFrame) else vectors.where(scope)
     v = F.transform(column, lambda x: x.cast("double"))
     rows = rows.withColumn("_v", unit(F.slice(v, 1, m.dims) if m.dims else v)).withColumn("_raw", dot(F.col("_v"), q))
     stats = rows.agg(F.avg("_raw").alias("_mean"), F.stddev_pop("_raw").alias("_std"))
     score = F.col("_raw")
     if m.toward:
-        a, b = (known[i] for i in m.toward)
+        a, b = (of(x) for x in m.toward)
         score = 0.5 * score + 0.5 * dot(F.col("_v"), _normal(b - a))
     if m.half_life and ts:
         days = F.greatest((F.lit(m.as_of).cast("timestamp").cast("double") - F.coalesce(F.col(ts).cast("timestamp").cast("double"), F.lit(0.0))) / 86400, F.lit(0.0))
         score = score * F.pow(F.lit(2.0), -days / m.half_life)
-    for i in m.suppress:
-        score = score - 0.5 * dot(F.col("_v"), known[i])
+    for x in m.suppress:
+        score = score - 0.5 * dot(F.col("_v"), of(x))
     out = rows.select(key, "_raw", score.alias("score"), *(["_v"] if m.diverse else []))
     if m.threshold is not None:
         out = out.where(F.col("score") >= m.threshold)

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import re
+import uuid
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarry.plans.policy import parsed, read_only, walk
+
 _NOTE = re.compile(r"--\s*@(\w+):\s*(.+)")
 _DEFAULT = re.compile(r"(\w+)\s*\(default:\s*(.+?)\)")
 
@@ -56,19 +60,6 @@ def invocation(text: str) -> tuple[str, list, dict]:
     return name, [_number(w) for w in words[1:] if "=" not in w], {k: _number(v) for k, v in named.items()}
 
 
-def read_only(spark: SparkSession, sql: str) -> None:
-    """Raise unless the text is one query: commands and writes are refused by their parsed plan, not by their words."""
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-    stack = [plan]
-    while stack:
-        node = stack.pop()
-        kind = node.getClass().getSimpleName()
-        if re.search(r"Command|Insert|Create|Drop|Replace|Delete|Update|Merge|Set|Truncate|Alter|Cache|Refresh|Load|Append|Overwrite", kind) and kind not in ("SetOperation",):
-            raise PermissionError(f"{kind} is not allowed in a query")
-        children = node.children()
-        stack += [children.apply(k) for k in range(children.size())]
-
-
 def run(spark: SparkSession, program: Program, *values, **named) -> list[tuple[str, DataFrame | str]]:
     """Results of each query by name; a query that fails gives its message and the others go on."""
     args = program.defaults | dict(zip(program.params, values)) | named
@@ -102,17 +93,39 @@ def prelude(sql: str) -> tuple[list[tuple[str, str]], str]:
 
 
 def federated(spark: SparkSession, sql: str, corpora: dict[str, dict[str, DataFrame]]) -> DataFrame:
-    """Run a text that attaches corpora: alias.table reads that corpus's table, under a view name of its own."""
+    """Run a text that attaches corpora: alias.table reads that corpus's table, under a view name of its own.
+
+    Relations are found in the parsed plan and replaced where it says they stand, from the last to the first, so strings and
+    comments that look alike stay. The views are dropped once the query is analysed.
+    """
     attached, rest = prelude(sql)
+    alias_of = {}
     for corpus, alias in attached:
         if corpus not in corpora:
             raise KeyError(f"no corpus {corpus!r}")
-        for table, df in corpora[corpus].items():
-            view = f"{alias}__{table}"
-            df.createOrReplaceTempView(view)
-            rest = re.sub(rf"\b{alias}\.{table}\b", view, rest)
-    read_only(spark, rest)
-    return spark.sql(rest)
+        alias_of[alias.lower()] = corpora[corpus]
+    places = []
+    for node, relation in walk(parsed(spark, rest)):
+        if relation and node.getClass().getSimpleName() == "UnresolvedRelation":
+            names = node.multipartIdentifier()
+            if names.size() == 2 and names.apply(0).lower() in alias_of:
+                at = node.origin()
+                places.append((at.startIndex().get(), at.stopIndex().get() + 1, names.apply(0).lower(), names.apply(1)))
+    made = {}
+    try:
+        for start, stop, alias, name in sorted(set(places), reverse=True):
+            tables = {t.lower(): df for t, df in alias_of[alias].items()}
+            if name.lower() not in tables:
+                raise KeyError(f"{alias} has no table {name!r}")
+            if (alias, name.lower()) not in made:
+                made[alias, name.lower()] = f"_{alias}_{name}_{uuid.uuid4().hex}"
+                tables[name.lower()].createOrReplaceTempView(made[alias, name.lower()])
+            rest = rest[:start] + made[alias, name.lower()] + re.sub(r"^\s*[`\w]+\s*\.\s*[`\w]+", "", rest[start:stop]) + rest[stop:]
+        read_only(spark, rest)
+        return spark.sql(rest)
+    finally:
+        for view in made.values():
+            spark.catalog.dropTempView(view)
 
 
 #: Names of modifiers, older names of them, and which take whole numbers.
@@ -121,36 +134,53 @@ OLDER = {"unlike": "suppress", "like": "centroid", "limit": "pool", "recent": "d
 WHOLE = ("decay", "pool")
 
 
+#: Modifiers that begin a text which runs on to the next of those that end texts.
+TEXTS = ("similar", "suppress", "from", "to")
+ENDING = ("similar", "suppress", "from", "centroid", "decay", "pool")
+
+
 def modifiers(text: str) -> dict:
-    """What a modifier text asks for; words of a text run on to the next modifier, unknown words are kept apart.
+    """What a modifier text asks for, word by word from the left; unknown words are kept apart.
 
-    Bare words before any modifier are what to search for. A bare 'decay' and 'to:' end no text, as they may be words of it.
+    A text belongs to the modifier before it and ends at the next one with a colon, or at 'diverse'; 'to:' ends only the text
+    of 'from:', and the two count together or not at all. A bare 'decay' ends no text, as it may be a word of it. Words before
+    any modifier are what to search for, unless some of them have a colon. Of several similar texts the first counts.
     """
-    text = re.sub(r"\b(unlike|like|limit|recent):", lambda m: OLDER[m[1]] + ":", re.sub(r"\brecent\b(?!:)", "decay", text or ""))
     out: dict = {"similar": None, "centroid": [], "diverse": False, "decay": None, "suppress": [], "from": None, "to": None, "pool": None, "extra": []}
-    ends = r"(?=\s+(?:diverse\b|(?:decay|suppress|centroid|pool|from|similar):)|\s*$)"
-
-    def take(pattern, each):
-        nonlocal text
-        for m in list(re.finditer(pattern + ends, text))[::-1]:
-            text = text[: m.start()] + text[m.end() :]
-            each(*(g.strip() for g in m.groups()))
-
-    take(r"similar:(.*?)", lambda x: out.update(similar=x))
-    take(r"suppress:(.*?)", lambda x: x and out["suppress"].insert(0, x))
-    take(r"from:(.*?)\s+to:(.*?)", lambda a, b: out.update({"from": a, "to": b}))
-    for word in text.split():
+    spoken: list[tuple[str, list[str]]] = []  # texts begun, in order
+    open_text: list[str] | None = None
+    for word in (text or "").split():
         name, mark, value = word.partition(":")
+        name = OLDER.get(name, name) if mark or name == "recent" else name
         if word == "diverse":
-            out["diverse"] = True
+            open_text, out["diverse"] = None, True
+        elif mark and (name in ENDING or name == "to" and open_text is not None and spoken[-1][0] == "from"):
+            open_text = None
+            if name in TEXTS:
+                open_text = [value] if value else []
+                spoken.append((name, open_text))
+            elif name == "centroid":
+                out["centroid"] = value.split(",")
+            elif value.isdigit():
+                out[name] = int(value)
+            elif name == "decay":
+                out["decay"] = "default"
+            else:
+                out["extra"].append(word)
+        elif open_text is not None:
+            open_text.append(word)
         elif name == "decay":
-            out["decay"] = int(value) if value.isdigit() else "default"
-        elif name == "pool" and value.isdigit():
-            out["pool"] = int(value)
-        elif name == "centroid" and mark:
-            out["centroid"] = value.split(",")
+            out["decay"] = "default"
         else:
             out["extra"].append(word)
+    for k, (name, words) in enumerate(spoken):
+        said = " ".join(words)
+        if name == "similar" and out["similar"] is None:
+            out["similar"] = said
+        elif name == "suppress" and said:
+            out["suppress"].append(said)
+        elif name == "from" and k + 1 < len(spoken) and spoken[k + 1][0] == "to":
+            out["from"], out["to"] = said, " ".join(spoken[k + 1][1])
     if out["similar"] is None and out["extra"] and not any(":" in w for w in out["extra"]):
         out["similar"], out["extra"] = " ".join(out["extra"]), []
     return out
@@ -165,7 +195,7 @@ def distance(a: str, b: str) -> int:
     return row[-1]
 
 
-def complaints(text: str) -> list[str]:
+def complaints(text: str, known: Iterable[str] = ()) -> list[str]:
     """What is wrong with a modifier text: numbers that are none, and names of five letters or more that are close to a known one."""
     out = []
     for word in (text or "").split():
@@ -174,7 +204,7 @@ def complaints(text: str) -> list[str]:
             continue
         if name in WHOLE and not value.isdigit():
             out.append(f"{name} takes a whole number, not {value!r}")
-        if name not in MODIFIERS and name not in OLDER and len(name) >= 5:
+        if name not in MODIFIERS and name not in OLDER and name not in known and len(name) >= 5:
             near = [m for m in (*MODIFIERS, *OLDER) if distance(name, m) <= 2]
             if near:
                 out.append(f"{name}: is it {min(near, key=lambda m: (distance(name, m), m))}?")
