@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.llm.common import stored
+from quarry.llm.components import hot_keys, look_up
 
 
 def minute(df: DataFrame, column: str) -> Column:
@@ -107,12 +108,14 @@ def open_sales(sales: DataFrame, lines: DataFrame, clients: DataFrame, grace_day
     """Rows (key, start, end, amount) of ``sales``: from the sale until the last shipping of its lines plus ``grace_days``.
 
     key is the client's nation (-1 if it or the client isn't known; the smallest, if a client has several), amount the
-    total in cents (null or not finite: 0). Sales with a null id or without shipped lines never end.
+    total in cents (null or not finite: 0). Sales with a null id or without shipped lines never end. Clients with more than
+    two tasks' share of the sales, fewer than half as many as partitions, are looked up without moving their sales.
     """
     shipped = lines.where("sale_id IS NOT NULL AND shipped_at IS NOT NULL").groupBy("sale_id").agg(F.max(minute(lines, "shipped_at")).alias("last"))
     nations = clients.where("client_id IS NOT NULL").groupBy("client_id").agg(F.min("nation_id").alias("nation_id"))
     total = F.col("total").cast("double")
     cents = F.when(total.isNull() | F.isnan(total) | (F.abs(total) == float("inf")), F.lit(0)).otherwise(F.floor(100 * total + 0.5)).cast("long")
     sold = sales.where("sold_at IS NOT NULL").select("sale_id", "client_id", minute(sales, "sold_at").alias("start"), cents.alias("amount"))
-    met = sold.join(shipped, "sale_id", "left").join(nations, "client_id", "left")
+    hot = hot_keys(sold, "client_id", sales.count())
+    met = look_up(sold.join(shipped, "sale_id", "left"), "client_id", nations, hot)
     return met.select(F.coalesce(F.col("nation_id").cast("int"), F.lit(-1)).alias("key"), "start", (F.col("last") + grace_days * 86400).alias("end"), "amount")
