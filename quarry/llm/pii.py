@@ -369,15 +369,16 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with every selected span of ``text`` replaced by its kind in brackets; null stays null.
 
     Overlapping spans are replaced together, by the kind of the first. Other columns are returned as they are, whatever
-    their names (but _spans and _order). Repeated rows are rows of their own; an empty table stays empty.
+    their names. Repeated rows are rows of their own; an empty table stays empty.
     """
     seen = cut(candidates(docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_own")), "_own").drop("_own", "_text"))  # read twice
     forest = train(seen)
-    df = select(seen, forest).select("_row", "spans").select("_row.*", F.col("spans").alias("_spans"))
-    order = F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    df = select(seen, forest).select("_row", "spans")
+    own = F.col("_row")[text]
+    order = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     kinds = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    whole = F.coalesce(F.col(text), F.lit(""))
+    whole = F.coalesce(own, F.lit(""))
 
     def step(acc, s):
         gap = F.substring(whole, acc["at"] + 1, s["start"] - acc["at"])
@@ -386,4 +387,4 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
 
     built = F.aggregate("_order", zero, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(whole, acc["at"] + 1, F.length(whole))))
     df = df.withColumn("_order", order)
-    return df.select(*(F.when(F.size("_order") > 0, built).otherwise(F.col(text)).alias(c) if c == text else F.col(c) for c in docs.columns))
+    return df.select(*(F.when(F.size("_order") > 0, built).otherwise(own).alias(c) if c == text else F.col("_row")[c].alias(c) for c in docs.columns))

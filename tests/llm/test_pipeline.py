@@ -121,3 +121,13 @@ def test_fit_meets_targets_and_keeps(spark):
     held = mixing.solve(rows, np.array([0.99, 0.01]), hold=0, keep=0.5, fill=False)
     rate = [r.r for r in rows.select(held.rate().alias("r")).collect()][:4]
     assert min(rate[:2]) >= 1 and max(rate[2:]) < 0.05
+
+
+def test_clashing_columns_stay(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g h " * 20, "n1", 7.0, 8, "o", "i"), (2, "a b c d e f g h " * 20, "n2", 7.5, 9, "o", "i"), (3, "mail to x.y@example.org now", None, None, 3, "p", "j")], "doc_id long, text string, _node string, _score double, _spans int, _order string, _id string")
+    kept = {r.doc_id: r for r in corpus_pipeline.drop_similar(spark, docs, FOLDER).collect()}
+    assert set(kept) == {1, 3} and kept[1]._node == "n1" and kept[1]._score == 7.0
+    scored = {r.doc_id: r for r in corpus_pipeline.keep_quality(spark, docs, FOLDER).collect()}
+    assert all(r._score == {1: 7.0, 2: 7.5, 3: None}[i] for i, r in scored.items())
+    hidden = {r.doc_id: r for r in corpus_pipeline.redact(spark, docs, FOLDER).collect()}
+    assert hidden[3].text == "mail to [EMAIL] now" and [(r._node, r._spans, r._order) for i, r in sorted(hidden.items())] == [("n1", 8, "o"), ("n2", 9, "o"), (None, 3, "p")]
