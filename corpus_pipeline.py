@@ -12,14 +12,21 @@ from quarry.llm.common import checkpoint_dir, cut, read, remove
 from quarry.llm.queries import MARGIN, THRESHOLD, tokenizer_path
 
 
+def free(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` doesn't have."""
+    while name in docs.columns:
+        name = "_" + name
+    return name
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject. Null and empty texts are scored like any other, repeated rows alike.
 
     Without labels, or with an empty table, nothing is rejected.
     """
     model = quality.train(docs, read(spark, sf_dir, "labels"))
-    scored = quality.score(docs, model, name="_score")
-    return scored.where(F.col("_score") >= THRESHOLD).select(*docs.columns)
+    name = free(docs, "_score")
+    return quality.score(docs, model, name=name).where(F.col(name) >= THRESHOLD).select(*docs.columns)
 
 
 def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,16 +35,17 @@ def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Rows are told apart by doc_id and text; of rows that have both in common any one stays.
     """
     groups = cut(jaccard_join.similar_texts(docs, n=5, threshold="0.8", keepers=True))
-    left = docs.withColumn("_node", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+    node = free(docs, "_node")
+    left = docs.withColumn(node, F.unhex(F.md5(F.coalesce("text", F.lit("")))))
 
     def same(pairs: DataFrame) -> tuple[DataFrame, Column]:
         pairs = pairs.select(F.col("doc_id").alias("_id"), F.col("node").alias("_of"))
-        return pairs, (left["_node"] == pairs["_of"]) & left["doc_id"].eqNullSafe(pairs["_id"])
+        return pairs, (left[node] == pairs["_of"]) & left["doc_id"].eqNullSafe(pairs["_id"])
 
     out = left.join(*same(groups.where(~F.col("keep")).select("doc_id", "node").distinct()), "left_anti")
     repeated = groups.where(F.col("keep") & (F.col("n_shingles") > 0)).groupBy("doc_id", "node").count().where("count > 1")
     if not repeated.isEmpty():
-        once = left.join(*same(repeated), "left_semi").dropDuplicates(["doc_id", "_node"])
+        once = left.join(*same(repeated), "left_semi").dropDuplicates(["doc_id", node])
         out = out.join(*same(repeated), "left_anti").unionByName(once)
     return out.select(*docs.columns)
 
