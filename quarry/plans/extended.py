@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.operators import density
 from quarry.plans.catalog import _bm25, _vec
 from quarry.plans.searches import Searches
 from quarry.sources.tables import table, views
@@ -51,3 +52,15 @@ def search_hybrid(spark, folder):
         """SELECT d.doc_id, d.source, round(0.5 * k.rank + 0.5 * v.score, 4) AS hybrid
            FROM keyword('thing erth', 'SELECT doc_id FROM documents WHERE lang = ''en''') k JOIN vec_ops('centroid:1,2,3') v ON v.id = k.id JOIN documents d ON d.doc_id = k.id"""
     )
+
+
+# ---- density clusters ----------------------------------------------------------------------------------------------
+
+
+@query()
+def density_clusters(spark, folder):
+    """Each vector's density cluster inside its label, and whether it represents the cluster (the farthest from its centre)."""
+    vectors = table(spark, folder, "embeddings")
+    found = density.clusters(vectors, density.neighbour_graph(vectors, "label", k=15), "label", least=5, samples=3)
+    picks = density.representatives(vectors, found).select("vec_id", F.lit(True).alias("represents"))
+    return found.join(picks, "vec_id", "left").select("label", "vec_id", "cluster", F.round("core", 6).alias("core"), F.coalesce("represents", F.lit(False)).alias("represents"))
