@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.state import shared_folder
+
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Drop the lineage that a loop builds up, by way of the folder in spark.checkpoint.dir; without one the plan goes on growing."""
-    context, named = df.sparkSession.sparkContext, df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if context.getCheckpointDir() is None and named:
-        context.setCheckpointDir(named)
-    return df if context.getCheckpointDir() is None else df.checkpoint()
+    """Drop the lineage that a loop builds up, by way of the folder in spark.checkpoint.dir, which a cluster has to name."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
 
 
 def state(n):

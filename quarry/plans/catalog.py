@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as X
 from quarry.operators import graph, lexical, relational, semantic
+from quarry.operators.state import new_folder
 from quarry.sources.tables import table, views
 from quarry.streaming import windows
 
@@ -386,11 +387,7 @@ def sim_graph_all(spark, folder):
     WHERE time_bucket(INTERVAL '1 hour', ts) + INTERVAL 1 HOUR <= mark GROUP BY ALL""")
 def stream_appended(spark, folder):
     """A real stream: the file is read as it stands, windows are appended once the watermark has passed them, and read back."""
-    import tempfile
-    import uuid
-
-    top = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    top = f"{top}/stream-{uuid.uuid4().hex}"
+    top = new_folder(spark, "stream")
     schema = table(spark, folder, "events").schema
     rows = windows.source(spark, f"{folder}/events*.parquet", schema).withColumn("ts", F.col("ts").cast("timestamp"))
     windows.drain(windows.tumbling(rows, "1 hour"), f"{top}/out", f"{top}/log")
