@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators.semantic import unit
+from quarry.operators.state import stored
 
 
 def descend(edges: DataFrame, roots: DataFrame, parent: str = "parent", child: str = "child", most: int = 64) -> DataFrame:
@@ -88,53 +89,111 @@ def communities(edges: DataFrame, rounds: int = 8) -> DataFrame:
 
 
 def betweenness(edges: DataFrame, sources: int = 100) -> DataFrame:
-    """node and betweenness of an undirected graph without weights, from at most ``sources`` starts (all, if fewer; scaled up).
+    """node and betweenness of an undirected graph without weights, from ``sources`` starts (all, if fewer; scaled up).
 
-    Starts are dealt over tasks; each walks the edges, which are shipped once and must be few (the caller skips larger
-    graphs): at most a million.
+    Starts are the nodes that hash lowest. Frontiers of all starts advance together, a join with the edges a level, then
+    dependencies flow back level by level; there are at most ``sources`` rows a node, and nothing is shipped whole.
     """
-    pairs = edges.select("source", "target").limit(1_000_001).toPandas()
-    if len(pairs) > 1_000_000:
-        raise ValueError("betweenness is for at most a million edges")
-    names = sorted(set(pairs.source) | set(pairs.target))
-    place = {x: k for k, x in enumerate(names)}
-    around: list[set] = [set() for _ in names]
-    for a, b in zip(pairs.source, pairs.target):
-        if a != b:
-            around[place[a]].add(place[b]), around[place[b]].add(place[a])
-    sent = edges.sparkSession.sparkContext.broadcast([sorted(x) for x in around])
-    starts = list(range(len(names)))[:: max(1, len(names) // max(sources, 1))] if len(names) > sources else list(range(len(names)))
-
-    def walk(batches):
-        import pandas as pd
-
-        near = sent.value
-        total = [0.0] * len(near)
-        for batch in batches:
-            for s in batch["s"]:
-                ways, dist, order, above = [0] * len(near), [-1] * len(near), [s], [[] for _ in near]
-                ways[s], dist[s] = 1, 0
-                for v in order:
-                    for w in near[v]:
-                        if dist[w] < 0:
-                            dist[w] = dist[v] + 1
-                            order.append(w)
-                        if dist[w] == dist[v] + 1:
-                            ways[w] += ways[v]
-                            above[w].append(v)
-                share = [0.0] * len(near)
-                for w in reversed(order):
-                    for v in above[w]:
-                        share[v] += ways[v] / ways[w] * (1 + share[w])
-                    if w != s:
-                        total[w] += share[w]
-        yield pd.DataFrame({"k": range(len(near)), "x": total})
-
-    spark = edges.sparkSession
-    scale = len(names) / max(len(starts), 1) / 2  # each pair is met from both ends
-    parts = spark.createDataFrame([(s,) for s in starts], "s int").repartition(8).mapInPandas(walk, "k int, x double")
-    known = spark.createDataFrame(list(enumerate(names)), "k int, node string") if names else spark.createDataFrame([], "k int, node string")
-    return parts.groupBy("k").agg((F.sum("x") * scale).alias("betweenness")).join(known, "k").select("node", "betweenness")
+    ends = edges.select(F.col("source").alias("a"), F.col("target").alias("b")).where("a <> b")
+    near = stored(ends.unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    nodes = stored(near.select(F.col("a").alias("node")).distinct())
+    n = nodes.count()
+    starts = nodes.orderBy(F.xxhash64("node"), "node").limit(sources).select(F.col("node").alias("s"))  # bounded by `sources`
+    level = stored(starts.select("s", F.col("s").alias("v"), F.lit(1.0).alias("ways")))
+    levels, seen = [level], level.select("s", "v")
+    while True:
+        step = level.join(near, level["v"] == near["a"]).groupBy("s", F.col("b").alias("v")).agg(F.sum("ways").alias("ways"))
+        level = stored(step.join(seen, ["s", "v"], "left_anti"))
+        if level.isEmpty():
+            break
+        levels.append(level)
+        seen = seen.unionByName(level.select("s", "v"))
+    flow = None  # (s, v, share) of the level that was last left
+    total = None
+    for k in range(len(levels) - 1, 0, -1):
+        here = levels[k].select("s", F.col("v").alias("w"), F.col("ways").alias("ways_w"))
+        own = here.withColumn("share", F.lit(0.0)) if flow is None else here.join(flow.withColumnRenamed("v", "w"), ["s", "w"], "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
+        part = own.select("w", "share")
+        total = part if total is None else total.unionByName(part)
+        up = own.join(near, own["w"] == near["a"]).select("s", F.col("b").alias("v"), "ways_w", "share").join(levels[k - 1], ["s", "v"])
+        flow = stored(up.groupBy("s", "v").agg(F.sum(F.col("ways") / F.col("ways_w") * (1 + F.col("share"))).alias("share")))
+    scale = n / max(min(sources, n), 1) / 2  # each pair is met from both ends
+    sums = nodes.select("node", F.lit(0.0).alias("x"))
+    if total is not None:
+        sums = sums.unionByName(total.select(F.col("w").alias("node"), F.col("share").alias("x")))
+    return sums.groupBy("node").agg((F.sum("x") * scale).alias("betweenness"))
+
+
+def bridges(edges: DataFrame, share: float = 0.05, sources: int = 100) -> DataFrame:
+    """The nodes of most betweenness, ``share`` of all but one at least; ties to the smaller node."""
+    found = stored(betweenness(edges, sources))
+    return found.orderBy(F.desc(F.round("betweenness", 9)), "node").limit(max(1, int(found.count() * share)))
+
+
+def modularity(edges: DataFrame, community: DataFrame) -> float:
+    """Of communities (node, community) in an undirected graph (source, target, weight)."""
+    return _quality(_symmetric(edges), community.select("node", "community"))
+
+
+def _symmetric(edges: DataFrame) -> DataFrame:
+    """(a, b, w): each edge both ways; a loop counts twice at its node."""
+    e = edges.select(F.col("source").alias("a"), F.col("target").alias("b"), F.col("weight").cast("double").alias("w"))
+    return e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).groupBy("a", "b").agg(F.sum("w").alias("w"))
+
+
+def _quality(both: DataFrame, label: DataFrame) -> float:
+    of = lambda end: label.select(F.col("node").alias(end), F.col("community").alias(f"c{end}"))
+    named = both.join(of("a"), "a").join(of("b"), "b")
+    each = named.groupBy("ca").agg(F.sum("w").alias("all"), F.sum(F.when(F.col("ca") == F.col("cb"), F.col("w")).otherwise(0.0)).alias("inside"))
+    inside, squares, m = each.agg(F.sum("inside"), F.sum(F.col("all") * F.col("all")), F.sum("all")).first()
+    return 0.0 if not m else inside / m - squares / (m * m)
+
+
+def louvain(edges: DataFrame, rounds: int = 10, levels: int = 10, seed: int = 42) -> DataFrame:
+    """node and community by modularity: rounds of moves, then communities become nodes, until nothing is gained.
+
+    In a round half of the nodes, drawn by hash, move to the neighbouring community that raises modularity most (ties to the
+    smaller); a lone node moves only to a smaller lone one, so that pairs don't swap. Moves are made at once, so a round
+    that loses modularity is undone; two such rounds end a level. A community is named by its smallest node.
+    """
+    both = stored(_symmetric(edges))
+    final = stored(both.select(F.col("a").alias("node"), F.col("a").alias("community")).distinct())
+    best = _quality(both, final)
+    for _ in range(levels):
+        degree = stored(both.groupBy("a").agg(F.sum("w").alias("k")))
+        m = degree.agg(F.sum("k")).first()[0]
+        if not m:
+            break
+        label = stored(degree.select(F.col("a").alias("node"), F.col("a").alias("community")))
+        start, idle = best, 0
+        for r in range(rounds):
+            own = label.join(degree, label["node"] == degree["a"]).select("node", "community", "k")
+            size = own.groupBy("community").agg(F.sum("k").alias("total"), F.count("*").alias("members"))
+            ties = both.where("a <> b").join(label.select(F.col("node").alias("b"), "community"), "b").groupBy(F.col("a").alias("node"), F.col("community").alias("to")).agg(F.sum("w").alias("w"))
+            ties = ties.unionByName(own.select("node", F.col("community").alias("to"), F.lit(0.0).alias("w"))).groupBy("node", "to").agg(F.sum("w").alias("w"))
+            each = ties.join(own, "node").join(size.select(F.col("community").alias("to"), "total", F.col("members").alias("there")), "to").join(size.select("community", F.col("members").alias("here")), "community")
+            stays = F.col("to") == F.col("community")
+            gain = F.col("w") - F.col("k") * (F.col("total") - F.when(stays, F.col("k")).otherwise(0.0)) / m
+            lone = (F.col("here") == 1) & (F.col("there") == 1) & ~stays & (F.col("to") > F.col("community"))
+            each = each.withColumn("gain", F.round(gain, 9)).where(~lone)
+            choice = each.groupBy("node", "community").agg(F.min(F.struct((-F.col("gain")).alias("loss"), (~stays).alias("moves"), F.col("to"))).alias("x"))
+            free = F.pmod(F.xxhash64("node", F.lit(seed + r)), F.lit(2)) == 0
+            moved = stored(choice.select("node", F.when(free, F.col("x.to")).otherwise(F.col("community")).alias("community"), (free & F.col("x.moves")).alias("_moved")))
+            quality = _quality(both, moved.select("node", "community")) if not moved.where("_moved").isEmpty() else best
+            if quality > best + 1e-12:
+                best, label, idle = quality, moved.select("node", "community"), 0
+            else:
+                idle += 1
+                if idle == 2:
+                    break
+        if best <= start + 1e-12:
+            break
+        name = label.groupBy("community").agg(F.min("node").alias("name"))
+        label = stored(label.join(name, "community").select("node", F.col("name").alias("community")))
+        final = stored(final.select("node", F.col("community").alias("c")).join(label.select(F.col("node").alias("c"), "community"), "c").select("node", "community"))
+        of = lambda end: label.select(F.col("node").alias(end), F.col("community").alias(f"{end}_"))
+        both = stored(both.join(of("a"), "a").join(of("b"), "b").groupBy(F.col("a_").alias("a"), F.col("b_").alias("b")).agg(F.sum("w").alias("w")))
+    return final
 
 
 def _settled(df: DataFrame) -> DataFrame:

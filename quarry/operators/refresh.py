@@ -7,6 +7,8 @@ import json
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.ordered import numbered, running_total
+
 
 def release(events: DataFrame, by: list[str], ts: str, quiet: float, latest: float, tie: str) -> DataFrame:
     """Replay of a debounced queue: a batch ends after ``quiet`` seconds without events or ``latest`` seconds after its first.
@@ -31,7 +33,7 @@ def release(events: DataFrame, by: list[str], ts: str, quiet: float, latest: flo
 
 def overflow(queued: DataFrame, cell: str, order: str, room: int) -> DataFrame:
     """cell, kept and owes: what a queue of ``room`` entries holds of each cell, and whether it owes a reconciliation."""
-    placed = queued.withColumn("_k", F.row_number().over(Window.orderBy(order)))  # the queue is one sequence, bounded by its source
+    placed = numbered(queued, [order, cell], "_k")
     return placed.groupBy(cell).agg(F.sum((F.col("_k") <= room).cast("long")).alias("kept"), F.max((F.col("_k") > room).cast("int")).alias("owes"))
 
 
@@ -54,9 +56,10 @@ def resume(lines: DataFrame, stored: DataFrame, session: str, number: str) -> Da
 
 def within_bytes(rows: DataFrame, order: str, size: str, after: int, most: int) -> DataFrame:
     """Rows past the cursor ``after`` as far as ``most`` bytes go; the first is always taken. One sequence: a unit's log."""
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = rows.where(F.col(order) > after).withColumn("_used", F.sum(size).over(w)).withColumn("_n", F.count("*").over(w))
-    return run.where((F.col("_used") <= most) | (F.col("_n") == 1)).drop("_used", "_n")
+    past = rows.where(F.col(order) > after)
+    run = running_total(past, [order], F.col(size), "_used")
+    first = past.agg(F.min(order).alias("_first"))
+    return run.crossJoin(F.broadcast(first)).where((F.col("_used") <= most) | (F.col(order) == F.col("_first"))).drop("_used", "_first")  # one row
 
 
 def orphans(bodies: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -105,3 +105,30 @@ def star(base: DataFrame, sidecars: Sequence[DataFrame], key: str) -> DataFrame:
         new = [c for c in side.columns if c not in seen]
         out, seen = out.join(side.select(key, *new), key, "left"), seen + new
     return out.select(*seen)
+
+
+def longest_prefix(rows: DataFrame, text: str, roots: DataFrame, root: str) -> DataFrame:
+    """``rows`` with the longest value of ``roots`` that ``text`` begins with (null: none).
+
+    A row is joined once for each length that roots have, by equality of the beginning; the lengths, at most as many as the
+    longest root has characters, come to the driver. A repeated root counts once.
+    """
+    known = roots.where(F.length(root) > 0).select(F.col(root).alias("_root")).distinct()
+    lengths = sorted(r[0] for r in known.select(F.length("_root")).distinct().collect())
+    row = rows.select(F.monotonically_increasing_id().alias("_id"), F.struct(*rows.columns).alias("_row"))
+    each = row.select("_id", F.explode(F.array(*map(F.lit, lengths)).cast("array<int>")).alias("_n"), F.col("_row")[text].alias("_t")).where(F.length("_t") >= F.col("_n"))
+    found = each.select("_id", F.expr("substr(_t, 1, _n)").alias("_root")).join(known, "_root").groupBy("_id").agg(F.max_by("_root", F.length("_root")).alias(root))
+    return row.join(found, "_id", "left").select("_row.*", root)
+
+
+def nearest(rows: DataFrame, by: str, order: str, wanted: Column, name: str = "near") -> DataFrame:
+    """(by, order, name): for each place of a group the nearest other place that holds a wanted row; the smaller of two, null where none is.
+
+    Two running looks, back and ahead, over one sort; no row meets another.
+    """
+    at = rows.groupBy(by, order).agg(F.bool_or(F.coalesce(wanted, F.lit(False))).alias("_w"))
+    w = Window.partitionBy(by).orderBy(order)
+    hit = F.when(F.col("_w"), F.col(order))
+    both = at.select(by, order, F.last(hit, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_back"), F.first(hit, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("_on"))
+    near = F.when(F.col("_on").isNull() | (F.col(order) - F.col("_back") <= F.col("_on") - F.col(order)), F.col("_back")).otherwise(F.col("_on"))
+    return both.select(by, order, near.alias(name))

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from quarry.functions import code as C
 from quarry.functions import markdown as M
 from quarry.functions import scalars as S
-from quarry.operators import graph, refresh, walks
+from quarry.operators import graph, lexical, ordered, refresh, relational, walks
+from quarry.operators.state import new_folder
 from quarry.plans import programs
+from quarry.plans.catalog import _bm25
 from quarry.plans.extended import ORACLES, QUERIES, query
 from quarry.sources.tables import table, views
 
@@ -522,3 +524,55 @@ def split_rules(spark, folder):
     own = files.where(F.regexp_extract("path", r"(\d+)\.md$", 1).cast("long") % 7 == 0).select(F.lit("file").alias("kind"), F.col("path").alias("pattern"), F.lit("sidecar").alias("strategy"))
     rules = spark.createDataFrame([("folder", "a", "sliding"), ("folder", "a/b", "ast"), ("subtype", "plan", "template"), ("default", "", "whole")], "kind string, pattern string, strategy string")
     return C.rule_for(files, rules.unionByName(own)).select(F.regexp_extract("path", r"(\d+)\.md$", 1).cast("long").alias("page_id"), "strategy")
+
+
+# ---- plans of their own for queries whose SQL meets all pairs or sorts in one task; their SQL stays as it is -----------
+
+
+@query()
+def nearest_turn(spark, folder):
+    return relational.nearest(table(spark, folder, "conversations"), "conv_id", "turn", F.col("role") == "user").where("near IS NOT NULL")
+
+
+@query()
+def longest_prefix(spark, folder):
+    part = table(spark, folder, "part")
+    words = part.select(F.split("p_type", " ").alias("w"))
+    roots = words.select(F.explode(F.array(F.col("w")[0], F.concat_ws(" ", F.col("w")[0], F.coalesce(F.get("w", F.lit(1)), F.lit(""))))).alias("root"))
+    return relational.longest_prefix(part.select("p_partkey", "p_type"), "p_type", roots, "root").where("root IS NOT NULL").select("p_partkey", "root")
+
+
+@query()
+def annotation_index(spark, folder):
+    each = table(spark, folder, "events").groupBy("user_id").agg(F.max("event_id").alias("event_id"), F.count("*").alias("n"))
+    place = ordered.numbered(each, [F.desc("n"), "user_id"], "place")
+    total = each.agg(F.count("*").alias("total"))
+    return place.crossJoin(F.broadcast(total)).select("user_id", "event_id", "n", (F.col("total") - F.col("place")).alias("omitted"))  # one row
+
+
+@query(_bm25(["thing", "erth"], limit=50))
+def kw_indexed(spark, folder):
+    """Ranked from a written index: only the folders of the two terms are read."""
+    index = lexical.write_index(table(spark, folder, "documents"), new_folder(spark, "index"))
+    return lexical.ranked(index, "thing erth", limit=50)
+
+
+@query(_bm25(["the", "and"], "lang = 'en' AND source = 'src3'", 20))
+def kw_indexed_scoped(spark, folder):
+    docs = table(spark, folder, "documents")
+    index = lexical.write_index(docs, new_folder(spark, "index"))
+    return lexical.ranked(index, "the and", docs.where("lang = 'en' AND source = 'src3'").select("doc_id"), limit=20)
+
+
+@query("SELECT path, max_by(root, length(root)) AS root FROM (SELECT DISTINCT regexp_extract(url, '^[^?#]*') AS path FROM pages) p JOIN (SELECT DISTINCT regexp_extract(url, '^[a-z]+://[^/]*/[a-z]*') AS root FROM pages) r ON starts_with(path, root) WHERE root <> '' GROUP BY path")
+def repo_roots(spark, folder):
+    """Addresses of pages under the longest of their sites' language folders."""
+    pages = table(spark, folder, "pages")
+    paths = pages.select(F.regexp_extract("url", "^[^?#]*", 0).alias("path")).distinct()
+    return relational.longest_prefix(paths, "path", pages.select(F.regexp_extract("url", "^[a-z]+://[^/]*/[a-z]*", 0).alias("root")), "root").where("root IS NOT NULL")
+
+
+@query()
+def louvain_communities(spark, folder):
+    """Communities by modularity of the graph of similar vectors inside labels."""
+    return graph.louvain(graph.similar(table(spark, folder, "embeddings"), 0.2, block="label"))
