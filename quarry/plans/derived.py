@@ -576,3 +576,54 @@ def repo_roots(spark, folder):
 def louvain_communities(spark, folder):
     """Communities by modularity of the graph of similar vectors inside labels."""
     return graph.louvain(graph.similar(table(spark, folder, "embeddings"), 0.2, block="label"))
+
+
+@query(
+    rf"""WITH {_NOTES}, links AS (SELECT DISTINCT doc_id, trim(regexp_extract(t, '^[^|#]*')) AS target FROM (SELECT doc_id, unnest(regexp_extract_all({_BARE}, '\[\[([^\]]*)\]\]', 1)) AS t FROM notes))
+    SELECT target, count(*) AS n FROM links WHERE target <> '' AND regexp_extract(target, '[^/]*$') = 'es' GROUP BY target"""
+)
+def ghost_notes(spark, folder):
+    """Link targets that no note answers: those of the language that has none."""
+    return wikilink_resolve(spark, folder).where("to_path IS NULL").groupBy("target").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_CODE}, n AS (SELECT name, count(*) AS n FROM symbols GROUP BY name), b AS (SELECT DISTINCT caller_id AS id FROM calls WHERE callee_name = 'f7' AND caller_id <> 7),
+    more AS (SELECT c.caller_id FROM b JOIN symbols s ON s.def_id = b.id JOIN n ON n.name = s.name AND n.n = 1 JOIN calls c ON c.callee_name = s.name WHERE c.caller_id NOT IN (SELECT id FROM b) AND c.caller_id <> 7)
+    SELECT id, 1 AS depth, (SELECT count(*) > 0 FROM more) AS truncated FROM b""")
+def call_impact_cut(spark, folder):
+    return walks.impact(*_code(spark, folder), "f7", 1).select("id", "depth", "truncated")
+
+
+@query("WITH q AS (SELECT user_id, row_number() OVER (ORDER BY event_id, user_id) AS k FROM events) SELECT user_id, CAST(sum(CAST(k <= 5000 AS INTEGER)) AS BIGINT) AS kept, CAST(max(CAST(k > 5000 AS INTEGER)) AS INTEGER) AS owes FROM q GROUP BY user_id")
+def queue_overflow(spark, folder):
+    return refresh.overflow(table(spark, folder, "events"), "user_id", "event_id", 5000)
+
+
+@query("WITH r AS (SELECT doc_id, sum(n_chars) OVER (ORDER BY doc_id) AS used, row_number() OVER (ORDER BY doc_id) AS k FROM documents WHERE doc_id > 40) SELECT doc_id FROM r WHERE used <= 200000 OR k = 1")
+def byte_budget(spark, folder):
+    return refresh.within_bytes(table(spark, folder, "documents").select("doc_id", "n_chars"), "doc_id", "n_chars", 40, 200_000).select("doc_id")
+
+
+@query(
+    """WITH c AS (SELECT client_id, client_id % 4 = 1 AS runs, CASE WHEN client_id % 7 <> 3 THEN updated_at END AS done, epoch(TIMESTAMP '2024-05-01 00:00:00') - epoch(updated_at) AS age FROM clients WHERE updated_at IS NOT NULL)
+    SELECT client_id, CASE WHEN runs AND age > 21600 THEN 'stale-running' WHEN runs THEN 'running' WHEN done IS NULL THEN 'never-run' WHEN age > 2 * 2592000 THEN 'overdue' WHEN age > 2592000 THEN 'due' ELSE 'fresh' END AS state FROM c"""
+)
+def health_rollup(spark, folder):
+    c = table(spark, folder, "clients").where("updated_at IS NOT NULL").withColumn("at", F.col("updated_at").cast("timestamp"))
+    d = c.select("client_id", F.when(F.col("client_id") % 4 == 1, "running").otherwise("idle").alias("refresh_status"), F.when(F.col("client_id") % 7 != 3, F.col("at")).alias("last_refresh_at"), F.col("at").alias("refresh_started_at"), F.lit(2_592_000).alias("refresh_interval"))
+    return relational.refresh_state(d, "2024-05-01 00:00:00").select("client_id", "state")
+
+
+@query("WITH s AS (SELECT status, count(*) AS n FROM sales GROUP BY status) SELECT 'bad' AS name, 'refused' AS result, CAST(0 AS BIGINT) AS n UNION ALL SELECT 'many', 'rows', 1 UNION ALL SELECT 'some', 'rows', (SELECT count(DISTINCT coalesce(status, '-')) FROM sales WHERE total >= 50 AND total < 900)")
+def program_policy(spark, folder):
+    """What becomes of each query of a program over sales: the one that writes is refused, the others give rows."""
+    views(spark, folder, ["sales"])
+    got = programs.run(spark, programs.parse(_PROGRAM, "x"), most=900)
+    said = [(n, "refused" if isinstance(r, str) and r.startswith("PermissionError") else "rows", r) for n, r in got]
+    out = None
+    for name, result, r in said:
+        n = F.lit(0).cast("long") if isinstance(r, str) else F.count("*")
+        row = table(spark, folder, "sales").limit(1).select(n.alias("n")) if isinstance(r, str) else r.agg(n.alias("n"))
+        row = row.select(F.lit(name).alias("name"), F.lit(result).alias("result"), "n")
+        out = row if out is None else out.unionByName(row)
+    return out

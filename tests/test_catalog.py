@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as X
 from quarry.operators import lexical, relational
-from quarry.plans import catalog, corpus, literals, programs
+from quarry.plans import catalog, corpus, derived, extended, literals, programs  # noqa: F401  derived adds to extended
 
 FOLDER = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations clicks sales sale_lines clients client_changes vendors items stamps".split()
 
 
 def plain(df):
@@ -38,9 +38,9 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(catalog.ORACLES | corpus.ORACLES | literals.ORACLES))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES | corpus.ORACLES | literals.ORACLES | extended.ORACLES))
 def test_query_equals_sql(spark, duck, name):
-    queries, oracles = catalog.QUERIES | corpus.QUERIES | literals.QUERIES, catalog.ORACLES | corpus.ORACLES | literals.ORACLES
+    queries, oracles = catalog.QUERIES | corpus.QUERIES | literals.QUERIES | extended.QUERIES, catalog.ORACLES | corpus.ORACLES | literals.ORACLES | extended.ORACLES
     assert plain(queries[name](spark, FOLDER).toPandas()) == plain(duck.execute(oracles[name]).df())
 
 
