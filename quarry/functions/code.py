@@ -6,9 +6,11 @@ import ast
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions import markdown as M
+
 
 def python_nodes(text: str) -> list[tuple]:
     """(kind, name, parent, first line, last line, called names) of a module, its classes and functions; none if it doesn't parse.
@@ -113,6 +115,29 @@ def rule_for(files: DataFrame, rules: DataFrame) -> DataFrame:
     return files.select("path").join(hit, "path", "left").select("path", F.coalesce("b.strategy", F.lit("heading")).alias("strategy"))
 
 
+def split_files(files: DataFrame, path: str = "path", text: str = "text", strategy: str = "strategy", pattern: str = r"(?m)^-{3,}$") -> DataFrame:
+    """(path, strategy, position, title, body) of files by their strategy: heading, whole, sliding, template or ast; others count as heading.
+
+    whole: the text as it is; sliding: windows; template: the parts between lines that ``pattern`` matches; ast: the definitions
+    of Python source, titled by their names; a file that doesn't parse stays whole. Empty bodies are left out.
+    """
+    of = lambda *names: files.where(F.coalesce(F.col(strategy).isin(*names), F.lit(False)))
+    named = ("whole", "sliding", "template", "ast")
+    shape = lambda df, name, title, body, at="position": df.select(path, F.lit(name).alias("strategy"), F.col(at).cast("int").alias("position"), title.alias("title"), body.alias("body"))
+    heads = shape(M.sections(files.where(~F.coalesce(F.col(strategy).isin(*named), F.lit(False))), path, text), "heading", F.col("title"), F.col("body"))
+    whole = shape(of("whole").withColumn("position", F.lit(0)), "whole", F.lit(""), F.col(text))
+    windows = shape(M.windows(of("sliding"), path, text), "sliding", F.lit(""), F.col("piece"))
+    parts = shape(of("template").select(path, F.posexplode(F.split(text, pattern)).alias("position", "piece")), "template", F.lit(""), F.regexp_replace("piece", r"^\s+|\s+$", ""))
+    source = of("ast").select(F.col(path).alias("path"), F.col(text).alias("text"))
+    tree = code_tree(source)
+    span = tree.where("kind <> 'module'").join(source, "path")
+    lines = F.array_join(F.slice(F.split("text", "\n"), F.col("first"), F.col("last") - F.col("first") + 1), "\n")
+    order = F.row_number().over(Window.partitionBy("path").orderBy("first", "name")) - 1
+    defined = span.withColumn("position", order).select(F.col("path").alias(path), F.lit("ast").alias("strategy"), F.col("position").cast("int").alias("position"), F.col("name").alias("title"), lines.alias("body"))
+    rest = source.join(span.select("path").distinct(), "path", "left_anti").select(F.col("path").alias(path), F.lit("ast").alias("strategy"), F.lit(0).alias("position"), F.lit("").alias("title"), F.col("text").alias("body"))
+    return heads.unionByName(whole).unionByName(windows).unionByName(parts).unionByName(defined).unionByName(rest).where("trim(body) <> ''")
+
+
 def classify(titles: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     """titles with type: the first rule that holds, an alias (equal without case) or a pattern between slashes."""
     out = F.lit(None).cast("string")

@@ -141,3 +141,9 @@ def sources_by_rank(found: DataFrame, source: Column, key: str = "vec_id") -> Da
     """source, place (from 1) and score of the distinct sources of ranked rows, by their best row."""
     best = found.groupBy(source.alias("source")).agg(F.max("score").alias("score"), F.min(key).alias("_k"))
     return best.select("source", F.row_number().over(Window.orderBy(F.desc("score"), "source")).alias("place"), "score")  # a bounded pool
+
+
+def source_vectors(vectors: DataFrame, group: str, column: str = "embedding") -> DataFrame:
+    """(group, column) of each group's unit mean vector, for searches over sources rather than chunks; a number a dimension and group is gathered."""
+    pooled = mean_pool(vectors.where(F.col(group).isNotNull()), group, column)
+    return pooled.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "value"))), lambda x: x["value"]).alias(column))

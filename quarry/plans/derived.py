@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from quarry.functions import code as C
 from quarry.functions import markdown as M
 from quarry.functions import scalars as S
-from quarry.operators import graph, lexical, ordered, refresh, relational, walks
+from quarry.functions import text as X
+from quarry.operators import graph, lexical, ordered, refresh, relational, semantic, walks
 from quarry.operators.state import new_folder
 from quarry.plans import programs
-from quarry.plans.catalog import _bm25
+from quarry.plans.catalog import _V, _bm25, _unit
 from quarry.plans.extended import ORACLES, QUERIES, query
 from quarry.sources.tables import table, views
 
@@ -627,3 +628,54 @@ def program_policy(spark, folder):
         row = row.select(F.lit(name).alias("name"), F.lit(result).alias("result"), "n")
         out = row if out is None else out.unionByName(row)
     return out
+
+
+# ---- splitting, sampling, sources ------------------------------------------------------------------------------------------
+
+_SHORT = f"length({_BARE}) < 200"
+
+
+@query(rf"""WITH {_SECTIONS}, small AS (SELECT doc_id, regexp_replace(note, '^\s+|\s+$', '', 'g') AS body FROM notes WHERE {_SHORT} AND trim(note) <> '')
+    SELECT doc_id, 0 AS position, '' AS title, md5(body) AS body FROM small WHERE body <> '' UNION ALL SELECT doc_id, position, title, md5(body) FROM parts WHERE doc_id NOT IN (SELECT doc_id FROM notes WHERE {_SHORT})""")
+def md_note_chunks(spark, folder):
+    return M.note_chunks(notes(spark, folder), "doc_id", "note").select("doc_id", "position", "title", F.md5(F.col("body").cast("binary")).alias("body"))
+
+
+_STRATEGY = "CASE WHEN doc_id % 4 = 0 THEN 'whole' WHEN doc_id % 4 = 1 THEN 'sliding' WHEN doc_id % 4 = 2 THEN 'template' END"
+
+
+@query(rf"""WITH {_SECTIONS}, s AS (SELECT doc_id, note, {_STRATEGY} AS strategy FROM notes),
+    t AS (SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) - 1 AS position FROM (SELECT doc_id, string_split_regex(note, '(?m)^```$') AS p FROM s WHERE strategy = 'template')),
+    w AS (SELECT doc_id, note, k FROM s, LATERAL (SELECT unnest(range(CAST(ceil(greatest(length(note) - 200, 1) / 3800.0) AS BIGINT))) AS k) WHERE strategy = 'sliding' AND note <> '')
+    SELECT doc_id, 'heading' AS strategy, position, md5(body) AS body FROM parts WHERE doc_id % 4 = 3 UNION ALL SELECT doc_id, strategy, 0, md5(note) FROM s WHERE strategy = 'whole' AND trim(note, ' ') <> ''
+    UNION ALL SELECT doc_id, 'sliding', CAST(k AS INTEGER), md5(substr(note, 1 + 3800 * k, 4000)) FROM w UNION ALL SELECT doc_id, 'template', CAST(position AS INTEGER), md5(regexp_replace(piece, '^\s+|\s+$', '', 'g')) FROM t WHERE regexp_replace(piece, '^\s+|\s+$', '', 'g') <> ''""")
+def split_dispatch(spark, folder):
+    """Notes split as their strategy says: by headings, whole, in windows, or at the lines of a template (here the fences)."""
+    files = notes(spark, folder).withColumn("strategy", F.expr(_STRATEGY))
+    found = C.split_files(files, "doc_id", "note", pattern="(?m)^```$")
+    return found.select("doc_id", "strategy", "position", F.md5(F.col("body").cast("binary")).alias("body"))
+
+
+@query("SELECT doc_id, source, lang FROM documents ORDER BY md5('7|' || doc_id), doc_id LIMIT 50")
+def sampled_rows(spark, folder):
+    return relational.sample(table(spark, folder, "documents").select("doc_id", "source", "lang"), "doc_id", 50, seed=7)
+
+
+@query(r"SELECT page_id, lower(regexp_extract(url, '\.([^./]*)$', 1)) AS extension FROM pages WHERE url IS NOT NULL")
+def url_extension(spark, folder):
+    return table(spark, folder, "pages").where("url IS NOT NULL").select("page_id", X.extension(F.col("url")).alias("extension"))
+
+
+@query(r"SELECT doc_id, substr(array_to_string(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))[1:3], ' '), 1, 200) AS lead FROM documents WHERE text IS NOT NULL")
+def first_sentences(spark, folder):
+    return table(spark, folder, "documents").where("text IS NOT NULL").select("doc_id", X.sentences(F.col("text")).alias("lead"))
+
+
+@query(f"""WITH e AS (SELECT label, embedding AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL), p AS (SELECT label, unnest({_V.replace('embedding', 'e')}) AS x, generate_subscripts(e, 1) AS k FROM e),
+    m AS (SELECT label, list(a ORDER BY k) AS m FROM (SELECT label, k, avg(x) AS a FROM p GROUP BY ALL) GROUP BY label), u AS (SELECT label, {_unit('m')} AS u FROM m)
+    SELECT a.label, round(list_inner_product(a.u, b.u), 3) AS score FROM u a, u b WHERE b.label = 1 ORDER BY list_inner_product(a.u, b.u) DESC, a.label LIMIT 5""")
+def source_search(spark, folder):
+    """Sources (here labels) nearest to one of them, by their mean vectors."""
+    sources = semantic.source_vectors(table(spark, folder, "embeddings").where("embedding IS NOT NULL"), "label")
+    found = semantic.vec_ops(sources, semantic.Modulation(centroid=(1,), limit=5), key="label")
+    return found.select("label", F.round("score", 3).alias("score"))
