@@ -73,7 +73,8 @@ def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return divergence.rules(read(spark, sf_dir, "documents"))
+    found = divergence.rules(read(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
 
 
 def op12_peak_concurrency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +88,41 @@ def op13_jacobi_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_classifier, op3_ngram_jaccard_join, op4_exact_top_k, op5_embedding_near_dedup, op6_lm_scoring, op7_legacy_archives, op8_pii_boosting, op9_hash_tree_sharding, op10_soft_mixing, op11_distribution_divergence, op12_peak_concurrency, op13_jacobi_whitening)}
 
+def _divergence_sql() -> str:
+    """Op11 by text functions and lists: two rounds of mean histograms, the second without what the first rejects."""
+    vocabulary = sorted({w for own in divergence.COMMON.values() for w in own})
+    listed = ", ".join(f"('{w}', {k + 1})" for k, w in enumerate(vocabulary))
+    langs = ", ".join(f"'{g}'" for g in divergence.COMMON)
+    only = lambda c: f"length(regexp_replace(t, '[^{c}]', '', 'g'))"
+    part = "CASE WHEN z[{0}] > 0 THEN z[{0}] * log2(z[{0}] / ((z[1] + z[2]) / 2)) ELSE 0 END"
+    js = lambda a, b: f"sqrt(greatest(list_sum(list_transform(list_zip({a}, {b}), lambda z: {part.format(1)} + {part.format(2)})) / 2, 0))"
+    mean = lambda name, rows: f"""{name}_p AS (SELECT lang, list(a ORDER BY k) AS p FROM (SELECT lang, k, avg(x) AS a FROM (SELECT lang, unnest(p) AS x, generate_subscripts(p, 1) AS k FROM {rows}) GROUP BY lang, k) GROUP BY lang),
+        {name}_w AS (SELECT lang, list(a ORDER BY k) AS w FROM (SELECT lang, k, avg(x) AS a FROM (SELECT lang, unnest(w) AS x, generate_subscripts(w, 1) AS k FROM {rows}) GROUP BY lang, k) GROUP BY lang)"""
+    judge = lambda name, rows, refs: f"""{name}_d AS (SELECT h.id, min(CASE WHEN n_chars >= 200 THEN {js('h.p', 'a.p')} END) AS cd, min(CASE WHEN n_words >= 50 THEN {js('h.w', 'b.w')} END) AS wd FROM {rows} h, {refs}_p a JOIN {refs}_w b USING (lang) GROUP BY h.id),
+        {name} AS (SELECT h.*, cd, wd, coalesce(cd > 0.13 + 0.6 / sqrt(n_chars), false) OR coalesce(wd > 0.25 + 1.3 / sqrt(n_words), false) AS far FROM {rows} h LEFT JOIN {name}_d USING (id))"""
+    return rf"""
+        WITH d AS (SELECT row_number() OVER () AS id, doc_id, lang, coalesce(text, '') AS t FROM documents),
+        e AS (SELECT id, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM (SELECT id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d)),
+        g AS (SELECT id, k, word, lead(word) OVER x AS b, lead(word, 2) OVER x AS c FROM e WINDOW x AS (PARTITION BY id ORDER BY k)),
+        again AS (SELECT id, k FROM (SELECT id, k, count(*) OVER (PARTITION BY id, word, b, c) AS n FROM g WHERE c IS NOT NULL) WHERE n > 1),
+        hit AS (SELECT id, count(*) AS n FROM (SELECT DISTINCT id, unnest([k, k + 1, k + 2]) AS k FROM again) GROUP BY id),
+        lines AS (SELECT id, count(*) - count(DISTINCT line) AS n FROM (SELECT id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY id),
+        counts AS (SELECT id, count(*) AS n, sum(length(word)) AS chars FROM e GROUP BY id), v AS (SELECT * FROM (VALUES {listed}) v(word, j)),
+        low AS (SELECT id, CASE WHEN right(x, 1) IN (',', '.') THEN left(x, -1) ELSE x END AS word FROM (SELECT id, translate(word, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM e)),
+        known AS (SELECT id, j, count(*) AS n FROM low JOIN v USING (word) GROUP BY id, j), grid AS (SELECT d.id, v.j, coalesce(known.n, 0) AS n FROM d CROSS JOIN v LEFT JOIN known ON known.id = d.id AND known.j = v.j),
+        common AS (SELECT id, list(n ORDER BY j) AS l, sum(n) AS n FROM grid GROUP BY id),
+        classes AS (SELECT id, [length(regexp_replace(t, '[\x00-\x7F]', '', 'g')), {only('a-z')}, {only('A-Z')}, {only(chr(92) + 'x20')}, {only(chr(92) + 'x09-' + chr(92) + 'x0D')}, {only(".,;:''" + chr(92) + '-')}, {only('#*$%&|<>')}] AS l, length(regexp_replace(t, '[0-9]', '', 'g')) AS n, {only('#*$%&|<>')} AS symbols FROM d),
+        h AS (SELECT d.id, doc_id, lang, coalesce(counts.n, 0) AS n_words, CAST(coalesce(chars, 0) AS BIGINT) AS word_chars, symbols AS n_symbols, coalesce(lines.n, 0) AS n_dup_lines, coalesce(hit.n, 0) AS n_repeat_words, classes.n AS n_chars,
+                     list_transform(list_append(classes.l, classes.n - list_sum(classes.l)), lambda x: x / greatest(classes.n, 1)) AS p, list_transform(list_append(common.l, coalesce(counts.n, 0) - common.n), lambda x: x / greatest(coalesce(counts.n, 0), 1)) AS w
+              FROM d JOIN classes USING (id) JOIN common USING (id) LEFT JOIN counts USING (id) LEFT JOIN lines USING (id) LEFT JOIN hit USING (id)),
+        f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM h),
+        sound AS (SELECT min(id) AS id, lang, n_words, n_chars, p, w FROM f WHERE NOT base_failed AND lang IN ({langs}) GROUP BY lang, n_words, word_chars, n_chars, p, w),
+        {mean('first', 'sound')}, {judge('tried', 'sound', 'first')}, close AS (SELECT * FROM tried WHERE NOT far), {mean('second', 'close')}, {judge('done', 'f', 'second')}
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT far AS kept, round(cd, 6) AS class_distance, round(wd, 6) AS word_distance FROM done"""
+
+
 ORACLES = {
+    "op11_distribution_divergence": _divergence_sql(),
     "op7_legacy_archives": """
         WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
         f AS (SELECT d, min(page_id) AS first_id FROM p WHERE n >= 100 GROUP BY d)
