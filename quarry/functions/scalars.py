@@ -123,3 +123,22 @@ def offset_hours(zone: str, ts: Column) -> Column:
 
 def in_call_window(zone: str, ts: Column, start: int = 9, stop: int = 18) -> Column:
     return F.hour(F.from_utc_timestamp(ts, zone)).between(start, stop - 1)
+
+
+def tool_line(tool: Column, target: Column, content: Column, skip: tuple[str, ...] = ("UserPrompt", "TaskOutput", "BashOutput")) -> Column:
+    """One line for a tool call: files by their name, commands and searches by their first 60 characters, servers' tools by their last part; null if skipped."""
+    quoted = lambda text: F.when(text != "", F.concat(F.lit("op:"), tool, F.lit(" `"), text, F.lit("`"))).otherwise(F.concat(F.lit("op:"), tool))
+    told = F.trim(F.coalesce(content, F.lit("")))
+    command = F.trim(F.when(told.startswith("Bash:"), F.substring(told, 6, 1 << 30)).otherwise(told))
+    named = F.coalesce(basename(target), F.lit(""))
+    short = F.trim(F.substring(F.coalesce(content, F.lit("")), 1, 60))
+    parts = F.split(tool, "__")
+    return (
+        F.when((F.coalesce(tool, F.lit("")) == "") | tool.isin(*skip), None)
+        .when(tool.isin("Read", "Write", "Edit", "MultiEdit"), quoted(named))
+        .when(tool == "Bash", quoted(F.when((F.length(command) > 3) & (command != "Bash"), F.substring(command, 1, 60)).otherwise("")))
+        .when(tool == "Task", F.when(short != "", F.concat(F.lit('op:Task "'), short, F.lit('"'))).otherwise("op:Task"))
+        .when(tool.isin("WebSearch", "WebFetch"), quoted(short))
+        .when(tool.startswith("mcp__"), F.concat(F.lit("op:"), F.when(F.size(parts) > 2, F.element_at(parts, -1)).otherwise("MCP tool")))
+        .otherwise(F.concat(F.lit("op:"), tool))
+    )

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from quarry.functions import code as C
 from quarry.functions import markdown as M
+from quarry.functions import registered
 from quarry.functions import scalars as S
 from quarry.functions import text as X
 from quarry.operators import graph, lexical, ordered, refresh, relational, semantic, walks
 from quarry.operators.state import new_folder
-from quarry.plans import programs
+from quarry.plans import policy, programs
 from quarry.plans.catalog import _V, _bm25, _unit
 from quarry.plans.extended import ORACLES, QUERIES, query
 from quarry.sources.tables import table, views
@@ -679,3 +680,38 @@ def source_search(spark, folder):
     sources = semantic.source_vectors(table(spark, folder, "embeddings").where("embedding IS NOT NULL"), "label")
     found = semantic.vec_ops(sources, semantic.Modulation(centroid=(1,), limit=5), key="label")
     return found.select("label", F.round("score", 3).alias("score"))
+
+
+# ---- what programs are given ----------------------------------------------------------------------------------------------
+
+
+@query(
+    """WITH t AS (SELECT click_id, ts, CASE WHEN ts >= TIMESTAMP '2024-03-10 07:00:00' AND ts < TIMESTAMP '2024-11-03 06:00:00' THEN -4 ELSE -5 END AS h, kind FROM clicks WHERE ts IS NOT NULL)
+    SELECT click_id, strftime(ts + to_hours(h), '%Y-%m-%d %H:%M') AS local, CAST(h AS DOUBLE) AS ahead, extract(hour FROM ts + to_hours(h)) BETWEEN 9 AND 17 AS open, click_id || '.TXT' AS base, 'txt' AS ending, CASE WHEN kind = '' THEN '' ELSE 'search://web?q=a%20' || kind END AS address FROM t"""
+)
+def sql_functions(spark, folder):
+    """The registered functions in a program's text, under the policy that knows them."""
+    views(spark, folder, ["clicks"])
+    text = """SELECT click_id, tz_local_time(CAST(ts AS TIMESTAMP), 'America/New_York') AS local, tz_offset(CAST(ts AS TIMESTAMP), 'America/New_York') AS ahead, tz_call_window(CAST(ts AS TIMESTAMP), 'America/New_York', 9, 18) AS open,
+        path_base(concat('/a/b/', click_id, '.TXT')) AS base, path_extension(concat('/a.b/', click_id, '.TXT')) AS ending, CASE WHEN kind = '' THEN '' ELSE search_address(concat(' a  ', upper(kind))) END AS address FROM clicks WHERE ts IS NOT NULL"""
+    policy.read_only(spark, text, functions=registered.register(spark))
+    return spark.sql(text)
+
+
+@query(
+    """WITH r AS (SELECT doc_id, '{"doc_id":' || doc_id || ',"source":"' || source || '","n_chars":' || n_chars || '}' AS json FROM documents WHERE source IS NOT NULL AND n_chars IS NOT NULL), t AS (SELECT *, CAST(ceil(length(json) / 3.5) AS BIGINT) AS tokens FROM r),
+    s AS (SELECT *, CAST(sum(tokens) OVER (ORDER BY doc_id) AS BIGINT) AS so_far FROM t) SELECT doc_id, json, tokens, so_far, CAST(floor((so_far - tokens) / 1000) AS INTEGER) AS "window", so_far <= 9000 OR so_far = tokens AS within FROM s"""
+)
+def result_gate(spark, folder):
+    d = table(spark, folder, "documents").where("source IS NOT NULL AND n_chars IS NOT NULL").select("doc_id", "source", "n_chars")
+    return programs.gated(d, ["doc_id"], window=1000, most=9000)
+
+
+@query(
+    """SELECT conv_id, turn, CASE role WHEN 'user' THEN NULL WHEN 'system' THEN 'op:Read `s' || conv_id || '.md`' ELSE CASE turn % 3 WHEN 0 THEN 'op:last' WHEN 1 THEN 'op:Bash `ls ' || conv_id || ' -l`' ELSE 'op:Task "go ' || turn || '"' END END AS line FROM conversations WHERE role IN ('user', 'system', 'assistant')"""
+)
+def tool_lines(spark, folder):
+    c = table(spark, folder, "conversations").where("role IN ('user', 'system', 'assistant')")
+    tool = F.expr("CASE role WHEN 'user' THEN 'UserPrompt' WHEN 'system' THEN 'Read' ELSE CASE turn % 3 WHEN 0 THEN 'mcp__server__last' WHEN 1 THEN 'Bash' ELSE 'Task' END END")
+    content = F.expr("CASE turn % 3 WHEN 1 THEN concat('Bash: ls ', conv_id, ' -l') ELSE concat('go ', turn) END")
+    return c.select("conv_id", "turn", S.tool_line(tool, F.concat(F.lit("/x/s"), "conv_id", F.lit(".md")), content).alias("line"))

@@ -8,7 +8,9 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quarry.operators.ordered import running_total
 from quarry.plans.policy import parsed, read_only, walk
 
 _NOTE = re.compile(r"--\s*@(\w+):\s*(.+)")
@@ -232,3 +234,20 @@ def shipped(spark: SparkSession, entries: list, stock: set[str]) -> tuple[dict[s
         except Exception as x:  # noqa: BLE001
             refused.append(f"{k}: {str(x).splitlines()[0]}")
     return good, refused
+
+
+#: Characters a token of a result, and the most tokens of one window and of a whole result.
+CHARS_A_TOKEN, WINDOW_TOKENS, MOST_TOKENS = 3.5, 10_000, 100_000
+
+
+def gated(df: DataFrame, order: list, window: int = WINDOW_TOKENS, most: int = MOST_TOKENS) -> DataFrame:
+    """A result as it may be handed out: its rows as JSON with tokens, the tokens up to each, the window each falls in, and whether it is within ``most``.
+
+    Tokens are estimated from the characters of the JSON. Rows are numbered in the order by ranges, so no task and not the
+    driver holds the result; a caller fetches window after window. The first row is always within.
+    """
+    text = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
+    rows = df.select(*order, text.alias("json"), F.ceil(F.length(text) / CHARS_A_TOKEN).cast("long").alias("tokens"))
+    run = running_total(rows, order, F.col("tokens"), "so_far")
+    before = F.col("so_far") - F.col("tokens")
+    return run.select(*order, "json", "tokens", "so_far", F.floor(before / window).cast("int").alias("window"), ((F.col("so_far") <= most) | (before == 0)).alias("within"))
