@@ -11,6 +11,7 @@ from quarry.functions import registered
 from quarry.functions import scalars as S
 from quarry.functions import text as X
 from quarry.operators import graph, lexical, ordered, refresh, relational, semantic, walks
+from quarry.operators.fingerprints import fingerprints
 from quarry.operators.state import new_folder
 from quarry.plans import policy, programs
 from quarry.plans.catalog import _V, _bm25, _unit
@@ -715,3 +716,11 @@ def tool_lines(spark, folder):
     tool = F.expr("CASE role WHEN 'user' THEN 'UserPrompt' WHEN 'system' THEN 'Read' ELSE CASE turn % 3 WHEN 0 THEN 'mcp__server__last' WHEN 1 THEN 'Bash' ELSE 'Task' END END")
     content = F.expr("CASE turn % 3 WHEN 1 THEN concat('Bash: ls ', conv_id, ' -l') ELSE concat('go ', turn) END")
     return c.select("conv_id", "turn", S.tool_line(tool, F.concat(F.lit("/x/s"), "conv_id", F.lit(".md")), content).alias("line"))
+
+
+@query()
+def session_fingerprints(spark, folder):
+    """Conversations in a few lines; what an assistant says at every other turn counts as a tool call."""
+    c = table(spark, folder, "conversations")
+    call = F.when((F.col("role") == "assistant") & (F.col("turn") % 4 == 1), S.tool_line(F.lit("Bash"), F.lit(None).cast("string"), F.col("text")))
+    return fingerprints(c.select("conv_id", F.col("turn").alias("position"), F.lit(0).alias("tie"), "text", call.alias("line")), "conv_id")
