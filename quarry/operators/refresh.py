@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.operators.ordered import numbered, running_total
+from quarry.sources.versions import Versions
 
 
 def release(events: DataFrame, by: list[str], ts: str, quiet: float, latest: float, tie: str) -> DataFrame:
@@ -128,3 +129,39 @@ def _get(root, path):
     for step in path:
         at = at[step]
     return at
+
+
+def audit(log: Versions, snapshot: DataFrame, keys: list[str], at: int) -> int:
+    """Append to an audit log what a snapshot shows that the last look at its keys did not: a row of what is seen, how and since when.
+
+    Rows of the log: the snapshot's columns, change (new, changed or gone) and at. Nothing is rewritten: a look is one more
+    segment. Returns how many rows came. A repeated key counts once, by its smallest row; null keys are no observations.
+    """
+    number, state = log.latest()
+    row = F.struct(*sorted(snapshot.columns))
+    seen = snapshot.where(F.forall(F.array(*(F.col(k).isNotNull() for k in keys)), lambda x: x)).groupBy(*keys).agg(F.min(row).alias("_r")).select("_r.*")
+    marked = seen.withColumn("_now", F.xxhash64(*sorted(snapshot.columns)))
+    if not number:
+        fresh = marked.drop("_now").withColumn("change", F.lit("new"))
+    else:
+        last = current(log, keys).withColumn("_was", F.xxhash64(*sorted(snapshot.columns)))
+        both = marked.join(last.select(*keys, "_was"), keys, "left")
+        come = both.where(~F.col("_was").eqNullSafe(F.col("_now"))).withColumn("change", F.when(F.col("_was").isNull(), "new").otherwise("changed")).drop("_now", "_was")
+        fresh = come.unionByName(last.drop("_was").join(seen.select(*keys), keys, "left_anti").withColumn("change", F.lit("gone")))
+    folder = log.folder()
+    fresh.withColumn("at", F.lit(at).cast("long")).write.parquet(log.at(folder))
+    log.commit({"segments": [*state.get("segments", []), folder]}, number)
+    return log.spark.read.parquet(log.at(folder)).count()
+
+
+def observations(log: Versions) -> DataFrame:
+    """All rows of an audit log."""
+    return log.spark.read.parquet(*(log.at(s) for s in log.latest()[1]["segments"]))
+
+
+def current(log: Versions, keys: list[str]) -> DataFrame:
+    """What the log says is there now: of each key the row of the last look, if it isn't gone."""
+    rows = observations(log)
+    names = [c for c in rows.columns if c not in ("change", "at")]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), "at").alias("_r"))
+    return last.where("_r.change <> 'gone'").select(*(F.col(f"_r.{c}").alias(c) for c in names))

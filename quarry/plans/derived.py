@@ -17,6 +17,7 @@ from quarry.plans import policy, programs
 from quarry.plans.catalog import _V, _bm25, _unit
 from quarry.plans.extended import ORACLES, QUERIES, query
 from quarry.sources.tables import table, views
+from quarry.sources.versions import Versions
 
 # ---- notes: every document's lines made into headings, fences, links, tags and fields by their place --------------------
 
@@ -724,3 +725,32 @@ def session_fingerprints(spark, folder):
     c = table(spark, folder, "conversations")
     call = F.when((F.col("role") == "assistant") & (F.col("turn") % 4 == 1), S.tool_line(F.lit("Bash"), F.lit(None).cast("string"), F.col("text")))
     return fingerprints(c.select("conv_id", F.col("turn").alias("position"), F.lit(0).alias("tie"), "text", call.alias("line")), "conv_id")
+
+
+# ---- snapshots ------------------------------------------------------------------------------------------------------------
+
+
+@query(
+    """WITH a AS (SELECT client_id, md5(coalesce(city, '-') || '|' || coalesce(segment, '-')) AS d FROM clients WHERE client_id IS NOT NULL),
+    r AS (SELECT client_id, md5(coalesce(city, '-') || '|' || coalesce(segment, '-')) AS d FROM (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY seq DESC, change_id DESC) AS k FROM client_changes WHERE client_id IS NOT NULL) WHERE k = 1)
+    SELECT client_id, CASE WHEN a.d IS NULL THEN 'new' WHEN r.d IS NULL THEN 'orphan' WHEN a.d = r.d THEN 'current' ELSE 'stale' END AS status FROM a FULL JOIN r USING (client_id)"""
+)
+def snapshot_whole(spark, folder):
+    """Clients against the last change of each: all rows of both tables."""
+    digest = F.md5(F.concat_ws("|", F.coalesce("city", F.lit("-")), F.coalesce("segment", F.lit("-"))).cast("binary")).alias("d")
+    changes = table(spark, folder, "client_changes").where("client_id IS NOT NULL")
+    last = changes.groupBy("client_id").agg(F.max_by(F.struct("city", "segment"), F.struct(F.coalesce("seq", F.lit(-1)).alias("seq"), "change_id")).alias("r")).select("client_id", "r.*").select("client_id", digest)
+    return relational.snapshot_diff(table(spark, folder, "clients").where("client_id IS NOT NULL").select("client_id", digest), last, "client_id", "d")
+
+
+@query(
+    """WITH f AS (SELECT client_id, city FROM clients WHERE client_id IS NOT NULL), s AS (SELECT client_id, CASE WHEN client_id % 9 = 2 THEN 'moved' ELSE city END AS city FROM f WHERE client_id % 10 <> 7)
+    SELECT client_id, city, 'new' AS change, CAST(1 AS BIGINT) AS at_ FROM f UNION ALL SELECT s.client_id, s.city, 'changed', 2 FROM s JOIN f USING (client_id) WHERE s.city IS DISTINCT FROM f.city UNION ALL SELECT client_id, city, 'gone', 2 FROM f WHERE client_id % 10 = 7"""
+)
+def audit_log(spark, folder):
+    """Two looks at clients, appended to a log: what is new, what changed, what went."""
+    log = Versions(spark, new_folder(spark, "audit"))
+    first = table(spark, folder, "clients").where("client_id IS NOT NULL").select("client_id", "city")
+    refresh.audit(log, first, ["client_id"], 1)
+    refresh.audit(log, first.where("client_id % 10 <> 7").withColumn("city", F.when(F.col("client_id") % 9 == 2, "moved").otherwise(F.col("city"))), ["client_id"], 2)
+    return refresh.observations(log).select("client_id", "city", "change", F.col("at").alias("at_"))

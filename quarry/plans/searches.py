@@ -108,6 +108,9 @@ class Searches:
     def sql(self, text: str, args: dict | None = None) -> DataFrame:
         """Run one query, under the read-only policy, that may use searches as tables. Named parameters come from ``args``."""
         args = args or {}
+        if programs.bare_text(text):
+            quoted = " ".join(text.split()).replace("'", "''")
+            raise ValueError(f"these are plain words, not SQL; to search for them: SELECT * FROM keyword('{quoted}')")
         policy.read_only(self.spark, text, NAMES)
         asked: dict[str, dict[tuple[str, str], DataFrame]] = {}
         for name, values, named in policy.calls(policy.parsed(self.spark, text), NAMES, args):

@@ -61,6 +61,7 @@ def test_dynamic_columns_and_texts(searches):
         ("SELECT id FROM vec_ops('suppres:a centroid:1')", ValueError),
         ("SELECT id FROM vec_ops('centroid:77')", KeyError),
         ("SELECT id FROM vec_ops('')", ValueError),
+        ("who's there", ValueError),
         ("SELECT id FROM keyword('a', 'b', 'c')", ValueError),
     ],
 )

@@ -4,10 +4,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quarry.operators import refresh
 from quarry.operators.semantic import Modulation, vec_ops
 from quarry.operators.vector_store import Refused, VectorStore
 from quarry.plans import projection
 from quarry.plans.projection import ProjectionError, Spec, compile_projection, read_objects, read_part
+from quarry.sources import tables
 from quarry.sources.versions import Conflict, Versions
 from quarry.streaming.replace import ReplacedFiles
 
@@ -216,3 +218,25 @@ def test_stream_replaces_files(spark, tmp_path):
         spark.readStream.schema(schema).json(str(source)).writeStream.foreachBatch(files).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
     assert [tuple(r) for r in files.read().select("path", "text").collect()] == [("a", "two")]
     assert Versions(spark, str(tmp_path / "f")).latest()[0] == 3
+
+
+def test_audit_log(spark, tmp_path):
+    log = Versions(spark, str(tmp_path / "a"))
+    look = lambda rows, at: refresh.audit(log, spark.createDataFrame(rows, "k int, v string"), ["k"], at)
+    assert look([(1, "a"), (2, "b"), (2, "c"), (None, "x")], 1) == 2
+    assert look([(1, "a"), (2, "b")], 2) == 0
+    assert look([(1, None), (3, "d")], 3) == 3
+    assert look([(1, None), (2, "b"), (3, "d")], 4) == 1
+    got = sorted((r.k, r.at, r.v, r.change) for r in refresh.observations(log).collect())
+    assert got == [(1, 1, "a", "new"), (1, 3, None, "changed"), (2, 1, "b", "new"), (2, 3, "b", "gone"), (2, 4, "b", "new"), (3, 3, "d", "new")]
+    assert sorted(map(tuple, refresh.current(log, ["k"]).collect())) == [(1, None), (2, "b"), (3, "d")]
+
+
+def test_text_folder_excludes(spark, tmp_path):
+    for name in ("a.md", "sub/b.md", "sub/deep/c.md", "build/d.md", ".git/e.md", "sub/.f.md", "g.py", "h.exe", "drafts/i.md", "drafts/x/j.md"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    read = lambda **more: sorted((r.path.split(tmp_path.name + "/")[1], r.kind) for r in tables.text_folder(spark, str(tmp_path), **more).collect())
+    assert [p for p, _ in read()] == ["a.md", "build/d.md", "drafts/i.md", "drafts/x/j.md", "sub/b.md", "sub/deep/c.md"]
+    assert read(extensions=("md", "py"), pruned=tables.PRUNED, excludes=("drafts/*", "sub/**/c.md")) == [("a.md", "note"), ("drafts/x/j.md", "note"), ("g.py", "code"), ("sub/b.md", "note")]
+    assert [p for p, _ in read(excludes=("drafts/**",))] == ["a.md", "build/d.md", "sub/b.md", "sub/deep/c.md"]
