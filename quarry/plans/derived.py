@@ -304,7 +304,7 @@ def ancestor_lineage(spark, folder):
     return walks.lineage(_halves(spark, folder).select(*(F.col(c).cast("string").alias(c) for c in ("child", "parent"))), "200")
 
 
-@query(f"""WITH RECURSIVE {_HALVES}, down AS (SELECT 1 AS node, CAST(NULL AS BIGINT) AS parent, 0 AS depth UNION ALL SELECT child, edges.parent, depth + 1 FROM down JOIN edges ON edges.parent = node)
+@query(f"""WITH RECURSIVE {_HALVES}, down AS (SELECT CAST(1 AS BIGINT) AS node, CAST(NULL AS BIGINT) AS parent, 0 AS depth UNION ALL SELECT child, edges.parent, depth + 1 FROM down JOIN edges ON edges.parent = node)
     SELECT node, down.parent, depth, count(child) AS children, CAST(count(child) > 1 AS INTEGER) AS orchestrator FROM down LEFT JOIN edges ON edges.parent = node GROUP BY ALL""")
 def bfs_depth(spark, folder):
     return walks.delegation(_halves(spark, folder), busy=1)
@@ -357,7 +357,7 @@ def hub_types(spark, folder):
 
 @query(
     """WITH a AS (SELECT client_id AS s, client_id + 1 AS t, 0.4 AS w FROM clients), b AS (SELECT client_id AS s, client_id + 1 + client_id % 2 AS t, 1.0 AS w FROM clients)
-    SELECT s AS source, t AS target, greatest(coalesce(a.w, 0), coalesce(b.w, 0)) AS weight, CASE WHEN a.w IS NULL THEN 'link' WHEN b.w IS NULL THEN 'semantic' ELSE 'both' END AS origin FROM a FULL JOIN b USING (s, t)"""
+    SELECT s AS source, t AS target, CAST(greatest(coalesce(a.w, 0), coalesce(b.w, 0)) AS DOUBLE) AS weight, CASE WHEN a.w IS NULL THEN 'link' WHEN b.w IS NULL THEN 'semantic' ELSE 'both' END AS origin FROM a FULL JOIN b USING (s, t)"""
 )
 def edge_origins(spark, folder):
     c = table(spark, folder, "clients")
@@ -400,8 +400,8 @@ def graph_staleness(spark, folder):
 
 
 @query(
-    """SELECT sale_id, line_no, 'out' || item_id AS path, 'write' AS op, 0.9 AS confidence FROM sale_lines WHERE item_id IS NOT NULL AND sale_id IS NOT NULL UNION ALL
-    SELECT sale_id, line_no, 'in' || sale_id || '.txt', 'read', 0.7 FROM sale_lines WHERE item_id IS NOT NULL AND sale_id IS NOT NULL"""
+    """SELECT sale_id, line_no, 'out' || item_id AS path, 'write' AS op, CAST(0.9 AS DOUBLE) AS confidence FROM sale_lines WHERE item_id IS NOT NULL AND sale_id IS NOT NULL UNION ALL
+    SELECT sale_id, line_no, 'in' || sale_id || '.txt', 'read', CAST(0.7 AS DOUBLE) FROM sale_lines WHERE item_id IS NOT NULL AND sale_id IS NOT NULL"""
 )
 def shell_file_ops(spark, folder):
     d = table(spark, folder, "sale_lines").where("item_id IS NOT NULL AND sale_id IS NOT NULL").selectExpr("struct(sale_id, line_no, monotonically_increasing_id() AS n) AS k", "concat('cat in', sale_id, '.txt > out', item_id, ' 2>&1') AS command")
