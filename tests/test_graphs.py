@@ -129,3 +129,24 @@ def test_queue_and_bytes(spark):
             want.append(at)
     assert sorted(r["at"] for r in refresh.within_bytes(d, "at", "size", 50, 100).collect()) == want
     assert [r["at"] for r in refresh.within_bytes(d, "at", "size", 50, 0).collect()] == [51]
+
+
+def plain_similar(rows, least, places, same=lambda a, b: True):
+    """By numpy over all pairs; rows are (key, vector, group)."""
+    v = np.array([r[1] for r in rows])
+    v = v / np.linalg.norm(v, axis=1, keepdims=True)
+    v = v - v.mean(0)
+    w = np.round((v / np.linalg.norm(v, axis=1, keepdims=True)) @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T, places)
+    return {(rows[i][0], rows[j][0]): w[i, j] for i in range(len(rows)) for j in range(len(rows)) if rows[i][0] < rows[j][0] and same(rows[i], rows[j]) and w[i, j] >= least}
+
+
+def test_similar_meets_in_blocks(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(k), rng.normal(size=9).tolist(), int(k) % 3 if k % 7 else 5) for k in rng.permutation(2600)]
+    whole = spark.createDataFrame([(-1, None, 1), *rows], "vec_id long, embedding array<float>, label int")  # the first one has no vector
+    found = graph.similar(whole, 0.8, block="label")
+    got = {(r.source, r.target): r.weight for r in found.collect()}
+    want = plain_similar([(k, np.array(v, np.float32).astype(float), g) for k, v, g in rows], 0.8, 4, lambda a, b: a[2] == b[2])
+    assert got == want and len(want) > 500
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "source#" not in "".join(x for x in plan.splitlines() if "Join" in x)  # pairs below the threshold are never rows
