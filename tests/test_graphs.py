@@ -150,3 +150,15 @@ def test_similar_meets_in_blocks(spark):
     assert got == want and len(want) > 500
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroupsInArrow" in plan and "source#" not in "".join(x for x in plan.splitlines() if "Join" in x)  # pairs below the threshold are never rows
+
+
+def test_edges_are_worked_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(x):
+        seen.add(1)
+        return x
+
+    edges = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 2.0), ("c", "c", 3.0)], "source string, target string, weight double").withColumn("weight", F.udf(count, "double")("weight"))
+    got = {(r.a, r.b): r.w for r in graph._symmetric(edges).collect()}
+    assert got == {("a", "b"): 1.0, ("b", "a"): 1.0, ("b", "c"): 2.0, ("c", "b"): 2.0, ("c", "c"): 6.0} and seen.value == 3
