@@ -162,3 +162,14 @@ def test_edges_are_worked_out_once(spark):
     edges = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 2.0), ("c", "c", 3.0)], "source string, target string, weight double").withColumn("weight", F.udf(count, "double")("weight"))
     got = {(r.a, r.b): r.w for r in graph._symmetric(edges).collect()}
     assert got == {("a", "b"): 1.0, ("b", "a"): 1.0, ("b", "c"): 2.0, ("c", "b"): 2.0, ("c", "c"): 6.0} and seen.value == 3
+
+
+def test_similar_all_with_a_null_first(spark):
+    rng = np.random.default_rng(6)
+    rows = [(int(k), rng.normal(size=7).tolist(), 0) for k in rng.permutation(700)]
+    got = {(r.source, r.target): round(r.weight, 6) for r in graph.similar_all(spark.createDataFrame([(-1, None, 0), *rows], "vec_id long, embedding array<double>, label int"), 0.8, block=64).collect()}
+    want = plain_similar(rows, 0.8, 6)
+    assert got == want and len(want) > 500
+    few = graph.similar_all(spark.createDataFrame(rows[:50], "vec_id long, embedding array<double>, label int"), 0.3, top=2)
+    assert few.count() and max(r["count"] for r in few.groupBy("source").count().collect()) <= 50
+    assert graph.similar_all(spark.createDataFrame([], "vec_id long, embedding array<double>"), 0.3).count() == 0
