@@ -110,15 +110,16 @@ def star(base: DataFrame, sidecars: Sequence[DataFrame], key: str) -> DataFrame:
 def longest_prefix(rows: DataFrame, text: str, roots: DataFrame, root: str) -> DataFrame:
     """``rows`` with the longest value of ``roots`` that ``text`` begins with (null: none).
 
-    A row is joined once for each length that roots have, by equality of the beginning; the lengths, at most as many as the
-    longest root has characters, come to the driver. A repeated root counts once.
+    A text is joined once for each length that roots have, by equality of the beginning, and rows look their text up: they have
+    no numbers of their own, which a second reading could deal anew. The lengths, at most as many as the longest root has
+    characters, come to the driver. A repeated root counts once.
     """
     known = roots.where(F.length(root) > 0).select(F.col(root).alias("_root")).distinct()
     lengths = sorted(r[0] for r in known.select(F.length("_root")).distinct().collect())
-    row = rows.select(F.monotonically_increasing_id().alias("_id"), F.struct(*rows.columns).alias("_row"))
-    each = row.select("_id", F.explode(F.array(*map(F.lit, lengths)).cast("array<int>")).alias("_n"), F.col("_row")[text].alias("_t")).where(F.length("_t") >= F.col("_n"))
-    found = each.select("_id", F.expr("substr(_t, 1, _n)").alias("_root")).join(known, "_root").groupBy("_id").agg(F.max_by("_root", F.length("_root")).alias(root))
-    return row.join(found, "_id", "left").select("_row.*", root)
+    texts = rows.select(F.col(text).alias("_t")).distinct()
+    each = texts.select("_t", F.explode(F.array(*map(F.lit, lengths)).cast("array<int>")).alias("_n")).where(F.length("_t") >= F.col("_n"))
+    found = each.select("_t", F.expr("substr(_t, 1, _n)").alias("_root")).join(known, "_root").groupBy("_t").agg(F.max_by("_root", F.length("_root")).alias(root))
+    return rows.join(found.withColumnRenamed("_t", text), text, "left").select(*rows.columns, root)
 
 
 def nearest(rows: DataFrame, by: str, order: str, wanted: Column, name: str = "near") -> DataFrame:
