@@ -114,13 +114,15 @@ def _content_signature(signed: DataFrame) -> str:
     return signed.agg(F.sha2(F.concat_ws("|", F.count("*").cast("string"), *pieces), 256)).first()[0]
 
 
-def read_objects(spark: SparkSession, path: str, number: int | None = None) -> DataFrame | None:
-    """Objects of the last state (or of ``number``): those columns, signature, content_hash, vector and the version that wrote the row."""
+def read_objects(spark: SparkSession, path: str, number: int | None = None, columns: list[str] | None = None) -> DataFrame | None:
+    """Objects of the last state (or of ``number``): those columns, signature, content_hash, vector and the version that wrote the row; only ``columns`` travel, if given."""
     versions = Versions(spark, path)
     n, state = versions.latest() if number is None else (number, versions.state(number))
     if not n:
         return None
     rows = spark.read.parquet(*(versions.at(s) for s in state["segments"]))
+    if columns is not None:
+        rows = rows.select("object_key", *(c for c in columns if c not in ("object_key", "gone", "version")), "gone", "version")
     return rows.groupBy("object_key").agg(F.max_by(F.struct(*(c for c in rows.columns if c != "object_key")), "version").alias("r")).select("object_key", "r.*").where("NOT gone").drop("gone")
 
 
@@ -151,7 +153,7 @@ def compile_projection(spark: SparkSession, path: str, spec: Spec, most_segments
     versions = Versions(spark, path)
     number, state = versions.latest()
     now = signed.join(objects, "object_key")
-    before = read_objects(spark, path)
+    before = read_objects(spark, path, columns=["signature", "content_hash", "vector"])
     empty = F.lit(None).cast("array<float>")
     if before is None:
         changed = now.withColumn("vector", empty)
@@ -161,8 +163,9 @@ def compile_projection(spark: SparkSession, path: str, spec: Spec, most_segments
         met = now.join(old, "object_key", "left")
         changed = met.where(~F.col("was").eqNullSafe(F.col("signature"))).withColumn("vector", F.when(F.col("held") == F.col("content_hash"), F.col("vector"))).drop("was", "held")
         gone = old.select("object_key").join(objects, "object_key", "left_anti")
-    changed = stored(changed)
     paid = None
+    if spec.embed is not None:
+        changed = stored(changed)  # read again by the embedding; else it goes straight into its segment
     if spec.embed is not None:
         try:
             owed = changed.where("vector IS NULL").select("object_key", "content")
@@ -179,22 +182,25 @@ def compile_projection(spark: SparkSession, path: str, spec: Spec, most_segments
         removed = lost.count()
         segment = segment.unionByName(lost)
     total = objects.count()
+    folder = versions.folder()
+    segment.write.parquet(versions.at(folder))  # no state names it yet
+    segment = spark.read.schema(segment.schema).parquet(versions.at(folder))
+    changed = segment.where("NOT gone") if spec.embed is None else changed
     written = changed.count()
     segments = state.get("segments", [])
     if written or removed or not number:
         whole = len(segments) + 1 > most_segments
         if whole:
             keep = read_objects(spark, path).join(segment.select("object_key"), "object_key", "left_anti").withColumn("gone", F.lit(False)).select(*columns)
-            segment = keep.unionByName(segment.where("NOT gone"))
-        folder = versions.folder()
-        segment.write.parquet(versions.at(folder))
+            folder = versions.folder()
+            keep.unionByName(segment.where("NOT gone")).write.parquet(versions.at(folder))
         parts = {}
         for part, df in (("references", references), ("tree", tree)):
             parts[part] = versions.folder()
             df.write.parquet(versions.at(parts[part]))
         state = {"segments": [folder] if whole else [*segments, folder], "projection_id": spec.projection_id} | parts
         number = versions.commit(state, number)
-    final = read_objects(spark, path)
+    final = read_objects(spark, path, columns=["vector"])
     reused = changed.where("vector IS NOT NULL").count()
     counts = references.agg(F.count("*"), F.coalesce(F.sum((F.col("resolution_state") == "unresolved").cast("long")), F.lit(0))).first()
     return Receipt(spec.projection_id, number, total, counts[0], counts[1], tree.count(), written, removed, total - written, reused, final.where("vector IS NULL").count(), _content_signature(signed))
