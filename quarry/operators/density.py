@@ -29,8 +29,8 @@ def distances(cosine: np.ndarray) -> np.ndarray:
 def neighbour_graph(vectors: DataFrame, group: str, k: int = 15, key: str = "vec_id", column: str = "embedding", block: int = 2048) -> DataFrame:
     """(group, a, b, d): the ``k`` nearest of every vector inside its group, ties to the smaller key. Exact.
 
-    Groups are cut into blocks that meet pairwise in tasks of their own; a meeting returns the k nearest of each row, never
-    pairs. Null or empty vectors, null keys and null groups take no part. A caller with a cheaper graph passes its own to
+    Groups are cut into blocks that meet pairwise in tasks of their own; a meeting compares strips of one with the other,
+    takes what is as near as the k-th without sorting the rest, and returns the k nearest of each row, never pairs. Null or empty vectors, null keys and null groups take no part. A caller with a cheaper graph passes its own to
     ``clusters``.
     """
     v = F.transform(column, lambda x: x.cast("double"))
@@ -43,14 +43,23 @@ def neighbour_graph(vectors: DataFrame, group: str, k: int = 15, key: str = "vec
         order = np.argsort(table.column("id").to_numpy(), kind="stable")
         ids, side = table.column("id").to_numpy()[order], table.column("own").to_numpy()[order]
         x = table.column("v").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)[order]
-        d = distances(x @ x.T)
-        d[np.arange(len(ids)), np.arange(len(ids))] = np.inf
-        if table.column("lo")[0].as_py() != table.column("hi")[0].as_py():
-            d[side[:, None] == side[None, :]] = np.inf
-        best = np.argsort(d, axis=1, kind="stable")[:, :k]  # equal distances in the order of ids
-        a, b, w = np.repeat(ids, best.shape[1]), ids[best].ravel(), np.take_along_axis(d, best, 1).ravel()
-        keep = np.isfinite(w)
-        return pa.table({"g": pa.array([table.column("g")[0].as_py()] * int(keep.sum()), table.schema.field("g").type), "a": a[keep], "b": b[keep], "d": w[keep]})
+        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+        left, right = np.nonzero(side == lo)[0], np.nonzero(side == hi)[0]
+        out = []
+        for rows_, others in [(left, right)] if lo == hi else [(left, right), (right, left)]:
+            for n in range(0, len(rows_), 512):
+                mine = rows_[n : n + 512]
+                d = distances(x[mine] @ x[others].T)
+                d[mine[:, None] == others[None, :]] = np.inf
+                far = np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] > k else np.full(len(d), np.inf)
+                i, j = np.nonzero((d <= far[:, None]) & np.isfinite(d))
+                near = np.lexsort((j, d[i, j], i))  # equal distances in the order of ids
+                i, j = i[near], j[near]
+                first = np.arange(len(i)) - np.searchsorted(i, i) < k
+                i, j = i[first], j[first]
+                out.append((ids[mine[i]], ids[others[j]], d[i, j]))
+        a, b, w = (np.concatenate(c) for c in zip(*out)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        return pa.table({"g": pa.array([table.column("g")[0].as_py()] * len(a), table.schema.field("g").type), "a": a, "b": b, "d": w})
 
     schema = f"g {rows.schema['g'].dataType.simpleString()}, a bigint, b bigint, d double"
     met = rows.select("g", "id", "v", "own", "lo", "hi").groupBy("g", "lo", "hi").applyInArrow(meet, schema)
