@@ -7,6 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.state import stored
+
+#: Pairs that one task makes or counts, about.
+PAIRS = 4_000_000
+
 
 def sessions(df: DataFrame, by: str, ts: str, tie: str, hours: float) -> DataFrame:
     """df with sprint: a number that grows where the gap to the row before exceeds ``hours``."""
@@ -37,13 +42,19 @@ def last_before(df: DataFrame, by: str, order: str, wanted: Column, value: str,
 
 
 def shared(df: DataFrame, node: str, attribute: str, hub: int, least: int = 1) -> DataFrame:
-    """Pairs of nodes that share attribute values, with how many; values of more than ``hub`` nodes are left out."""
-    edges = df.select(node, attribute).distinct()
-    small = edges.groupBy(attribute).agg(F.count("*").alias("_n")).where(F.col("_n").between(2, hub)).select(attribute)
-    kept = edges.join(small, attribute)
+    """Pairs of nodes that share attribute values, with how many; values of more than ``hub`` nodes are left out.
+
+    The pairs are counted before they are made, and as many parts are made of them as keep one to PAIRS of them or so: a task
+    holds no more on a larger table.
+    """
+    edges = stored(df.select(node, attribute).where(F.col(attribute).isNotNull()).distinct())
+    sizes = edges.groupBy(attribute).agg(F.count("*").alias("_n")).where(F.col("_n").between(2, hub))
+    total = sizes.agg(F.sum(F.col("_n") * (F.col("_n") - 1) / 2)).first()[0] or 0
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -int(-total // PAIRS))
+    kept = edges.join(sizes.select(attribute), attribute).repartition(parts, attribute)
     other = kept.select(attribute, F.col(node).alias("target"))
-    pairs = kept.select(attribute, F.col(node).alias("source")).join(other, attribute).where("source < target")
-    return pairs.groupBy("source", "target").agg(F.count("*").alias("weight")).where(F.col("weight") >= least)
+    pairs = kept.select(attribute, F.col(node).alias("source")).join(other, attribute).where("source < target").select("source", "target")
+    return pairs.repartition(parts, "source", "target").groupBy("source", "target").agg(F.count("*").alias("weight")).where(F.col("weight") >= least)
 
 
 def snapshot_diff(local: DataFrame, remote: DataFrame, key: str, digest: str) -> DataFrame:
