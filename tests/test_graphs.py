@@ -173,3 +173,68 @@ def test_similar_all_with_a_null_first(spark):
     few = graph.similar_all(spark.createDataFrame(rows[:50], "vec_id long, embedding array<double>, label int"), 0.3, top=2)
     assert few.count() and max(r["count"] for r in few.groupBy("source").count().collect()) <= 50
     assert graph.similar_all(spark.createDataFrame([], "vec_id long, embedding array<double>"), 0.3).count() == 0
+
+
+def clustered(n, seed=8, wide=12):
+    """Rows around a few directions in three groups; one id stands in two groups and another twice in one."""
+    rng = np.random.default_rng(seed)
+    hub = rng.normal(size=(wide, 8))
+    rows = [(int(k), (hub[k % wide] + rng.normal(size=8) * 0.7).tolist(), int(k) % 3) for k in rng.permutation(n)]
+    return rows + [(4, rows[0][1], 0), (7, rows[1][1], 1), (n + 5, [0.0] * 7 + [1e-3], 9)]  # the last one is alone in its group
+
+
+@pytest.fixture
+def small_blocks(monkeypatch):
+    for name, value in {"LARGEST": 64, "ROOM": 16, "WIDE": 20, "HELD": 300}.items():
+        monkeypatch.setattr(graph, name, value)
+
+
+@pytest.mark.parametrize("wide", [4, 40])
+def test_ties_and_folded_graph_without_edges(spark, small_blocks, wide):
+    rows = spark.createDataFrame(clustered(400, wide=wide), "vec_id long, embedding array<double>, label int")
+    both = graph.stored(graph._symmetric(graph.similar(rows, 0.3, block="label")))
+    plain, near = graph._Edges(both), graph._Near(graph._centred(rows, "vec_id", "embedding", "label"), 0.3)
+    k = {r.node: r.k for r in plain.degree().collect()}
+    assert {r.node: round(r.k, 6) for r in near.degree().collect()} == {a: round(b, 6) for a, b in k.items()}
+    names = {}
+    for r in sorted(k):
+        names.setdefault((r % wide, r % 3) if wide == 4 else r % 97, r)
+    label = [(r, names[(r % wide, r % 3) if wide == 4 else r % 97]) for r in k]  # of 33 vectors or of four each
+    own = spark.createDataFrame([(n, c, k[n]) for n, c in label], "node long, community long, k double")
+    size = own.groupBy("community").agg(F.sum("k").alias("total"), F.count("*").alias("members"))
+    m = sum(k.values())
+    ties = near.ties(own, size, m)
+    got = {(r.node, r.to): r.w for r in ties.groupBy("node", "to").agg(F.sum("w").alias("w")).collect()}
+    want = {(r.node, r.to): r.w for r in plain.ties(own, size, m).collect()}
+    assert all(abs(got[x] - want[x]) < 1e-9 for x in got)
+    total, at = {r.community: r.total for r in size.collect()}, dict(label)
+    for n, c in label:
+        gain = {to: round(w - k[n] * total[to] / m, 9) for (x, to), w in want.items() if x == n and to != c}
+        if gain:
+            best = min(gain, key=lambda to: (-gain[to], to))
+            assert (n, best) in got
+    assert all((n, at[n]) in got for n, to in want if to == at[n])
+    assert abs(near.quality(own, size, ties, m) - graph._quality(both, own.select("node", "community"))) < 1e-12
+    short = own.select("node", "community")
+    folded = [{(r.a, r.b): round(r.w, 6) for r in x.folded(short).collect()} for x in (plain, near)]
+    assert folded[0] == folded[1] and len(folded[0]) > 30
+
+
+def test_louvain_without_edges(spark, small_blocks):
+    rows = spark.createDataFrame(clustered(400), "vec_id long, embedding array<double>, label int")
+    edges = graph.stored(graph.similar(rows, 0.3, block="label"))
+    want = {r.node: r.community for r in graph.louvain(edges, rounds=4, levels=2).collect()}
+    got = {r.node: r.community for r in graph.similar_louvain(rows, 0.3, rounds=4, levels=2, block="label").collect()}
+    assert got == want and 3 <= len(set(got.values())) < 100
+    assert graph.similar_louvain(rows.limit(0), 0.3).count() == 0
+
+
+@pytest.mark.parametrize("name", ["louvain_communities"])
+def test_edges_of_similar_vectors_are_never_rows(spark, monkeypatch, name):
+    import __spark_entry__
+
+    def rows(*args):
+        raise AssertionError("edges as rows")
+
+    monkeypatch.setattr(graph, "_pairs", rows)
+    assert __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001").count() > 40
