@@ -189,6 +189,14 @@ def small_blocks(monkeypatch):
         monkeypatch.setattr(graph, name, value)
 
 
+def test_rank_without_edges(spark, small_blocks):
+    rows = spark.createDataFrame(clustered(400), "vec_id long, embedding array<double>, label int")
+    want = {r.node: r.rank for r in graph.pagerank(graph.similar(rows, 0.3, block="label"), steps=5).collect()}
+    got = {r.node: r.rank for r in graph.similar_rank(rows, 0.3, block="label", steps=5).collect()}
+    assert set(got) == set(want) and len(got) > 390 and np.allclose([got[k] for k in want], list(want.values()), rtol=1e-12)
+    assert graph.similar_rank(rows.limit(0), 0.3).count() == 0
+
+
 @pytest.mark.parametrize("wide", [4, 40])
 def test_ties_and_folded_graph_without_edges(spark, small_blocks, wide):
     rows = spark.createDataFrame(clustered(400, wide=wide), "vec_id long, embedding array<double>, label int")
@@ -229,7 +237,7 @@ def test_louvain_without_edges(spark, small_blocks):
     assert graph.similar_louvain(rows.limit(0), 0.3).count() == 0
 
 
-@pytest.mark.parametrize("name", ["louvain_communities"])
+@pytest.mark.parametrize("name", ["louvain_communities", "hubs_top10pct"])
 def test_edges_of_similar_vectors_are_never_rows(spark, monkeypatch, name):
     import __spark_entry__
 
